@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 
@@ -21,8 +22,29 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_documents(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaked_items
+
+    return leaked_items(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(spark, read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    length = (F.length("ids") / 4).cast("long").alias("length")
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pack(read_table(spark, sf_dir, "documents")).select("doc_id", "start", length, crc, "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_decontaminate, op5_line_dedup, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,6 +27,8 @@ _LOWER[65:91] += 32
 _BYTE = _mix((_LOWER + 1).astype(U) * U(0x9E3779B97F4A7C15))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PUNCTUATION = _SPACE.copy()
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _R, _Q1, _Q2 = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _POW: dict[int, np.ndarray] = {}
 
@@ -76,12 +78,13 @@ def words(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, np.searchsorted(starts, offsets)
 
 
-def word_spans(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(part: np.ndarray, offsets: np.ndarray, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first bytes, ends) of all words; with punctuation, ASCII punctuation separates words too."""
     n = len(part)
     if not n:
         e = np.zeros(0, np.int64)
         return np.zeros(0, U), e, e
-    inside = ~_SPACE[part]
+    inside = ~(_PUNCTUATION if punctuation else _SPACE)[part]
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
