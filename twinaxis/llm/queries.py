@@ -35,6 +35,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(spark, docs, read_table(spark, sf_dir, "labels")).drop("text")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -44,7 +51,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_decontaminate, op5_line_dedup, op8_packing)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_decontaminate, op5_line_dedup, op6_toxicity, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
