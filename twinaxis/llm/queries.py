@@ -50,8 +50,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents")).select("doc_id", "start", length, crc, "doc_tokens", "sequence_id", "offset")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import file_blocks, stupid_backoff
+
+    return stupid_backoff(spark, file_blocks(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_decontaminate, op5_line_dedup, op6_toxicity, op8_packing)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_decontaminate, op5_line_dedup, op6_toxicity, op8_packing, op9_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
