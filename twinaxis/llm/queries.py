@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
+#: Keys the surrogates of the registered query; a deployment passes a secret of its own.
+SURROGATE_KEY = b"registered query"
+
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_duplicate_vectors
@@ -56,8 +59,14 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stupid_backoff(spark, file_blocks(read_table(spark, sf_dir, "documents")))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_pii
+
+    return replace_pii(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_decontaminate, op5_line_dedup, op6_toxicity, op8_packing, op9_lm_score)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_decontaminate, op5_line_dedup, op6_toxicity, op8_packing, op9_lm_score, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
