@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import Scratch, read_table
 
 #: Keys the surrogates of the registered query; a deployment passes a secret of its own.
 SURROGATE_KEY = b"registered query"
@@ -31,6 +31,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import ShardStore, shard_documents
+
+    return shard_documents(ShardStore(spark, Scratch(spark, "shards").path), read_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -66,7 +72,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_decontaminate, op5_line_dedup, op6_toxicity, op8_packing, op9_lm_score, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_decontaminate, op4_sharding, op5_line_dedup, op6_toxicity, op8_packing, op9_lm_score, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
