@@ -51,6 +51,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(spark, docs, read_table(spark, sf_dir, "labels")).drop("text")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(spark, read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -72,7 +78,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_decontaminate, op4_sharding, op5_line_dedup, op6_toxicity, op8_packing, op9_lm_score, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_minhash_dedup, op3_decontaminate, op4_sharding, op5_line_dedup, op6_toxicity, op7_language_id, op8_packing, op9_lm_score, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
