@@ -28,6 +28,9 @@ from pyspark.sql import DataFrame
 
 from .word_bpe import WordBpe
 
+#: Characters of text that are encoded together.
+AT_ONCE = 2_000_000
+
 
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
     """The window of each size after multiway differencing into the given number of windows."""
@@ -117,10 +120,21 @@ def _packer(path: str, capacity: int, piece: int, block: int, end_id: int):
             rest.clear()
             return out
 
+        def encoded(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            at = 0
+            while at < len(docs):
+                some, size = [], 0
+                while at + len(some) < len(docs) and (not some or size < AT_ONCE):
+                    some.append(texts[at + len(some)].as_py() or "")
+                    size += len(some[-1])
+                yield from zip(docs[at : at + len(some)], bpe.encode_batch(some), strict=True)
+                at += len(some)
+
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = bpe.encode(text.as_py() or "") + end
-                doc, tokens = doc.as_py(), len(ids) // 4
+            for doc, ids in encoded(batch):
+                ids += end
+                tokens = len(ids) // 4
                 at = 0
                 while tokens - at >= capacity:
                     full.append((doc, at, ids[4 * at : 4 * (at + capacity)], tokens, base + made, 0))
