@@ -5,7 +5,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from twinaxis import erase, surfaces
+from twinaxis import erase, observe, surfaces
 from twinaxis import errors as e
 from twinaxis.clock import Clock, Minter
 from twinaxis.functions.keys import entity_key, key_bytes, parse_leaf
@@ -80,8 +80,25 @@ def test_placement(spark):
     assert placement.spread(ranked, domains, 2).groupBy("prefix").agg(F.count_distinct("domain").alias("n")).where("n < 2").isEmpty()
 
 
+def test_events():
+    s = observe.Stream(2)
+    for n in range(3):
+        s.emit("routing.redirect", n)
+    assert [x[1] for x in s.take()] == [0, 1] and s.dropped == 1 and s.counts["routing.redirect"] == 3 and s.take() == []
+    with pytest.raises(e.Refused):
+        s.emit("routing.unheard-of", 1)
+
+
+def test_topology_file(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"version": 1, "levels": ["u", "d"], "depth": 1, "root": {"level": "u", "name": "u", "children": [{"level": "d", "name": "a", "weight": 5}, {"level": "d", "name": "b"}]}}')
+    nodes = placement.load_topology(spark, f"file://{tmp_path}/t.json")
+    assert {r["name"]: (r["lft"], r["rgt"], r["weight"]) for r in nodes.collect()} == {"u": (1, 6, 6), "a": (2, 3, 5), "b": (4, 5, 1)}
+    with pytest.raises(ValueError):
+        list(placement.nested_set({"version": 9, "levels": ["u"], "root": {}}))
+
+
 def test_topology(spark):
-    tree = {"levels": ["u", "s", "d"], "depth": 3, "root": {"name": "u", "level": "u", "children": [{"name": "s1", "level": "s", "children": [{"name": "d1", "level": "d"}, {"name": "d2", "level": "d"}]}, {"name": "d3", "level": "d"}]}}
+    tree = {"version": 1, "levels": ["u", "s", "d"], "depth": 3, "root": {"name": "u", "level": "u", "children": [{"name": "s1", "level": "s", "children": [{"name": "d1", "level": "d"}, {"name": "d2", "level": "d"}]}, {"name": "d3", "level": "d"}]}}
     nodes = spark.createDataFrame(list(placement.nested_set(tree)), placement.TOPOLOGY)
     pairs = spark.createDataFrame([("d1", "d2"), ("d1", "d3"), ("d1", "d1"), ("s1", "d1")], "a string, b string")
     assert {(r["a"], r["b"]): r["distance"] for r in placement.distances(nodes, pairs).collect()} == {("d1", "d2"): 1, ("d1", "d3"): 2, ("d1", "d1"): 0, ("s1", "d1"): 1}

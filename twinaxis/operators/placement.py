@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_HOPS = 8
@@ -40,8 +41,10 @@ def spread(ranked: DataFrame, domains: DataFrame, copies: int) -> DataFrame:
 def nested_set(topology: dict) -> Iterator[tuple[str, str, int, int, int, int, int]]:
     """(name, level, level_index, lft, rgt, weight, depth) of a topology tree read from JSON."""
     levels = topology["levels"]
-    if topology.get("depth") not in (None, len(levels)):
-        raise ValueError(f"depth {topology['depth']} does not fit {len(levels)} levels")
+    if topology.get("version", 1) != 1:
+        raise ValueError(f"version {topology['version']} is not known")
+    if len(set(levels)) != len(levels) or not 1 <= topology.get("depth", 1) <= 32:
+        raise ValueError("levels repeat, or the leaf depth is not within 1 to 32")
     seen: set[str] = set()
     count = 0
     out = []
@@ -55,9 +58,10 @@ def nested_set(topology: dict) -> Iterator[tuple[str, str, int, int, int, int, i
         seen.add(node["name"])
         index, count = levels.index(node["level"]), count + 1
         left, children = count, node.get("children", [])
-        weight = node.get("weight", 1) if not children else 0
-        for child in children:
-            weight += visit(child, index)
+        below = sum([visit(child, index) for child in children])
+        weight = node.get("weight", below if children else 1)
+        if weight < 0:
+            raise ValueError(f"{node['name']}: the weight is negative")
         count += 1
         out.append((node["name"], node["level"], index, left, count, weight, len(levels)))
         return weight
@@ -66,6 +70,12 @@ def nested_set(topology: dict) -> Iterator[tuple[str, str, int, int, int, int, i
     yield from sorted(out, key=lambda r: r[3])
 
 
+def load_topology(spark: SparkSession, path: str) -> DataFrame:
+    """A topology file (JSON) as its nested set."""
+    text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    return spark.createDataFrame(list(nested_set(json.loads(text))), TOPOLOGY)
+
+
 TOPOLOGY = "name string, level string, level_index int, lft int, rgt int, weight long, levels int"
 
 

@@ -60,6 +60,13 @@ def rank(rows: DataFrame, query: str, limit: int, erased: DataFrame | None = Non
     return hits.select("subject", score.alias("score")).orderBy(F.desc("score"), "subject").limit(limit)
 
 
+def match(index: DataFrame, query: str, limit: int) -> DataFrame:
+    """Up to limit postings of an index (subject, term) with a term of the query, unranked."""
+    if limit <= 0:
+        raise NoLimit("a search needs a positive limit")
+    return index.where(F.col("term").isin(*query_terms(query))).limit(limit)
+
+
 def confirm(hits: DataFrame, datoms: DataFrame, query: str, at: Snapshot, attributes: tuple[str, ...] = ()) -> DataFrame:
     """Hits that carry a term of the query at the snapshot; scores stay."""
     terms = F.array(*[F.lit(t) for t in query_terms(query)])
@@ -91,4 +98,4 @@ def facet_values(datoms: DataFrame, attribute: str) -> DataFrame:
     return latest(datoms.where(F.col("attribute") == attribute)).where(F.col("assert")).select("entity", "value")
 
 
-__all__ = ["confirm", "facet", "facet_values", "literals", "postings", "rank", "search", "visible"]
+__all__ = ["confirm", "facet", "facet_values", "literals", "match", "postings", "rank", "search", "visible"]
