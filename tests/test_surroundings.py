@@ -139,6 +139,15 @@ def test_surfaces():
         surfaces.register(surfaces.Tool("delete_entity", (), ("as_of",)))
 
 
+def test_stat(spark):
+    rows = spark.createDataFrame([("p", "a", "dé", TxId(7, seq=1).row()), ("q", "a", "x", TxId(8, seq=1).row())], "entity string, attribute string, value string, tx struct<wall:long,logical:long,leaf_prefix:binary,leaf_depth:short,seq:long>")
+    gone = spark.createDataFrame([("q",)], "subject string")
+    assert [tuple(r) for r in surfaces.stat(rows, gone).collect()] == [("p", "a", 3, 7)]
+    with pytest.raises(surfaces.SurfaceRefusal) as x:
+        surfaces.open_path("/e/p/a", write=True)
+    assert x.value.code == "EROFS"
+
+
 def _plain(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted(tuple(repr(float(v) if hasattr(v, "as_tuple") else v) for v in (r[i] for i in order)) for r in rows)

@@ -10,6 +10,8 @@ matching subject.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +53,12 @@ def rank(rows: DataFrame, query: str, limit: int, erased: DataFrame | None = Non
     sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(terms))]
     by_subject = counted.groupBy("subject").agg(F.sum("n").alias("n"), *sums)
     seen = by_subject if erased is None else by_subject.join(erased.select("subject"), "subject", "left_anti")
-    # One row of corpus statistics goes to every task.
-    total = by_subject.agg(F.sum("n").alias("total")).join(seen.agg(*[F.sum(f"n{i}").alias(f"df{i}") for i in range(len(terms))]))
-    hits = seen.where(" or ".join(f"n{i} > 0" for i in range(len(terms)))).join(F.broadcast(total))
-    score = sum(
-        (F.when(F.col(f"n{i}") > 0, F.col(f"n{i}") * F.log1p(F.col("total") / F.col(f"df{i}"))).otherwise(0.0) for i in range(len(terms))), F.lit(0.0)
-    )
+    # Corpus statistics are one row of numbers; they become constants of the second pass.
+    total = by_subject.agg(F.sum("n").alias("n"), *sums).first()
+    df = total if erased is None else seen.agg(*sums).first()
+    weights = [math.log1p(total["n"] / df[f"n{i}"]) if df[f"n{i}"] else 0.0 for i in range(len(terms))]
+    hits = seen.where(" or ".join(f"n{i} > 0" for i in range(len(terms))))
+    score = sum((F.col(f"n{i}") * F.lit(w) for i, w in enumerate(weights)), F.lit(0.0))
     return hits.select("subject", score.alias("score")).orderBy(F.desc("score"), "subject").limit(limit)
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from .errors import ParseError, Refused
 from .ql.nodes import Leg, Read, ShapeQuery, TimeClause
 
@@ -75,4 +78,19 @@ def compile_path(path: str) -> Read:
     return Read(parts[1], attributes=tuple(parts[2:]), time=time)
 
 
-__all__ = ["ParseError", "SurfaceRefusal", "Tool", "compile_call", "compile_path", "register"]
+def open_path(path: str, write: bool = False) -> Read:
+    """The statement behind a path that is opened; the tree is read-only."""
+    if write:
+        raise SurfaceRefusal("EROFS", "facts are asserted, files are not written")
+    return compile_path(path)
+
+
+def stat(rows: DataFrame, erased: DataFrame | None = None) -> DataFrame:
+    """(entity, attribute, size, mtime) of rows of a READ: bytes of the value and wall clock of its
+    recording. Entities whose key was destroyed (erased: subject) are not there."""
+    if erased is not None:
+        rows = rows.join(erased.select(F.col("subject").alias("entity")), "entity", "left_anti")
+    return rows.select("entity", "attribute", F.octet_length("value").alias("size"), F.col("tx.wall").alias("mtime"))
+
+
+__all__ = ["ParseError", "SurfaceRefusal", "Tool", "compile_call", "compile_path", "open_path", "register", "stat"]
