@@ -68,7 +68,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import file_blocks, stupid_backoff
 
-    return stupid_backoff(spark, file_blocks(read_table(spark, sf_dir, "documents")))
+    out = stupid_backoff(spark, file_blocks(read_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import sql
+
+    return {"op1_embedding_dedup": sql.OP1, "op2_minhash_dedup": sql.OP2, "op5_line_dedup": sql.OP5, "op9_lm_score": sql.OP9}
