@@ -472,13 +472,24 @@ def _targets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"disk-{i}", 1 + i % 3, f"rack-{i % 4}") for i in range(8)], "name string, weight int, domain string")
 
 
+_RANKED = (
+    "with targets as (select 'disk-' || i as name, 1 + i % 3 as weight, 'rack-' || (i % 4) as domain from range(8) t(i)), "
+    "leaves as (select distinct '0001' || substr(sha256('customer:' || c_custkey), 1, 2) as leaf from customer), "
+    "s as (select leaf, name, domain, cast('0x' || substr(sha256(unhex('03' || leaf) || encode(name)), 1, 12) as hugeint) * weight as score from leaves, targets), "
+    "r as (select *, cast(row_number() over (partition by leaf order by score desc, name) as integer) as rank from s) "
+)
 _register(
     "placement_rank",
     lambda s, d: placement.rank_targets(_leaves(s, d), _targets(s)).where("rank <= 2").select(F.lower(F.hex("prefix")).alias("leaf"), "name", "rank"),
+    _RANKED + "select leaf, name, rank from r where rank <= 2",
 )
 _register(
     "placement_spread",
     lambda s, d: placement.spread(placement.rank_targets(_leaves(s, d), _targets(s)), _targets(s).select("name", "domain"), 3).select(F.lower(F.hex("prefix")).alias("leaf"), "name", "domain", "place"),
+    _RANKED
+    .replace("as rank from s) ", "as rank from s), ")
+    + "x as (select *, row_number() over (partition by leaf, domain order by rank) as round from r) "
+    "select * from (select leaf, name, domain, cast(row_number() over (partition by leaf order by round, rank) as integer) as place from x) where place <= 3",
 )
 
 
@@ -521,7 +532,13 @@ def _distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.distances(nodes, disks.toDF("a").join(disks.toDF("b"), F.col("a") < F.col("b")))
 
 
-_register("topology_distance", _distance)
+_register(
+    "topology_distance",
+    _distance,
+    "with d as (select 's' || i as s, 's' || i || '-k' || j as k, 's' || i || '-k' || j || '-d' || n as name from range(2) a(i), range(2) b(j), range(3) c(n)) "
+    "select x.name as a, y.name as b, case when x.k = y.k then x.k when x.s = y.s then x.s else 'r' end as ancestor, "
+    "case when x.k = y.k then 1 when x.s = y.s then 2 else 3 end as distance from d x join d y on x.name < y.name",
+)
 
 
 def _shredding(spark: SparkSession, sf_dir: str) -> DataFrame:
