@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinaxis.llm.common import Scratch, read_table
+from twinaxis.llm.common import Scratch, read_table, scope
 from twinaxis.llm.decontaminate import leaked_passages
 from twinaxis.llm.line_dedup import dedup_lines
 from twinaxis.llm.minhash_dedup import near_duplicate_documents
@@ -67,6 +67,11 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with scope():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs

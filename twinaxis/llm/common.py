@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,17 +39,34 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+_SCOPES: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end the scratch tables made inside; results must be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for s in _SCOPES.pop():
+            s.close()
+
+
 class Scratch:
     """Named Parquet tables in the shared folder.
 
     Writing a table and reading it again cuts the lineage, so the loss of an
-    executor costs the tasks it ran and never the steps before the table.
+    executor costs the tasks it ran and never the steps before the table. The
+    tables live until close(), or the end of the scope() they were made in.
     """
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/twinaxis/{purpose}-{uuid.uuid4().hex}"
         self._n = 0
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def save(self, df: DataFrame, name: str = "t", compression: str = "zstd") -> DataFrame:
         self._n += 1
