@@ -117,14 +117,46 @@ def _tile(threshold: float):
     return run
 
 
+def _units(rows: pd.Series) -> np.ndarray:
+    v = np.stack(rows.to_numpy()).astype(np.float64)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for c, rows in pdf.groupby("component_id"):
+            yield pd.DataFrame({"component_id": [c], "s": [_units(rows["embedding"]).sum(axis=0).tobytes()]})
+
+
+def _middle(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(x) for x in pdf["s"]], axis=0)
+    return pd.DataFrame({"component_id": pdf["component_id"][:1], "middle": [total.tobytes()]})
+
+
+def _core(threshold: float):
+    half = math.acos(threshold) / 2 - 1e-6
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, rows in pdf.groupby("component_id"):
+                middle = np.frombuffer(rows["middle"].iat[0])
+                norm = np.linalg.norm(middle)
+                near = _units(rows["embedding"]) @ (middle / norm) if norm > 0 else np.zeros(len(rows))
+                yield rows[["component_id", "vec_id", "embedding"]].assign(core=near >= math.cos(half))
+
+    return run
+
+
 def near_duplicate_vectors(
-    spark: SparkSession, vectors: DataFrame, threshold: float = 0.95, window: int = 32, tile: int = 512, seed: int = 7
+    spark: SparkSession, vectors: DataFrame, threshold: float = 0.95, window: int = 32, tile: int = 128, seed: int = 7
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding).
 
     The number of passes follows from the row count, so recall is the same at
-    every size. A class of m vectors is counted in tiles of at most about tile
-    by tile rows dealt by hash; no task holds more, and only counts leave it.
+    every size. A class over tile vectors is parted into a core, whose vectors are
+    all linked with each other by the triangle inequality of angles, and a rim.
+    Rim vectors are compared with the class in tiles of about tile by tile rows
+    dealt by hash; no task holds more, and only counts leave it.
     """
     scratch = Scratch(spark, "vectors")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -140,16 +172,27 @@ def near_duplicate_vectors(
     links = sorted_.mapInPandas(_windows(window, threshold), "a long, b long")
     label = components(scratch, links)
     size = label.groupBy("component_id").agg(F.count("*").alias("m"))
-    members = (
-        fine.join(label.withColumnRenamed("id", "vec_id"), "vec_id")
-        .join(size, "component_id")
-        .withColumn("blocks", F.ceil(F.col("m") / tile))
-        .withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    )
-    tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "component_id", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "vec_id", "embedding"
-    )
-    counts = tiles.groupBy("component_id", "i", "j").applyInPandas(_tile(threshold), "vec_id long, n long")
+    members = fine.join(label.withColumnRenamed("id", "vec_id"), "vec_id").join(size, "component_id")
+    zero = F.lit(0).cast("long")
+    small = members.where(F.col("m") <= tile).select("component_id", zero.alias("i"), zero.alias("j"), zero.alias("blk"), "vec_id", "embedding")
+
+    # Two vectors within half the angle of one direction are within the angle of each other:
+    # the core of a large class is linked throughout and needs no comparison.
+    large = members.where(F.col("m") > tile).select("component_id", "vec_id", "embedding")
+    sums = large.mapInPandas(_sums, "component_id long, s binary")
+    middle = sums.groupBy("component_id").applyInPandas(_middle, "component_id long, middle binary")
+    placed = large.join(middle, "component_id").mapInPandas(_core(threshold), "component_id long, vec_id long, embedding array<float>, core boolean")
+    placed = scratch.save(placed, "placed")
+    parts = placed.groupBy("component_id").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rim"))
+    placed = placed.join(parts, "component_id").where(F.col("core") | (F.col("n_rim") > 0))
+    rims, cores = F.ceil(F.col("n_rim") / tile), F.ceil(F.col("n_core") / tile)
+    # Blocks of the rim have the numbers below rims, blocks of the core those above.
+    own = F.when(F.col("core"), rims + F.pmod(F.xxhash64("vec_id"), cores)).otherwise(F.pmod(F.xxhash64("vec_id"), rims))
+    others = F.sequence(zero, F.when(F.col("core"), rims).otherwise(rims + cores) - 1)
+    rim = placed.where("n_rim > 0").select("component_id", "vec_id", "embedding", own.alias("blk"), F.explode(others).alias("other"))
+    rim = rim.select("component_id", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "vec_id", "embedding")
+    counts = small.union(rim).groupBy("component_id", "i", "j").applyInPandas(_tile(threshold), "vec_id long, n long")
+    counts = counts.union(placed.where("core").select("vec_id", F.col("n_core") - 1))
     counts = counts.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     linked = scratch.save(label.withColumnRenamed("id", "vec_id").join(counts, "vec_id", "left"), "linked")
     return (
