@@ -40,10 +40,13 @@ FIXED = "__pii_fixed"
 # Given names by script and gender, surname beginnings and ends by script.
 FIRST = {
     ("latin", "f"): "Anna Clara Diana Elena Flora Greta Helen Irene Julia Laura Marta Nora Olga Paula Rosa Sara Tina Vera Wilma Zoe".split(),
+    ("latin", "n"): "Alex Andrea Charlie Dominique Jamie Jessie Kim Kris Morgan Nicola Robin Sam Sascha Toni".split(),
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Noah Oscar Paul Robert Simon Tom Viktor".split(),
     ("cyrillic", "f"): "Анна Вера Дарья Елена Зоя Ирина Мария Нина Ольга Юлия".split(),
+    ("cyrillic", "n"): "Валя Женя Саша Слава Шура".split(),
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Иван Максим Олег Павел Юрий".split(),
     ("greek", "f"): "Άννα Ελένη Ζωή Ιρίνα Μαρία Νίκη Σοφία Χλόη".split(),
+    ("greek", "n"): "Άλεξ Βάλια Χάρις".split(),
     ("greek", "m"): "Αλέξης Γιώργος Δήμος Κώστας Νίκος Πέτρος Σπύρος Φίλιππος".split(),
 }
 SURNAME = {
@@ -54,13 +57,16 @@ SURNAME = {
 TITLES = {
     "f": "Mrs Ms Miss Frau Madame Mme Mademoiselle Señora Sra Señorita Г-жа Κυρία".split(),
     "m": "Mr Herr Monsieur Señor Sr Г-н Κύριος".split(),
+    "n": "Dr Prof Mx Д-р Δρ".split(),
 }
 GENDER = {t.lower(): g for g, names in TITLES.items() for t in names}
+#: A title without gender takes that of a given name that is known.
+KNOWN = {name.lower(): g for (_, g), names in FIRST.items() for name in names}
 
 _WORD = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _PATTERNS = [
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----"),
-    ("secret", r"(?i:\b(?:token|api[_-]?key|access[_-]?key|secret|password|passwd|pwd))\s*[=:]\s*[\"']?(?P<secret>[^\s\"']{8,})"),
+    ("secret", r"(?i:\b(?:token|api[_-]?key|access[_-]?key|secret|password|passwd|pwd))[ \t]*[=:][ \t]*[\"']?(?P<secret>[^\s\"']{8,})"),
     ("secret", r"\b(?P<secret2>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})\b"),
     ("email", r"(?P<email>[\w.%+-]+@(?:[\w-]+\.)+[^\W\d_]{2,})"),
     ("iban", r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
@@ -72,9 +78,9 @@ _PATTERNS = [
     ("name", rf"(?P<title>\b(?:{'|'.join(sorted((t for n in TITLES.values() for t in n), key=len, reverse=True))}))(?P<gap>\.? +)(?P<name>{_WORD}(?: {_WORD})?)"),
 ]
 _ALL = re.compile("|".join(f"(?P<p{i}>{p})" for i, (_, p) in enumerate(_PATTERNS)))
-_MAYBE = re.compile(r"[0-9@]|-----BEGIN")
+_MAYBE = re.compile("[0-9@]")
 _TITLED = [t + s for n in TITLES.values() for t in n for s in (" ", ". ")]
-_SECRET_WORDS = ("token", "key", "secret", "passw", "pwd", "sk-", "gh")
+_SECRET_WORDS = ("token", "key", "secret", "passw", "pwd", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "akia")
 
 
 def _digits(s: str) -> str:
@@ -95,11 +101,27 @@ def _mod97(iban: str) -> int:
 
 
 def detect(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, entity) of each mention; the entity is the same for all ways to write it."""
-    if not _MAYBE.search(text) and not any(t in text for t in _TITLED):
-        low = text.lower()
-        if not any(w in low for w in _SECRET_WORDS):
-            return
+    """(start, end, kind, entity) of each mention; the entity is the same for all ways to write it.
+
+    Every kind but key blocks lies within a line and has a digit, an @, a title
+    or a word for secrets, so the patterns run on the lines that have one.
+    """
+    titles, low = [t for t in _TITLED if t in text], text.lower()
+    secrets = [w for w in _SECRET_WORDS if w in low]
+    if "-----BEGIN" in text:
+        yield from _mentions(text)
+        return
+    if not titles and not secrets and not _MAYBE.search(text):
+        return
+    at = 0
+    for line in text.split("\n"):
+        if _MAYBE.search(line) or any(t in line for t in titles) or (secrets and any(w in line.lower() for w in secrets)):
+            for a, b, kind, entity in _mentions(line):
+                yield at + a, at + b, kind, entity
+        at += len(line) + 1
+
+
+def _mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in _ALL.finditer(text):
         kind = next(k for i, (k, _) in enumerate(_PATTERNS) if m[f"p{i}"] is not None)
         if kind == "pem":
@@ -126,7 +148,8 @@ def detect(text: str) -> Iterator[tuple[int, int, str, str]]:
         elif kind in ("card", "ssn"):
             yield a, b, kind, _digits(raw)
         elif kind == "name":
-            yield a, b, kind, f"{GENDER[m['title'].lower()]}|{' '.join(raw.split()).lower()}"
+            gender, name = GENDER[m["title"].lower()], " ".join(raw.split()).lower()
+            yield a, b, kind, f"{KNOWN.get(name.split()[0], 'n') if gender == 'n' else gender}|{name}"
         else:
             yield a, b, kind, raw
 
