@@ -10,7 +10,7 @@
 Lists travel as gaps of sorted hashes, about five bytes for each distinct n-gram
 of a block, in place of one row for each n-gram; a common n-gram is counted
 once a block, so no key is hot. Both groupings hold bounded amounts: a shard
-about four million list entries, a block 2,048 documents.
+about two million list entries, a block 1,024 documents.
 
 A word's score after the two before it is c(abc) / c(ab) if c(abc) > 0, else
 0.4 * c(bc) / c(b) if c(bc) > 0, else 0.4**2 * c(c) / N; a word found nowhere
@@ -35,8 +35,8 @@ from .textops import gram_hashes, text_chunks, words
 
 ORDER, BACKOFF = 3, 0.4
 BITS = 48
-BLOCK_ROWS = 2048
-ENTRIES_PER_SHARD = 4_000_000
+BLOCK_ROWS = 1024
+ENTRIES_PER_SHARD = 2_000_000
 
 
 def file_blocks(files: DataFrame) -> DataFrame:
