@@ -66,15 +66,12 @@ def _grams(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield h >> np.uint32(32 - 18), inner
 
 
-def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's distinct n-gram numbers and their shares."""
-    out = []
-    for t in texts:
-        c, _ = _letters([t])
-        ids = np.concatenate([np.zeros(0, np.uint32), *(h[ok] for h, ok in _grams(c))])
-        k, n = np.unique(ids, return_counts=True)
-        out.append((k.astype(np.int32), (n / (NEUTRAL + len(ids))).astype(np.float32)))
-    return out
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct n-gram numbers and their weights in its mean."""
+    c, _ = _letters([text])
+    ids = np.concatenate([np.zeros(0, np.uint32), *(h[ok] for h, ok in _grams(c))])
+    k, n = np.unique(ids, return_counts=True)
+    return k.astype(np.int32), (n / (NEUTRAL + len(ids))).astype(np.float32)
 
 
 @dataclass
@@ -112,17 +109,17 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, updates: int = 32_
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     bias = np.array([np.log(1 - share), np.log(share)], np.float32)
     seen, seen_soft, seen_bias = np.full(BUCKETS, damp, np.float32), np.full((2, 1), 1e-3, np.float32), np.full(2, 1.0, np.float32)
-    data = bags(texts)
+    # Bags are made again whenever they are needed: kept, they would be most of the driver's memory.
     texts_with = np.zeros(BUCKETS, np.int32)
-    for ids, _ in data:
-        texts_with[ids] += 1
+    for t in texts:
+        texts_with[bag(t)[0]] += 1
     common = texts_with >= least_texts
-    data = [(ids[common[ids]], w[common[ids]]) for ids, w in data]
     vectors[~common] = 0
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for i in rng.permutation(len(data)):
-            ids, w = data[i]
+        for i in rng.permutation(len(texts)):
+            ids, w = bag(texts[i])
+            ids, w = ids[common[ids]], w[common[ids]]
             v = vectors[ids]
             mean = w @ v
             z = soft @ mean + bias
