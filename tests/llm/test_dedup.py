@@ -184,3 +184,35 @@ def test_pass_count_meets_its_bound():
     for rows in (10**4, 10**6, 10**8):
         hit = (1 - math.acos(0.95) / math.pi) ** math.log2(rows / 32)
         assert (1 - hit) ** pass_count(rows, 32, 0.95) <= 1.01e-4
+
+
+def test_pairs_inside_a_template_family(spark):
+    """Texts of one template lie below the similarity to each other; a few share more."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for f, common in enumerate((150, 168)):
+        template = " ".join(f"t{f}w{i}" for i in range(common))
+        for k in range(700):
+            i = f * 10_000 + k
+            # With its partner, one text in twenty shares a run of its own words.
+            pair = k // 20 * 20 if k % 20 < 2 else None
+            own = [f"o{rng.random()}" for _ in range(200 - common)]
+            if pair is not None:
+                run = [f"s{f}p{pair}x{j}" for j in range(173 - common)]
+                own[: len(run)] = run
+            rows.append((i, template + " " + " ".join(own)))
+    sets = {i: shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    links = []
+    for f in (0, 1):
+        part = [i for i in ids if i // 10_000 == f]
+        for x, a in enumerate(part):
+            for b in part[x + 1 :]:
+                both = len(sets[a] & sets[b])
+                if 4 * both >= 3 * (len(sets[a]) + len(sets[b]) - both):
+                    links.append((a, b))
+    assert len(links) == 70
+    want = classes(ids, links)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_documents(spark, df).collect()}
+    assert got == want

@@ -14,6 +14,12 @@ then every candidate that still joins two classes. A candidate inside one class
 needs no confirmation. Texts with the same word sequence count as one from the
 start.
 
+Neighbours leave out pairs of a region over 16 texts and pairs parted by the edge
+of a range partition. The texts of such regions are crowded; their pairs in
+different classes go through an exact set-similarity join: shingles in one order
+of rising frequency, pairs that share a shingle of their prefixes early enough
+to reach the similarity. No pair at the similarity is lost there.
+
 Defined results: null, empty and blank texts have no shingles and link with
 nothing; with fewer than five words the whole sequence is one shingle; rows
 with a null id are returned, kept, and link with nothing; repeated ids give a
@@ -39,6 +45,8 @@ VALUES = TREES * DEPTH
 LEAST_BITS = 95
 #: Ids of candidate texts are broadcast up to this count (16 MB), joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: Leading bits of a shingle whose count orders the shingles of crowded texts (a table of 2 MB).
+ORDER_BITS = 18
 
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(1, 1 << 32, VALUES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -143,14 +151,33 @@ def forest_neighbours(rows: pd.DataFrame, region: int = REGION, least: int = LEA
     return pd.concat(found) if found else none
 
 
+def _least_region(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(tree, leading labels) of the least deep region of each row."""
+    return rows["tree"].to_numpy(), rows["q0"].to_numpy().view(np.uint64) >> np.uint64(64 - 16 * LEAST_DEPTH)
+
+
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tail = None
+    """Candidates (a, b, bits), and a row with a = b for each crowded text."""
+
+    def marks(rows: pd.DataFrame, crowded: np.ndarray) -> pd.DataFrame:
+        ids = np.unique(rows["rep"].to_numpy()[crowded])
+        return pd.DataFrame({"a": ids, "b": ids, "bits": np.zeros(len(ids), np.int32)})
+
+    tail = edge = None
     for pdf in batches:
         for at in range(0, len(pdf), 50_000):
             part = pdf.iloc[at : at + 50_000]
             rows = part if tail is None else pd.concat([tail, part], ignore_index=True)
             yield forest_neighbours(rows).drop_duplicates()
+            tree, lead = _least_region(rows)
+            group = np.concatenate([[0], np.cumsum((tree[1:] != tree[:-1]) | (lead[1:] != lead[:-1]))])
+            # The first and the last region may go on in another partition.
+            edge = edge or (tree[0], lead[0])
+            yield marks(rows, (np.bincount(group)[group] > REGION) | ((tree == edge[0]) & (lead == edge[1])))
             tail = rows.iloc[-4 * REGION :]
+    if tail is not None:
+        tree, lead = _least_region(tail)
+        yield marks(tail, (tree == tree[-1]) & (lead == lead[-1]))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +198,64 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b")
 
 
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all shingles, number of each text)."""
+    return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(1 << ORDER_BITS, np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            n += np.bincount(_bucket(_flat(batch.column("set").slice(at, 1024))[0]), minlength=len(n))
+    own = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own])], ["bucket", "n"])
+
+
+def _prefixes(often: np.ndarray, percent: int):
+    """The shingles by which a text can meet a partner, rarest first; short marks those that suffice for the smaller of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                x, n = _flat(batch.column("set"))
+                text = np.repeat(np.arange(len(n)), n)
+                x = x[np.lexsort((x, often[_bucket(x)], text))]
+                place = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+                keep = place <= (n - -(-percent * n // 100))[text]
+                x, text, place = x[keep], text[keep], place[keep]
+                short = place <= (n - -(-2 * percent * n // (100 + percent)))[text]
+                ids, own = (batch.column(c).to_numpy()[text] for c in ("id", "class"))
+                cols = [x, ids, own, n[text].astype(np.int32), place.astype(np.int32), short]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "id", "class", "n", "place", "short"])
+
+    return run
+
+
+def crowded_pairs(scratch: Scratch, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of texts (id, class, set) in different classes that can reach the similarity; none that does is left out."""
+    counts = texts.select("set").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(1 << ORDER_BITS, np.int64)
+    often[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    prefixes = texts.mapInArrow(_prefixes(often, percent), "token long, id long, class long, n int, place int, short boolean")
+    prefixes = scratch.save(prefixes, "prefixes")
+    # A shingle with a large class meets only the texts outside this class.
+    tokens = prefixes.groupBy("token", "class").agg(F.count("*").alias("m")).groupBy("token")
+    tokens = tokens.agg(F.max_by("class", F.struct("m", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
+    shared = scratch.save(prefixes.join(tokens.drop("classes"), "token"), "shared")
+    scratch.drop(prefixes)
+    x, y = shared.where("short").alias("x"), shared.alias("y")
+    meet = "x.token = y.token and x.class <> y.class and (x.n < y.n or (x.n = y.n and x.id < y.id))"
+    meet += f" and {100 + percent} * least(x.n - x.place, y.n - y.place) >= {percent} * (x.n + y.n)"
+    met = x.where("x.class <> x.main").join(y, F.expr(meet)).union(x.where("x.class = x.main").join(y.where("y.class <> y.main"), F.expr(meet)))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     scratch = Scratch(spark, "documents")
@@ -187,12 +272,12 @@ def near_duplicate_documents(spark: SparkSession, docs: DataFrame, percent: int
         .repartitionByRange("tree", "q0", "q1", "rep")
         .sortWithinPartitions("tree", "q0", "q1", "rep")
         .mapInPandas(_candidates, "a long, b long, bits int")
-        .where("a <> b")
         .groupBy("a", "b")
         .agg(F.max("bits").alias("bits"))
     )
     pairs = scratch.save(pairs, "candidates")
     nodes = scratch.save(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "nodes")
+    crowded, pairs = pairs.where("a = b").select(F.col("a").alias("id")), pairs.where("a <> b")
     small = nodes.count() <= BROADCAST_IDS
     sets = docs.join(F.broadcast(nodes) if small else nodes, "doc_id", "left_semi").mapInArrow(_sets, "id long, set array<long>")
     sets = scratch.save(sets, "sets")
@@ -223,6 +308,11 @@ def near_duplicate_documents(spark: SparkSession, docs: DataFrame, percent: int
             links = links.union(more)
             label = components(scratch, label.toDF("a", "b").union(more))
         tried = tried.union(now)
+    texts = sets.join(crowded, "id", "left_semi").join(label, "id", "left").select("id", F.coalesce("component_id", "id").alias("class"), "set")
+    met = scratch.save(crowded_pairs(scratch, texts.where("size(set) > 0"), percent), "met")
+    more = scratch.save(confirmed(met, sets, percent), "links")
+    if not more.isEmpty():
+        label = components(scratch, label.toDF("a", "b").union(more))
     scratch.drop(sets)
     classes = scratch.save(
         first.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id")),
