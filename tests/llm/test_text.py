@@ -246,3 +246,14 @@ def test_clashes_are_drawn_again(spark):
     table = pii.surrogate_table(Scratch(spark, "t"), spark.createDataFrame([("ssn", "123456789"), ("ssn", gone)], "kind string, entity string"), KEY)
     rows = {r["entity"]: r for r in table.collect()}
     assert rows["123456789"]["nonce"] > 0 and len({r["surrogate"] for r in rows.values()}) == 2 and not {r["surrogate"] for r in rows.values()} & set(rows)
+
+
+def test_surrogates_do_not_run_out(spark):
+    """More names than first draws have surrogates, and a private range more than half full."""
+    names = [f"m|{a}{b}{c}" for a in "αβγδεζηθικ" for b in "αβγδεζηθικ" for c in "αβγδεζηθικ"] + [f"m|{a}ος" for a in "αβγδεζηθ"]
+    rows = [("name", n) for n in names] + [("ipv4", f"192.168.{i // 256}.{i % 256}") for i in range(40_000)] + [("ipv4", "8.8.8.8"), ("email", "анна@почта.рф")]
+    table = pii.surrogate_table(Scratch(spark, "t"), spark.createDataFrame(rows, "kind string, entity string").repartition(4), b"k").collect()
+    assert len(table) == len(rows) == len({(r["kind"], r["surrogate"]) for r in table})
+    assert all(r["surrogate"] != r["entity"] for r in table)
+    assert not {r["surrogate"] for r in table if r["kind"] == "name"} & set(names)
+    assert all(r["surrogate"].startswith("192.168.") for r in table if r["entity"].startswith("192.168."))

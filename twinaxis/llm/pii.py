@@ -8,6 +8,11 @@ never meet; check digits, country codes, private address ranges and the places
 of separators stay right for each mention. Names get a first name of the same
 gender and script and a surname of the same script.
 
+Where the entities are more than a quarter of all strings of their format, every
+one keeps a permutation without fixed points of the whole format, and a
+surrogate may be another entity. Names have no format to use up: each new draw is
+longer.
+
 What a permutation cannot exclude (two names with one surrogate, a surrogate
 that is itself an entity of the corpus) is checked over the table of distinct
 entities: all but one of each clashing set are drawn again with the next nonce
@@ -15,7 +20,7 @@ until no clash is left. Entities with a nonce above 0 go to the documents that
 mention them by a join, which Spark turns into a broadcast only if that table
 is small; all others are replaced where they are found, without a shuffle.
 
-Defined results: a null text stays null with no entities; texts without
+Defined results: a secret without any letter or digit stays as it is; a null text stays null with no entities; texts without
 entities stay as they are; rows with equal or null ids are handled each by
 itself; columns named n_entities and entity_kinds are replaced, other columns
 pass unchanged; an empty table gives no rows.
@@ -23,8 +28,10 @@ pass unchanged; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Iterator
 
@@ -36,6 +43,8 @@ from pyspark.sql import types as T
 from .common import Scratch
 
 FIXED = "__pii_fixed"
+#: The nonce of entities whose format is too full to draw again.
+FULL, FULL_NONCE = "full", 1 << 30
 
 # Given names by script and gender, surname beginnings and ends by script.
 FIRST = {
@@ -154,6 +163,54 @@ def _mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield a, b, kind, raw
 
 
+def _radix(s: str) -> list[str]:
+    """The characters that may stand at each place of a string of the same format."""
+    if re.fullmatch(r"(?=.*\d)(?=.*[a-fA-F])(?:[0-9a-f]{16,}|[0-9A-F]{16,})", s):
+        return ["0123456789abcdef" if s == s.lower() else "0123456789ABCDEF"] * len(s)
+    return [_alike(c) for c in s]
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _alike(c: str) -> str:
+    """The characters of one class with c: digits, letters of one case and, beyond ASCII, of one run of 32 code points."""
+    if c.isascii() or not c.isalpha():
+        return next((r for r in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in r), c)
+    base = ord(c) & ~31
+    return "".join(x for x in map(chr, range(base, base + 32)) if not x.isascii() and x.isalpha() and (x.islower(), x.lower() == x) == (c.islower(), c.lower() == c))
+
+
+def _private(n: int) -> int:
+    """Bits that vary in the private range of an IPv4 address; 32 outside of them."""
+    return next((b for base, b in ((0x0A000000, 24), (0xAC100000, 20), (0xC0A80000, 16), (0x7F000000, 24)) if n >> b == base >> b), 32)
+
+
+def space(kind: str, entity: str) -> tuple[str, float]:
+    """(format, number of its strings): a permutation leads from each format into one format."""
+    if kind == "name":
+        return "", math.inf
+    if kind == "ipv4":
+        n = int.from_bytes(bytes(map(int, entity.split("."))), "big")
+        return f"{n >> _private(n)}/{_private(n)}", 2.0 ** _private(n)
+    if kind == "ipv6":
+        return "", 2.0**128
+    if kind in ("card", "ssn", "phone"):
+        code, _, digits = entity.rpartition("|")
+        off = (int(digits[-1]) - _luhn(digits[:-1])) % 10 if kind == "card" else ""
+        return f"{code}|{len(digits)}|{off}", 10.0 ** (len(digits) - (kind == "card"))
+    fixed, rest = "", entity
+    if kind == "email":
+        rest, _, fixed = entity.rpartition("@")
+    elif kind == "iban":
+        fixed, rest = entity[:2], entity[4:]
+    elif kind == "secret" and (prefix := re.match(r"AKIA|gh[pousr]_|sk-|", entity)[0]):
+        fixed, rest = prefix, entity[len(prefix) :]
+    elif kind == "pem":
+        return str(len(entity)), math.inf
+    radix = _radix(rest)
+    shape = "".join(r[0] if len(r) > 1 else r for r in radix) + ("" if len(set(radix)) > 1 or not radix else str(len(radix[0])))
+    return f"{shape}@{fixed}", float(min(10**300, math.prod(len(r) for r in radix)))
+
+
 class Surrogates:
     """Keyed surrogates of entities; the nonce picks another one where two clash."""
 
@@ -167,25 +224,27 @@ class Surrogates:
         """A keyed permutation of range(size)."""
         if size < 2:
             return x
+        if FULL in tweak:
+            return self._feistel((self._feistel(x, size, tweak, False) + 1) % size, size, tweak, True)
+        return self._feistel(x, size, tweak, False)
+
+    def _feistel(self, x: int, size: int, tweak: tuple, back: bool) -> int:
         half = max(1, ((size - 1).bit_length() + 1) // 2)
         mask = (1 << half) - 1
         while True:
             a, b = x >> half, x & mask
             for r in range(6):
-                a, b = b, a ^ (self._number(*tweak, size, r, b) & mask)
+                if back:
+                    a, b = b ^ (self._number(*tweak, size, 5 - r, a) & mask), a
+                else:
+                    a, b = b, a ^ (self._number(*tweak, size, r, b) & mask)
             x = a << half | b
             if x < size:
                 return x
 
     def letters(self, s: str, *tweak) -> str:
-        """The string with its ASCII letters and digits permuted, each staying of its class."""
-        hexed = re.fullmatch(r"(?=.*\d)(?=.*[a-fA-F])(?:[0-9a-f]{16,}|[0-9A-F]{16,})", s)
-        radix = []
-        for c in s:
-            if hexed:
-                radix.append("0123456789abcdef" if s == s.lower() else "0123456789ABCDEF")
-            else:
-                radix.append(next((r for r in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in r), c))
+        """The string with its letters and digits permuted, each staying of its class."""
+        radix = _radix(s)
         x, size = 0, 1
         for c, r in zip(s, radix, strict=True):
             x, size = x * len(r) + r.index(c), size * len(r)
@@ -199,17 +258,17 @@ class Surrogates:
 
     def of(self, kind: str, entity: str, nonce: int = 0) -> str:
         """The surrogate of an entity, in the entity's canonical form."""
-        t = (kind, nonce)
+        t = (kind, FULL if nonce == FULL_NONCE else nonce)
         if kind == "email":
             local, _, domain = entity.rpartition("@")
             labels = domain.split(".")
             return f"{self.letters(local, *t)}@{'.'.join([*(self.letters(x, 'domain', i) for i, x in enumerate(labels[:-1])), labels[-1]])}"
         if kind == "ipv4":
             n = int.from_bytes(bytes(map(int, entity.split("."))), "big")
-            bits = next((b for base, b in ((0x0A000000, 24), (0xAC100000, 20), (0xC0A80000, 16), (0x7F000000, 24)) if n >> b == base >> b), 32)
+            bits = _private(n)
             while True:
                 n = n >> bits << bits | self.permuted(n & ((1 << bits) - 1), 1 << bits, *t, bits)
-                if bits < 32 or not any(n >> b == base >> b for base, b in ((0x0A000000, 24), (0xAC100000, 20), (0xC0A80000, 16), (0x7F000000, 24))):
+                if bits < 32 or _private(n) == 32:
                     return ".".join(map(str, n.to_bytes(4, "big")))
         if kind == "ipv6":
             n = self.permuted(int(entity.replace(":", ""), 16) & ((1 << 64) - 1), 1 << 64, *t)
@@ -236,7 +295,9 @@ class Surrogates:
             x, a = divmod(x, len(heads))
             x, b = divmod(x, len(ends))
             x, c = divmod(x, len(heads))
-            last = heads[a] + (heads[c].lower() if x & 1 else "") + ends[b]
+            # Each draw adds a syllable, so there is no number of entities that uses the names up.
+            more = "".join(heads[self._number(*t, entity, i) % len(heads)].lower() for i in range(nonce))
+            last = heads[a] + (heads[c].lower() if x & 1 else "") + more + ends[b]
             last += "а" * (script == "cyrillic" and gender == "f")
             firsts = FIRST[script, gender]
             return f"{gender}|{firsts[(x >> 1) % len(firsts)]} {last}".lower() if " " in name else f"{gender}|{last}".lower()
@@ -299,10 +360,23 @@ def _drawn(key: bytes):
     return run
 
 
+def _spaces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        made = [space(k, e) for k, e in zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)]
+        formats = [hashlib.sha256(f.encode("utf-8", "surrogatepass")).hexdigest() for f, _ in made]
+        yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array(formats, pa.string()), pa.array([n for _, n in made], pa.float64())], ["kind", "entity", "format", "size"])
+
+
 def surrogate_table(scratch: Scratch, entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, nonce, surrogate) of distinct entities (kind, entity): no two alike, none an entity itself."""
+    """(kind, entity, nonce, surrogate) of distinct entities (kind, entity): no two alike, none an entity itself unless its format is over a quarter full."""
     schema = "kind string, entity string, nonce int, surrogate string"
-    table = scratch.save(entities.withColumn("nonce", F.lit(0)).mapInArrow(_drawn(key), schema), "surrogates")
+    formats = entities.select("kind", "entity").mapInArrow(_spaces, "kind string, entity string, format string, size double")
+    formats = scratch.save(formats.where(F.col("size") < F.lit(4.0) * entities.count()), "formats")
+    full = formats.groupBy("kind", "format").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("4 * n > size").select("kind", "format")
+    full = formats.join(full, ["kind", "format"], "left_semi").select("kind", "entity").withColumn("nonce", F.lit(FULL_NONCE))
+    full = scratch.save(full.mapInArrow(_drawn(key), schema), "full")
+    rest = entities.select("kind", "entity").join(full, ["kind", "entity"], "left_anti")
+    table = scratch.save(rest.withColumn("nonce", F.lit(0)).mapInArrow(_drawn(key), schema), "surrogates")
     for _ in range(100):
         first = table.groupBy("kind", "surrogate").agg(F.min(F.struct("nonce", "entity")).alias("m"), F.count("*").alias("n"))
         double = first.where("n > 1").select("kind", "surrogate", F.col("m.nonce").alias("keep_nonce"), F.col("m.entity").alias("keep"))
@@ -310,7 +384,7 @@ def surrogate_table(scratch: Scratch, entities: DataFrame, key: bytes) -> DataFr
         real = table.join(entities.select("kind", F.col("entity").alias("surrogate")), ["kind", "surrogate"], "left_semi")
         again = scratch.save(alike.union(real.select("kind", "entity", "nonce")).distinct(), "clashes")
         if again.isEmpty():
-            return table
+            return table.union(full)
         new = again.withColumn("nonce", F.col("nonce") + 1).mapInArrow(_drawn(key), schema)
         table = scratch.save(table.join(again.select("kind", "entity"), ["kind", "entity"], "left_anti").select(*new.columns).union(new), "surrogates")
     raise ValueError("surrogates still clash after 100 draws; the space of a kind is exhausted")
