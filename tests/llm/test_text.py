@@ -257,3 +257,32 @@ def test_surrogates_do_not_run_out(spark):
     assert all(r["surrogate"] != r["entity"] for r in table)
     assert not {r["surrogate"] for r in table if r["kind"] == "name"} & set(names)
     assert all(r["surrogate"].startswith("192.168.") for r in table if r["entity"].startswith("192.168."))
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("Tel ０９０-１２３-４５６７ (24h)", "phone"),
+        ("Tel ０９０-１２３-４５６７", "phone"),
+        ("call +٩٦٦ ٥٠ ١٢٣ ٤٥٦٧ room 5", "phone"),
+        ("id १२३४५६७८९०१२३ no", "card"),
+        ("on １９２.１６８.０.１ only", "ipv4"),
+        ("ＩＤ １２３-４５-６７８９", "ssn"),
+        ("at abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd now", "ipv6"),
+        ("paſſword=hunterhunter", "secret"),
+    ],
+)
+def test_digits_of_every_script(text, kind):
+    assert list(pii.detect(text)) == list(pii._mentions(text))
+    s = pii.Surrogates(b"k")
+    out, kinds = pii.replace(text, s)
+    assert kinds == [kind] and out != text
+    ((a, b, _, entity),) = pii.detect(text)
+    assert entity.isascii()
+    assert out[:a] == text[:a] and out.endswith(text[b:])
+    if kind in ("phone", "card", "ssn"):
+        # The separators and the script of each digit stay.
+        blocks = [[ord(c) - int(c) if c.isdecimal() else c for c in t] for t in (text, out)]
+        assert blocks[0] == blocks[1]
+    ((_, _, again, found),) = pii.detect(out)
+    assert again == kind and found == s.of(kind, entity)

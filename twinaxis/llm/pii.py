@@ -87,13 +87,23 @@ _PATTERNS = [
     ("name", rf"(?P<title>\b(?:{'|'.join(sorted((t for n in TITLES.values() for t in n), key=len, reverse=True))}))(?P<gap>\.? +)(?P<name>{_WORD}(?: {_WORD})?)"),
 ]
 _ALL = re.compile("|".join(f"(?P<p{i}>{p})" for i, (_, p) in enumerate(_PATTERNS)))
-_MAYBE = re.compile("[0-9@]")
+_MAYBE = re.compile(r"[\d@]|[A-Fa-f]:[A-Fa-f]")
 _TITLED = [t + s for n in TITLES.values() for t in n for s in (" ", ". ")]
 _SECRET_WORDS = ("token", "key", "secret", "passw", "pwd", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "akia")
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if c.isdigit() and c.isascii())
+    """The decimals of any script, as ASCII digits."""
+    return "".join(str(int(c)) for c in s if c.isdecimal())
+
+
+def _ascii(s: str) -> str:
+    return s if s.isascii() else "".join(str(int(c)) if c.isdecimal() else c for c in s)
+
+
+def _in_script(digit: str, like: str) -> str:
+    """The digit in the script of another."""
+    return chr(ord(like) - int(like) + int(digit))
 
 
 def _luhn(digits: str) -> int:
@@ -112,10 +122,10 @@ def _mod97(iban: str) -> int:
 def detect(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, entity) of each mention; the entity is the same for all ways to write it.
 
-    Every kind but key blocks lies within a line and has a digit, an @, a title
-    or a word for secrets, so the patterns run on the lines that have one.
+    Every kind but key blocks lies within a line and has a digit of any
+    script, an @, a colon between hexadecimal letters, a title or a word for secrets, so the patterns run on the lines that have one.
     """
-    titles, low = [t for t in _TITLED if t in text], text.lower()
+    titles, low = [t for t in _TITLED if t in text], text.casefold()
     secrets = [w for w in _SECRET_WORDS if w in low]
     if "-----BEGIN" in text:
         yield from _mentions(text)
@@ -124,7 +134,7 @@ def detect(text: str) -> Iterator[tuple[int, int, str, str]]:
         return
     at = 0
     for line in text.split("\n"):
-        if _MAYBE.search(line) or any(t in line for t in titles) or (secrets and any(w in line.lower() for w in secrets)):
+        if _MAYBE.search(line) or any(t in line for t in titles) or (secrets and any(w in line.casefold() for w in secrets)):
             for a, b, kind, entity in _mentions(line):
                 yield at + a, at + b, kind, entity
         at += len(line) + 1
@@ -148,12 +158,12 @@ def _mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
         elif kind == "ipv6":
             yield a, b, kind, ":".join(f"{int(x, 16):04x}" for x in raw.split(":"))
         elif kind == "iban":
-            plain = raw.replace(" ", "")
+            plain = _ascii(raw.replace(" ", ""))
             if 15 <= len(plain) <= 34 and _mod97(plain) == 1:
                 yield a, b, kind, plain
         elif kind == "phone":
             code = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", raw)
-            yield a, b, kind, f"{code[0] if code else ''}|{_digits(raw[code.end() if code else 0 :])}"
+            yield a, b, kind, f"{_ascii(code[0]) if code else ''}|{_digits(raw[code.end() if code else 0 :])}"
         elif kind in ("card", "ssn"):
             yield a, b, kind, _digits(raw)
         elif kind == "name":
@@ -312,10 +322,14 @@ def written(kind: str, mention: str, surrogate: str) -> str:
     if kind in ("card", "ssn", "phone"):
         digits = iter(surrogate.split("|")[-1])
         code = len(surrogate.split("|")[0]) if kind == "phone" else 0
-        return mention[:code] + "".join(next(digits) if c.isdigit() and c.isascii() else c for c in mention[code:])
+        return mention[:code] + "".join(_in_script(next(digits), c) if c.isdecimal() else c for c in mention[code:])
     if kind == "iban":
         letters = iter(surrogate)
-        return "".join(c if c == " " else next(letters) for c in mention)
+        made = [(c, c if c == " " else next(letters)) for c in mention]
+        return "".join(_in_script(x, c) if c.isdecimal() and x.isdecimal() else x for c, x in made)
+    if kind == "ipv4" and not mention.isascii():
+        like = next(c for c in mention if c.isdecimal() and not c.isascii())
+        return "".join(_in_script(c, like) if c.isdecimal() else c for c in surrogate)
     if kind == "name":
         name = surrogate.split("|", 1)[1]
         return name.upper() if mention.isupper() else name.title()
