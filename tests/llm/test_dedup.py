@@ -216,3 +216,27 @@ def test_pairs_inside_a_template_family(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: r["component_id"] for r in near_duplicate_documents(spark, df).collect()}
     assert got == want
+
+
+def test_vectors_of_a_dense_cone(spark):
+    rng = np.random.default_rng(4)
+    n, dim, near = 6000, 64, 0.955
+    middle = np.eye(dim)[0]
+    side = rng.standard_normal((n, dim))
+    side[:, 0] = 0
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    # Every fiftieth vector leans to the one before it.
+    lean = (near - 0.86) / 0.14
+    other = side[1::50] - (side[1::50] * side[0::50]).sum(1)[:, None] * side[0::50]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    side[1::50] = lean * side[0::50] + math.sqrt(1 - lean**2) * other
+    v = (math.sqrt(0.86) * middle + math.sqrt(0.14) * side).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(n + i, x.tolist()) for i, x in enumerate(rng.standard_normal((6000, dim)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = {r["vec_id"]: r["component_id"] for r in near_duplicate_vectors(spark, df).collect()}
+    u = v.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
+    assert len(a) >= 100
+    lab = np_components(n, a, b)
+    assert [got[i] for i in range(n)] == lab.tolist()

@@ -6,6 +6,11 @@ compares each with its next neighbours. Verified links become stars where they
 are found; the passes' stars are united. Within the classes so found, links
 are then counted exactly, tile by tile, without writing pairs.
 
+The number of passes supposes that signs part the rows evenly. Each row's own
+chance to meet a partner at the threshold is measured in the sorted rows; rows
+that are left with a chance over LEFT to miss it, as in a dense cone or beside
+the edges of range partitions, are compared with each other exactly, in tiles.
+
 Defined results: a null vector, one with a null or non-finite component, and a
 zero vector link with nothing; vectors of different lengths never link; a
 repeated row counts as a row of its own under the same id; a null id links with
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, np_components
 
 BITS = 62
+#: Rows of a side of a tile of dense rows, and the measured chance of a miss from which a row counts as dense.
+DENSE_TILE, LEFT = 2048, 1e-3
 
 
 def pass_count(rows: int, window: int, threshold: float, miss: float = 1e-4) -> int:
@@ -78,6 +85,22 @@ def _windows(window: int, threshold: float):
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
+    agree = 1 - math.acos(threshold) / math.pi
+
+    def measured(rows: pd.DataFrame) -> pd.DataFrame:
+        """Logarithm of the chance that a row misses a partner in this pass; rows near the ends count in another call, or as missing it."""
+        i = np.arange(window, max(window, len(rows) - window))
+        key, of, dim = (rows[c].to_numpy() for c in ("key", "pass", "dim"))
+
+        def common(j: np.ndarray) -> np.ndarray:
+            signs = BITS - np.frexp((key[i] ^ key[j]).astype(np.float64))[1]
+            return np.where((of[i] == of[j]) & (dim[i] == dim[j]), signs, -1)
+
+        # A partner that agrees in one sign more than the rows a window away stands inside the window.
+        need = np.maximum(common(i - window), common(i + window)) + 1
+        miss = np.where(need > BITS, 0.0, np.log1p(-np.minimum(agree**need, 1 - 1e-12)))
+        return pd.DataFrame({"a": rows["vec_id"].to_numpy()[i], "miss": miss})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = None
         for pdf in batches:
@@ -88,8 +111,29 @@ def _windows(window: int, threshold: float):
                 lab = np_components(len(rows), a, b)
                 ids = rows["vec_id"].to_numpy()
                 own = np.flatnonzero(lab != np.arange(len(rows)))
-                yield pd.DataFrame({"a": ids[own], "b": ids[lab[own]]})
-                tail = rows.iloc[-window:]
+                yield pd.DataFrame({"a": ids[own], "b": ids[lab[own]], "miss": 0.0})
+                yield measured(rows).assign(b=None)[["a", "b", "miss"]]
+                tail = rows.iloc[-2 * window :]
+
+    return run
+
+
+def _dense_tile(threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        none = np.zeros(0, np.int64)
+        out = [pd.DataFrame({"a": none, "b": none})]
+        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
+        for _, rows in pdf.groupby(pdf["embedding"].map(len)):
+            v, blk = _units(rows["embedding"]), rows["blk"].to_numpy()
+            ids, own = rows["vec_id"].to_numpy(), rows["class"].to_numpy()
+            left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+            for at in range(0, len(left), 256):
+                part = left[at : at + 256]
+                a, b = np.nonzero((v[part] @ v[right].T >= threshold) & (own[part][:, None] != own[right]))
+                lab = np_components(len(v), part[a], right[b])
+                new = np.flatnonzero(lab != np.arange(len(v)))
+                out.append(pd.DataFrame({"a": ids[new], "b": ids[lab[new]]}))
+        return pd.concat(out)
 
     return run
 
@@ -152,8 +196,8 @@ def near_duplicate_vectors(
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding).
 
-    The number of passes follows from the row count, so recall is the same at
-    every size. A class over tile vectors is parted into a core, whose vectors are
+    The number of passes follows from the row count, and rows denser than that
+    supposes are compared exactly, so recall is the same at every size. A class over tile vectors is parted into a core, whose vectors are
     all linked with each other by the triangle inequality of angles, and a rim.
     Rim vectors are compared with the class in tiles of about tile by tile rows
     dealt by hash; no task holds more, and only counts leave it.
@@ -169,8 +213,20 @@ def near_duplicate_vectors(
         .repartitionByRange("pass", "dim", "key", "vec_id")
         .sortWithinPartitions("pass", "dim", "key", "vec_id")
     )
-    links = sorted_.mapInPandas(_windows(window, threshold), "a long, b long")
-    label = components(scratch, links)
+    links = sorted_.mapInPandas(_windows(window, threshold), "a long, b long, miss double")
+    links = scratch.save(links.groupBy("a", "b").agg(F.sum("miss").alias("miss"), F.count("*").alias("n")), "links")
+    label = components(scratch, links.select("a", "b"))
+
+    # Rows under one id add up their chances, so they count as dense.
+    sure = links.where(f"b is null and n <= {passes} and miss <= {math.log(LEFT)}").select(F.col("a").alias("vec_id"))
+    dense = fine.join(sure, "vec_id", "left_anti").join(label.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    dense = scratch.save(dense.select("vec_id", "embedding", F.coalesce("component_id", "vec_id").alias("class")), "dense")
+    blocks = F.lit(-(-dense.count() // DENSE_TILE) or 1).cast("long")
+    dealt = dense.withColumn("blk", F.pmod(F.xxhash64("vec_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select(F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "vec_id", "embedding", "class")
+    more = scratch.save(dealt.groupBy("i", "j").applyInPandas(_dense_tile(threshold), "a long, b long"), "links")
+    if not more.isEmpty():
+        label = components(scratch, label.toDF("a", "b").union(more))
     size = label.groupBy("component_id").agg(F.count("*").alias("m"))
     members = fine.join(label.withColumnRenamed("id", "vec_id"), "vec_id").join(size, "component_id")
     zero = F.lit(0).cast("long")
