@@ -132,3 +132,16 @@ def test_pipeline_stages(spark, tmp_path):
         now = out
     whole = p.run(spark, DATA)
     assert {(r["doc_id"], r["doc_tokens"]) for r in whole.collect()} == {(r["doc_id"], r["t"]) for r in pieces}
+
+
+def test_appends_with_different_columns(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s", fan_in=2)
+    for i in range(2):
+        store.append(spark.createDataFrame([(i, f"a{i}")], "doc_id long, text string").coalesce(1))
+        store.append(spark.createDataFrame([(10 + i, f"b{i}", f"x{i}")], "doc_id long, text string, extra string").coalesce(1))
+    want = [(0, "a0", None), (1, "a1", None), (10, "b0", "x0"), (11, "b1", "x1")]
+    assert sorted(map(tuple, store.read().select("doc_id", "text", "extra").collect())) == want
+    store.compact()
+    store.vacuum()
+    assert store.manifest().count() == 1
+    assert sorted(map(tuple, store.read().select("doc_id", "text", "extra").collect())) == want

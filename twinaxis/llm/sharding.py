@@ -17,7 +17,8 @@ Only DataFrame operations and Parquet touch the rows. The driver handles one
 manifest row for each file.
 
 Defined results: rows are kept as they are, whatever nulls, repeats or extra
-columns they have; an empty append commits a version without new files; reading
+columns they have; arrivals with different columns are read and merged under all
+of them, null where a row has none; an empty append commits a version without new files; reading
 a store without files needs a schema and gives no rows.
 """
 
@@ -127,7 +128,7 @@ class ShardStore:
             packed.conf.set("spark.sql.files.openCostInBytes", "0")
             packed.conf.set("spark.sql.files.minPartitionNum", "1")
             folder = f"{self.path}/data/{base + 1}-{uuid.uuid4().hex}"
-            packed.read.parquet(*files).write.option("compression", "zstd").parquet(folder)
+            packed.read.option("mergeSchema", "true").parquet(*files).write.option("compression", "zstd").parquet(folder)
             new = self._written(folder, base + 1)
             if new.count() >= len(files):
                 # Runs too large to go together stay as they are and count as full.
@@ -142,7 +143,7 @@ class ShardStore:
         files = [r["file"] for r in self.manifest(version).select("file").collect()]
         if not files:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(*files)
+        return self.spark.read.option("mergeSchema", "true").parquet(*files)
 
     def vacuum(self, keep_versions: int = 1) -> None:
         """Deletes older versions and the files that no kept version names."""
