@@ -169,3 +169,18 @@ def test_every_query_matches_its_sql(spark):
             if got != _plain(res.fetchall(), [c[0] for c in res.description]):
                 wrong.append(name)
     assert not wrong
+
+
+def test_shredding_covers_every_subject(spark):
+    from conftest import DATA
+    from pyspark.sql import functions as F
+
+    from twinaxis import queries
+    from twinaxis.operators import search
+
+    p = search.postings(queries.datoms(spark, DATA, "benchmark"))
+    want = {tuple(r) for r in p.groupBy("subject", "term").agg(F.count("*")).collect()}
+    got = {tuple(r) for r in queries._shredded(spark, DATA, "item:2").collect()}
+    assert len({s for s, _, _ in got}) > 3
+    assert got == {r for r in want if r[0] != "item:2"}
+    assert {tuple(r) for r in queries.queries()["erasure_shred"](spark, DATA).collect()} == {r for r in want if r[0] in ("item:1", "item:3")}

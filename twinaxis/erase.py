@@ -8,8 +8,10 @@ READ still returns a shredded subject's datoms unless asked to hide them.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,23 @@ class Keystore:
         return self.spark.createDataFrame(rows, KEYS)
 
 
+def allocate_all(subjects: DataFrame) -> DataFrame:
+    """A key table with a live key for each of the distinct subjects; keys are random, so write the table before using it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [(s, os.urandom(16), os.urandom(32), False) for s in pdf["subject"]]
+            yield pd.DataFrame(made, columns=["subject", "handle", "key", "destroyed"])
+
+    return subjects.select("subject").mapInPandas(run, KEYS)
+
+
+def destroy_of(keys: DataFrame, subject: str) -> DataFrame:
+    """The key table after the subject's keys are destroyed; their handles stay known."""
+    gone = F.col("subject") == subject
+    return keys.select("subject", "handle", F.when(~gone, F.col("key")).alias("key"), (F.col("destroyed") | gone).alias("destroyed"))
+
+
 def seal(postings: DataFrame, keys: DataFrame) -> DataFrame:
     """(handle, sealed): postings (subject, term) under their subjects' live keys."""
     x = postings.join(keys.where("not destroyed"), "subject")

@@ -541,17 +541,21 @@ _register(
 )
 
 
+def _shredded(spark: SparkSession, sf_dir: str, subject: str) -> DataFrame:
+    """Posting counts of all subjects, sealed, after one subject's key was destroyed."""
+    from .erase import allocate_all, destroy_of, open_, seal
+    from .llm.common import Scratch
+
+    scratch = Scratch(spark, "erasure")
+    p = search.postings(datoms(spark, sf_dir, "benchmark")).select("subject", "term")
+    keys = scratch.save(allocate_all(p.select("subject").distinct()), "keys")
+    sealed = scratch.save(seal(p, keys), "sealed")
+    return open_(sealed, scratch.save(destroy_of(keys, subject), "keys")).groupBy("subject", "term").agg(F.count("*").alias("n"))
+
+
 def _shredding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .erase import Keystore, open_, seal
-
-    p = search.postings(datoms(spark, sf_dir, "benchmark")).select("subject", "term").where("subject in ('item:1', 'item:2', 'item:3')")
-    keys = Keystore(spark)
-    for subject in ("item:1", "item:2", "item:3"):
-        keys.allocate(subject)
-    before = keys.table()
-    sealed = seal(p, before)
-    keys.shred("item:2")
-    return open_(sealed, keys.table()).groupBy("subject", "term").agg(F.count("*").alias("n"))
+    # All subjects are sealed and opened; the result has those its SQL names.
+    return _shredded(spark, sf_dir, "item:2").where("subject in ('item:1', 'item:2', 'item:3')")
 
 
 _register("erasure_shred", _shredding, f"select * from ({_ORACLES['search_postings']}) where subject in ('item:1', 'item:3')")
