@@ -240,3 +240,19 @@ def test_vectors_of_a_dense_cone(spark):
     assert len(a) >= 100
     lab = np_components(n, a, b)
     assert [got[i] for i in range(n)] == lab.tolist()
+
+
+def test_vectors_across_partition_edges(spark):
+    """Few vectors, a range partition for nearly each: no pair is lost at the edges."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((12, 8))
+    rows = [(i, (base[i // 2] + rng.standard_normal(8) * 0.05).astype(np.float32).tolist()) for i in range(24)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        got = {r["vec_id"]: r["component_id"] for r in near_duplicate_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    assert got == {i: i // 2 * 2 for i in range(24)}
