@@ -82,6 +82,14 @@ class Scratch:
             fs, p = hadoop_path(self.spark, t._twinaxis_at)
             fs.delete(p, True)
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Deletes all tables but those that a result still reads."""
+        kept = {t._twinaxis_at.rsplit("/", 1)[-1] for t in tables}
+        fs, p = hadoop_path(self.spark, self.path)
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            if s.getPath().getName() not in kept:
+                fs.delete(s.getPath(), True)
+
     def close(self) -> None:
         fs, p = hadoop_path(self.spark, self.path)
         fs.delete(p, True)

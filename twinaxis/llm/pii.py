@@ -20,10 +20,15 @@ until no clash is left. Entities with a nonce above 0 go to the documents that
 mention them by a join, which Spark turns into a broadcast only if that table
 is small; all others are replaced where they are found, without a shuffle.
 
-Defined results: a secret without any letter or digit stays as it is; a null text stays null with no entities; texts without
-entities stay as they are; rows with equal or null ids are handled each by
-itself; columns named n_entities and entity_kinds are replaced, other columns
-pass unchanged; an empty table gives no rows.
+No entity is ever written in the clear: scratch tables hold it under a keyed
+deterministic cipher, so equal entities still join, and all but the table of
+redrawn surrogates are deleted before the result is returned.
+
+Defined results: a secret without any letter or digit becomes letters of the
+same length; a key block without any is no entity; a null text stays null with
+no entities; texts without entities stay as they are; rows with equal or null
+ids are handled each by itself; columns named n_entities and entity_kinds are
+replaced, other columns pass unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import hmac
+import ipaddress
 import math
 import re
 from collections.abc import Iterator
@@ -45,6 +51,8 @@ from .common import Scratch
 FIXED = "__pii_fixed"
 #: The nonce of entities whose format is too full to draw again.
 FULL, FULL_NONCE = "full", 1 << 30
+#: Characters of a string that are permuted together; a longer one is a chain of such pieces.
+PIECE = 128
 
 # Given names by script and gender, surname beginnings and ends by script.
 FIRST = {
@@ -72,23 +80,31 @@ GENDER = {t.lower(): g for g, names in TITLES.items() for t in names}
 #: A title without gender takes that of a given name that is known.
 KNOWN = {name.lower(): g for (_, g), names in FIRST.items() for name in names}
 
+#: Words after which two capitalised words are a name, and known first names before one.
+CUES = "Contact Attn Dear From Name Regards Sincerely Signed Ansprechpartner Kontakt Contacto".split()
+
 _WORD = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _PATTERNS = [
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----"),
-    ("secret", r"(?i:\b(?:token|api[_-]?key|access[_-]?key|secret|password|passwd|pwd))[ \t]*[=:][ \t]*[\"']?(?P<secret>[^\s\"']{8,})"),
+    ("secret", r"(?i:\b(?:token|api[_-]?key|access[_-]?key|secret|password|passwd|pwd))\s*[=:]\s*[\"']?(?P<secret>[^\s\"']{8,})"),
     ("secret", r"\b(?P<secret2>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})\b"),
     ("email", r"(?P<email>[\w.%+-]+@(?:[\w-]+\.)+[^\W\d_]{2,})"),
     ("iban", r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
-    ("ipv6", r"(?<![\w:])(?P<ipv6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![\w:])"),
+    ("ipv6", r"(?<![\w:.])(?P<ipv6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])"),
     ("ipv4", r"(?<![\w.])(?P<ipv4>(?:\d{1,3}\.){3}\d{1,3})(?!\w|\.\d)"),
-    ("phone", r"(?<!\w)(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\) ?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"),
+    ("phone", r"(?<!\w)(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\) ?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d(?:[ .-]\d{2}){4})(?!\w)"),
     ("ssn", r"(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"),
     ("card", r"(?<!\w)(?P<card>\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"),
     ("name", rf"(?P<title>\b(?:{'|'.join(sorted((t for n in TITLES.values() for t in n), key=len, reverse=True))}))(?P<gap>\.? +)(?P<name>{_WORD}(?: {_WORD})?)"),
+    ("name", rf"\b(?:{'|'.join(CUES)})(?::|,)? +(?P<name2>{_WORD} {_WORD})"),
 ]
 _ALL = re.compile("|".join(f"(?P<p{i}>{p})" for i, (_, p) in enumerate(_PATTERNS)))
 _MAYBE = re.compile(r"[\d@]|[A-Fa-f]:[A-Fa-f]")
-_TITLED = [t + s for n in TITLES.values() for t in n for s in (" ", ". ")]
+_TITLED = [t + s for n in TITLES.values() for t in n for s in (" ", ". ")] + [t + s for t in CUES for s in (" ", ": ", ", ")]
+_KEYWORD = r"(?i:\b(?:token|api[_-]?key|access[_-]?key|secret|password|passwd|pwd))"
+#: A secret whose word, sign and value stand on more than one line.
+_ACROSS = re.compile(_KEYWORD + r"(?P<gap>\s*[=:]\s*)(?=[^\s])")
+_KEY_BLOCK = re.compile(r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)([\s\S]*?)(-----END [A-Z ]*PRIVATE KEY-----)")
 _SECRET_WORDS = ("token", "key", "secret", "passw", "pwd", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "akia")
 
 
@@ -122,8 +138,10 @@ def _mod97(iban: str) -> int:
 def detect(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, entity) of each mention; the entity is the same for all ways to write it.
 
-    Every kind but key blocks lies within a line and has a digit of any
-    script, an @, a colon between hexadecimal letters, a title or a word for secrets, so the patterns run on the lines that have one.
+    Every kind but key blocks lies within a line, or within the lines that a
+    word for secrets and its value stand on, and has a digit of any script, an
+    @, a colon between hexadecimal letters, a title or cue, or a word for
+    secrets, so the patterns run on the lines that have one.
     """
     titles, low = [t for t in _TITLED if t in text], text.casefold()
     secrets = [w for w in _SECRET_WORDS if w in low]
@@ -133,20 +151,41 @@ def detect(text: str) -> Iterator[tuple[int, int, str, str]]:
     if not titles and not secrets and not _MAYBE.search(text):
         return
     at = 0
-    for line in text.split("\n"):
+    for line in _lines(text, bool(secrets)):
         if _MAYBE.search(line) or any(t in line for t in titles) or (secrets and any(w in line.casefold() for w in secrets)):
             for a, b, kind, entity in _mentions(line):
                 yield at + a, at + b, kind, entity
         at += len(line) + 1
 
 
+def _lines(text: str, secrets: bool) -> list[str]:
+    """The lines of a text; those that one secret stands on are one."""
+    lines = text.split("\n")
+    if not secrets or len(lines) == 1:
+        return lines
+    glued = [(m.start(), m.end()) for m in _ACROSS.finditer(text) if "\n" in m["gap"]]
+    if not glued:
+        return lines
+    out, at, k = [], 0, 0
+    for line in lines:
+        while k < len(glued) and glued[k][1] < at:
+            k += 1
+        if out and k < len(glued) and glued[k][0] < at:
+            out[-1] += "\n" + line
+        else:
+            out.append(line)
+        at += len(line) + 1
+    return out
+
+
 def _mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in _ALL.finditer(text):
         kind = next(k for i, (k, _) in enumerate(_PATTERNS) if m[f"p{i}"] is not None)
         if kind == "pem":
-            yield m.start(), m.end(), kind, m[0]
+            if any(len(_alike(c)) > 1 for c in _KEY_BLOCK.fullmatch(m[0])[2]):
+                yield m.start(), m.end(), kind, m[0]
             continue
-        group = "secret2" if kind == "secret" and m["secret"] is None else kind
+        group = "secret2" if kind == "secret" and m["secret"] is None else "name2" if kind == "name" and m["name"] is None else kind
         a, b = m.span(group)
         raw = m[group]
         if kind == "email":
@@ -156,6 +195,14 @@ def _mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
             if max(parts) < 256:
                 yield a, b, kind, ".".join(map(str, parts))
         elif kind == "ipv6":
+            if "::" in raw:
+                # Scope operators of programs look alike; an address has digits and three groups at least.
+                if sum(bool(x) for x in raw.split(":")) < 3 or not any(c.isdecimal() for c in raw):
+                    continue
+                try:
+                    raw = ipaddress.IPv6Address(raw).exploded
+                except ValueError:
+                    continue
             yield a, b, kind, ":".join(f"{int(x, 16):04x}" for x in raw.split(":"))
         elif kind == "iban":
             plain = _ascii(raw.replace(" ", ""))
@@ -165,7 +212,13 @@ def _mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
             code = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", raw)
             yield a, b, kind, f"{_ascii(code[0]) if code else ''}|{_digits(raw[code.end() if code else 0 :])}"
         elif kind in ("card", "ssn"):
-            yield a, b, kind, _digits(raw)
+            digits = _digits(raw)
+            # Thirteen digits from 14... to 19... without a check digit count milliseconds since 1970.
+            if kind == "ssn" or len(digits) != 13 or not "14" <= digits[:2] <= "19" or _luhn(digits[:-1]) == int(digits[-1]):
+                yield a, b, kind, digits
+        elif group == "name2":
+            name = " ".join(raw.split()).lower()
+            yield a, b, kind, f"{KNOWN.get(name.split()[0], 'n')}|{name}"
         elif kind == "name":
             gender, name = GENDER[m["title"].lower()], " ".join(raw.split()).lower()
             yield a, b, kind, f"{KNOWN.get(name.split()[0], 'n') if gender == 'n' else gender}|{name}"
@@ -212,6 +265,8 @@ def space(kind: str, entity: str) -> tuple[str, float]:
         rest, _, fixed = entity.rpartition("@")
     elif kind == "iban":
         fixed, rest = entity[:2], entity[4:]
+    elif kind == "secret" and not any(len(_alike(c)) > 1 for c in entity):
+        return f"masked{len(entity)}", 26.0 ** min(64, len(entity))
     elif kind == "secret" and (prefix := re.match(r"AKIA|gh[pousr]_|sk-|", entity)[0]):
         fixed, rest = prefix, entity[len(prefix) :]
     elif kind == "pem":
@@ -227,8 +282,14 @@ class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
 
-    def _number(self, *parts) -> int:
-        return int.from_bytes(hmac.new(self.key, "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), hashlib.sha256).digest(), "big")
+    def _number(self, *parts, bits: int = 256) -> int:
+        """A keyed number of at least so many pseudorandom bits."""
+        raw = "\x1f".join(hex(x) if isinstance(x, int) else str(x) for x in parts).encode("utf-8", "surrogatepass")
+        inner = hmac.new(self.key, raw, hashlib.sha256).digest()
+        out = [inner]
+        for i in range(1, -(-bits // 256)):
+            out.append(hmac.new(self.key, inner + i.to_bytes(4, "big"), hashlib.sha256).digest())
+        return int.from_bytes(b"".join(out), "big")
 
     def permuted(self, x: int, size: int, *tweak) -> int:
         """A keyed permutation of range(size)."""
@@ -245,15 +306,25 @@ class Surrogates:
             a, b = x >> half, x & mask
             for r in range(6):
                 if back:
-                    a, b = b ^ (self._number(*tweak, size, 5 - r, a) & mask), a
+                    a, b = b ^ (self._number(*tweak, size, 5 - r, a, bits=half) & mask), a
                 else:
-                    a, b = b, a ^ (self._number(*tweak, size, r, b) & mask)
+                    a, b = b, a ^ (self._number(*tweak, size, r, b, bits=half) & mask)
             x = a << half | b
             if x < size:
                 return x
 
     def letters(self, s: str, *tweak) -> str:
-        """The string with its letters and digits permuted, each staying of its class."""
+        """The string with its letters and digits permuted, each staying of its class.
+
+        A long string goes piece by piece, each under the surrogate pieces before
+        it: still a permutation of all strings of its format, in linear time.
+        """
+        if len(s) > PIECE:
+            out, chain = [], hashlib.sha256()
+            for i in range(0, len(s), PIECE):
+                out.append(self.letters(s[i : i + PIECE], *tweak, i, chain.hexdigest()))
+                chain.update(out[-1].encode("utf-8", "surrogatepass"))
+            return "".join(out)
         radix = _radix(s)
         x, size = 0, 1
         for c, r in zip(s, radix, strict=True):
@@ -312,7 +383,11 @@ class Surrogates:
             firsts = FIRST[script, gender]
             return f"{gender}|{firsts[(x >> 1) % len(firsts)]} {last}".lower() if " " in name else f"{gender}|{last}".lower()
         if kind == "pem":
-            return re.sub(r"(?<=-----\n)[\s\S]+(?=\n-----END)", lambda m: self.letters(m[0], *t), entity)
+            begin, body, end = _KEY_BLOCK.fullmatch(entity).groups()
+            return begin + self.letters(body, *t) + end
+        if kind == "secret" and not any(len(_alike(c)) > 1 for c in entity):
+            x = self._number(*t, "masked", entity, bits=6 * len(entity) + 64)
+            return "".join("abcdefghijklmnopqrstuvwxyz"[x // 26**i % 26] for i in range(min(64, len(entity)))) + "x" * (len(entity) - 64)
         prefix = re.match(r"AKIA|gh[pousr]_|sk-|", entity)[0]
         return prefix + self.letters(entity[len(prefix) :], *t)
 
@@ -333,6 +408,8 @@ def written(kind: str, mention: str, surrogate: str) -> str:
     if kind == "name":
         name = surrogate.split("|", 1)[1]
         return name.upper() if mention.isupper() else name.title()
+    if kind == "ipv6" and "::" in mention:
+        surrogate = ipaddress.IPv6Address(surrogate).compressed
     if kind in ("email", "ipv6"):
         if mention[0].isupper() and not mention.isupper():
             return surrogate[0].upper() + surrogate[1:]
@@ -351,46 +428,85 @@ def replace(text: str, s: Surrogates, fixed: dict[tuple[str, str], str] | None =
     return ("".join([*out, text[at:]]) if kinds else text), kinds
 
 
-def _found():
+class Vault:
+    """Entities as sealed bytes: deterministic under the key, so they can be joined and compared, and opened only with it."""
+
+    def __init__(self, key: bytes):
+        self.mac, self.stream = (hmac.new(key, x, hashlib.sha256).digest() for x in (b"vault mac", b"vault stream"))
+
+    def _mask(self, head: bytes, n: int) -> int:
+        return int.from_bytes(b"".join(hmac.new(self.stream, head + i.to_bytes(4, "big"), hashlib.sha256).digest() for i in range(-(-n // 32)))[:n], "big")
+
+    def seal(self, text: str) -> bytes:
+        raw = text.encode("utf-8", "surrogatepass")
+        head = hmac.new(self.mac, raw, hashlib.sha256).digest()[:16]
+        return head + (int.from_bytes(raw, "big") ^ self._mask(head, len(raw))).to_bytes(len(raw), "big")
+
+    def open(self, sealed: bytes) -> str:
+        head, raw = sealed[:16], sealed[16:]
+        return (int.from_bytes(raw, "big") ^ self._mask(head, len(raw))).to_bytes(len(raw), "big").decode("utf-8", "surrogatepass")
+
+
+def _over(key: bytes, names: list[str], how: str):
+    """Seals or opens the columns of the given names."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vault = Vault(key)
+        for b in batches:
+            cols = [pa.array([getattr(vault, how)(x) for x in b.column(c).to_pylist()]) if c in names else b.column(c) for c in b.schema.names]
+            yield pa.RecordBatch.from_arrays([c.cast(pa.binary() if how == "seal" else pa.string()) if n in names else c for c, n in zip(cols, b.schema.names, strict=True)], b.schema.names)
+
+    return run
+
+
+def _found(key: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vault = Vault(key)
         for batch in batches:
             rows = []
             for i, t in enumerate(batch.column("text").to_pylist()):
                 if t:
-                    rows += [(i, k, e) for k, e in {(k, e) for _, _, k, e in detect(t)}]
+                    rows += [(i, k, vault.seal(e)) for k, e in {(k, e) for _, _, k, e in detect(t)}]
             ids = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "kind", "entity"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "kind", "entity"])
 
     return run
 
 
 def _drawn(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Surrogates(key)
+        s, vault = Surrogates(key), Vault(key)
+        for b in batches:
+            out = [vault.seal(s.of(k, vault.open(e), n)) for k, e, n in zip(*(b.column(c).to_pylist() for c in ("kind", "entity", "nonce")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("kind", "entity", "nonce")), pa.array(out, pa.binary())], ["kind", "entity", "nonce", "surrogate"])
+
+    return run
+
+
+def _spaces(key: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vault = Vault(key)
         for b in batches:
-            out = [s.of(k, e, n) for k, e, n in zip(*(b.column(c).to_pylist() for c in ("kind", "entity", "nonce")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("kind", "entity", "nonce")), pa.array(out, pa.string())], ["kind", "entity", "nonce", "surrogate"])
+            made = [space(k, vault.open(e)) for k, e in zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)]
+            formats = [hmac.new(key, f.encode("utf-8", "surrogatepass"), hashlib.sha256).hexdigest() for f, _ in made]
+            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array(formats, pa.string()), pa.array([n for _, n in made], pa.float64())], ["kind", "entity", "format", "size"])
 
     return run
 
 
-def _spaces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        made = [space(k, e) for k, e in zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)]
-        formats = [hashlib.sha256(f.encode("utf-8", "surrogatepass")).hexdigest() for f, _ in made]
-        yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array(formats, pa.string()), pa.array([n for _, n in made], pa.float64())], ["kind", "entity", "format", "size"])
+TABLE = "kind string, entity binary, nonce int, surrogate binary"
 
 
-def surrogate_table(scratch: Scratch, entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, nonce, surrogate) of distinct entities (kind, entity): no two alike, none an entity itself unless its format is over a quarter full."""
-    schema = "kind string, entity string, nonce int, surrogate string"
-    formats = entities.select("kind", "entity").mapInArrow(_spaces, "kind string, entity string, format string, size double")
+def sealed_table(scratch: Scratch, entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, nonce, surrogate) of distinct sealed entities (kind, entity): no two alike, none an entity itself unless its format is over a quarter full."""
+    formats = entities.select("kind", "entity").mapInArrow(_spaces(key), "kind string, entity binary, format string, size double")
     formats = scratch.save(formats.where(F.col("size") < F.lit(4.0) * entities.count()), "formats")
     full = formats.groupBy("kind", "format").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("4 * n > size").select("kind", "format")
     full = formats.join(full, ["kind", "format"], "left_semi").select("kind", "entity").withColumn("nonce", F.lit(FULL_NONCE))
-    full = scratch.save(full.mapInArrow(_drawn(key), schema), "full")
+    full = scratch.save(full.mapInArrow(_drawn(key), TABLE), "full")
+    scratch.drop(formats)
     rest = entities.select("kind", "entity").join(full, ["kind", "entity"], "left_anti")
-    table = scratch.save(rest.withColumn("nonce", F.lit(0)).mapInArrow(_drawn(key), schema), "surrogates")
+    table = scratch.save(rest.withColumn("nonce", F.lit(0)).mapInArrow(_drawn(key), TABLE), "surrogates")
     for _ in range(100):
         first = table.groupBy("kind", "surrogate").agg(F.min(F.struct("nonce", "entity")).alias("m"), F.count("*").alias("n"))
         double = first.where("n > 1").select("kind", "surrogate", F.col("m.nonce").alias("keep_nonce"), F.col("m.entity").alias("keep"))
@@ -398,23 +514,33 @@ def surrogate_table(scratch: Scratch, entities: DataFrame, key: bytes) -> DataFr
         real = table.join(entities.select("kind", F.col("entity").alias("surrogate")), ["kind", "surrogate"], "left_semi")
         again = scratch.save(alike.union(real.select("kind", "entity", "nonce")).distinct(), "clashes")
         if again.isEmpty():
-            return table.union(full)
-        new = again.withColumn("nonce", F.col("nonce") + 1).mapInArrow(_drawn(key), schema)
-        table = scratch.save(table.join(again.select("kind", "entity"), ["kind", "entity"], "left_anti").select(*new.columns).union(new), "surrogates")
-    raise ValueError("surrogates still clash after 100 draws; the space of a kind is exhausted")
+            break
+        new = again.withColumn("nonce", F.col("nonce") + 1).mapInArrow(_drawn(key), TABLE)
+        rest = table.join(again.select("kind", "entity"), ["kind", "entity"], "left_anti").select(*new.columns)
+        nxt = scratch.save(rest.union(new), "surrogates")
+        scratch.drop(table, again)
+        table = nxt
+    # What still clashes after so many draws has almost no strings of its format left: it keeps its last surrogate.
+    return table.union(full)
+
+
+def surrogate_table(scratch: Scratch, entities: DataFrame, key: bytes) -> DataFrame:
+    """sealed_table() of distinct entities (kind, entity) in the clear, opened again; for callers that may write them."""
+    sealed = scratch.save(entities.select("kind", "entity").mapInArrow(_over(key, ["entity"], "seal"), "kind string, entity binary"), "entities")
+    return sealed_table(scratch, sealed, key).mapInArrow(_over(key, ["entity", "surrogate"], "open"), "kind string, entity string, nonce int, surrogate string")
 
 
 def _replaced(key: bytes, schema: T.StructType):
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Surrogates(key)
+        s, vault = Surrogates(key), Vault(key)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 done = []
                 for t, fixed in zip(b.column("text").to_pylist(), b.column(FIXED).to_pylist(), strict=True):
-                    done.append((None, []) if t is None else replace(t, s, {(x["kind"], x["entity"]): x["surrogate"] for x in fixed or ()}))
+                    done.append((None, []) if t is None else replace(t, s, {(x["kind"], vault.open(x["entity"])): vault.open(x["surrogate"]) for x in fixed or ()}))
                 cols = {c: b.column(c) for c in b.schema.names}
                 cols |= {"text": pa.array([x for x, _ in done], b.schema.field("text").type), "n_entities": pa.array([len(k) for _, k in done], pa.int64())}
                 cols["entity_kinds"] = pa.array([",".join(sorted(set(k))) for _, k in done], pa.string())
@@ -427,12 +553,14 @@ def replace_pii(spark: SparkSession, docs: DataFrame, key: bytes) -> DataFrame:
     """docs (doc_id, text, ...) with surrogates in text, n_entities and entity_kinds."""
     scratch = Scratch(spark, "pii")
     docs = docs.drop("n_entities", "entity_kinds", FIXED)
-    found = docs.select("doc_id", "text").mapInArrow(_found(), T.StructType([docs.schema["doc_id"], T.StructField("kind", T.StringType()), T.StructField("entity", T.StringType())]))
-    found = scratch.save(found, "found")
-    table = surrogate_table(scratch, scratch.save(found.select("kind", "entity").distinct(), "entities"), key)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("kind", T.StringType()), T.StructField("entity", T.BinaryType())])
+    found = scratch.save(docs.select("doc_id", "text").mapInArrow(_found(key), schema), "found")
+    entities = scratch.save(found.select("kind", "entity").distinct(), "entities")
+    table = sealed_table(scratch, entities, key)
     fixed = found.join(table.where("nonce > 0"), ["kind", "entity"])
     fixed = fixed.groupBy(F.col("doc_id").alias("__pii_id")).agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias(FIXED))
     fixed = scratch.save(fixed, "fixed")
+    scratch.keep_only(fixed)
     rows = docs.join(fixed, F.col("doc_id").eqNullSafe(F.col("__pii_id")), "left").drop("__pii_id")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType()), T.StructField("entity_kinds", T.StringType())])
     return rows.mapInArrow(_replaced(key, schema), schema)
