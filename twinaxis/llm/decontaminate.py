@@ -1,16 +1,28 @@
-"""Benchmark decontamination: a BM25 index of test items with block-max pruning.
+"""Benchmark decontamination: a BM25 inverted index of test items, searched by block-max WAND.
 
 The index holds the test items; every passage of every training text is a
 query. Scores are BM25 of an item for the passage's distinct words, divided by
 the item's score for itself, so one threshold serves items of every length.
-Passages are windows of twice the longest item, half overlapping, so that one
-window holds any copied item whole.
+Items are indexed by classes of length (powers of two words); the passages for
+a class are windows of twice its length, half overlapping, so one window holds
+any copied item whole and no item changes the windows of a longer or shorter one.
 
-Pruning keeps the order of block-max WAND, done for many passages at once: the
-sum of the lists' maxima bounds all items; windows under the threshold go out.
-For the rest the sum of block maxima bounds each block of items, and only the
-items of blocks above the threshold are scored. Both are upper bounds, so all
-items above the threshold are retrieved, no more than the exact scores say.
+A posting list is cut into blocks of neighbouring items with the largest weight
+of each. Windows are taken in batches; each step leaves out only what cannot
+reach the threshold:
+
+1. the sum of the lists' maxima bounds every item;
+2. pivot: the words of a window in order of their maxima; those that cannot
+   reach the threshold together need not be opened, for an item must stand in
+   the list of another word too. Only those short lists propose blocks;
+3. the sum of the block maxima of all words bounds a proposed block;
+4. postings of the blocks left are scored.
+
+So all items above the threshold are retrieved, no more than the exact scores say.
+
+Document frequencies, the number of items and their mean length come from one
+aggregation over all items. A large benchmark is indexed in runs of a bounded
+number of postings, each a pass over the corpus; scores do not depend on runs.
 
 A retrieved item counts as leaked if at least three quarters of the five-word
 shingles of its question and three quarters of the words of its answer occur in
@@ -18,9 +30,10 @@ the window. The question ends at the item's answer mark or its last question
 mark; an item without either is split at three quarters of its words.
 
 Words are maximal runs outside white space and ASCII punctuation, lower-cased.
-Defined results: null and empty texts and items match nothing; repeated rows
-each give their rows; items with fewer than five words in the question compare
-it as one shingle; an empty table on either side gives no rows.
+Defined results: null and empty texts and items match nothing; repeated rows of
+documents each give their rows, equal items are one; items with fewer than five
+words in the question compare it as one shingle; an empty table on either side
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +49,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .textops import gram_hashes, text_chunks, word_spans
 
 K1, B = 1.2, 0.75
-#: Items a block index holds; a larger benchmark is taken in runs of this many.
-ITEMS_AT_ONCE = 4_000
-BLOCK = 16
+#: Postings of an index that is broadcast at once: 16 bytes each, 64 MB.
+POSTINGS_AT_ONCE = 4_000_000
+BLOCK, LEAST_WIDTH = 16, 32
+#: Slack of bounds for rounding.
+SLACK = 1e-4
 _ANSWER = re.compile(r"\n\s*(?:answer|a)\s*:", re.IGNORECASE)
 
 
@@ -64,145 +80,227 @@ def split_item(text: str) -> tuple[str, str]:
     return text[:at], text[at:]
 
 
+def _grams(h: np.ndarray) -> np.ndarray:
+    return np.unique(gram_hashes(h, min(5, len(h)))) if len(h) else np.zeros(0, np.uint64)
+
+
+ITEMS = "rid long, item_id long, first long, length int, terms array<long>, counts array<int>, question array<long>, answer array<long>"
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items (rid, item_id, text) as word hashes; those without a word are left out."""
+    for batch in batches:
+        texts = [x for t in batch.column("text").to_pylist() for x in (t, *split_item(t))]
+        hashes: list[np.ndarray] = []
+        for _, h, rows in _hash_words(pa.array(texts, pa.string())):
+            hashes += [h[rows[i] : rows[i + 1]] for i in range(len(rows) - 1)]
+        out = []
+        for i, (rid, item) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("item_id").to_pylist(), strict=True)):
+            whole = hashes[3 * i]
+            if len(whole):
+                terms, counts = np.unique(whole, return_counts=True)
+                longs = [x.view(np.int64).tolist() for x in (terms, _grams(hashes[3 * i + 1]), np.unique(hashes[3 * i + 2]))]
+                out.append((rid, item, int(whole[:1].view(np.int64)[0]), len(whole), longs[0], counts.tolist(), longs[1], longs[2]))
+        long_, int_ = pa.int64(), pa.int32()
+        types = [long_, long_, long_, int_, pa.list_(long_), pa.list_(int_), pa.list_(long_), pa.list_(long_)]
+        cols = list(zip(*out, strict=True)) or [[]] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in ITEMS.split(", ")])
+
+
 @dataclass
-class Index:
+class Part:
+    """The posting lists of the items of one length class."""
+
+    width: int  # words of a window
     ids: np.ndarray  # of the items
-    terms: np.ndarray  # sorted word hashes
-    most: np.ndarray  # of each term over all items
-    blocks: np.ndarray  # terms x blocks: the largest weight in each block
-    own: list[np.ndarray]  # the terms of each block, in order
-    weights: list[np.ndarray]  # of each block, own terms x BLOCK, relative to the item's score for itself
+    most: np.ndarray  # of each term of the index over the list; 0 without one
+    lists: np.ndarray  # first block of each term's list and the end
+    block: np.ndarray  # number of each block
+    peak: np.ndarray  # largest weight in each block
+    first: np.ndarray  # first posting of each block and the end
+    item: np.ndarray  # of each posting
+    weight: np.ndarray  # of each posting, relative to the item's score for itself
     questions: list[np.ndarray]
     answers: list[np.ndarray]
-    window: int  # words
 
 
-def _grams(h: np.ndarray) -> np.ndarray:
-    return np.unique(gram_hashes(h, min(5, len(h)))) if len(h) else np.zeros(0, np.uint64)
+@dataclass
+class Index:
+    terms: np.ndarray  # sorted word hashes
+    parts: list[Part]
+
+
+def _u(x) -> np.ndarray:
+    return np.asarray(x, np.int64).view(np.uint64)
 
 
-def build_index(items: pd.DataFrame) -> Index | None:
-    """The index of items (item_id, text); None if none has a word."""
-    items = items.dropna()
-    texts = [x for t in items["text"] for x in (t, *split_item(t))]
-    hashes: list[np.ndarray] = []
-    for _, h, rows in _hash_words(pa.array(texts, pa.string())):
-        hashes += [h[rows[i] : rows[i + 1]] for i in range(len(rows) - 1)]
-    fine = [i for i in range(len(items)) if len(hashes[3 * i])]
-    if not fine:
-        return None
+def build_index(items: pd.DataFrame, df: pd.DataFrame, n_items: int, mean_length: float) -> Index:
+    """The index of items (the columns of ITEMS) under the document frequencies df (term, n) of all items."""
+    by_hash = np.argsort(_u(df["term"]))
+    terms, n = _u(df["term"])[by_hash], df["n"].to_numpy()[by_hash]
+    idf = np.log1p((n_items - n + 0.5) / (n + 0.5))
     # Items that share their first words share a block more often than not.
-    fine.sort(key=lambda i: (hashes[3 * i][0], len(hashes[3 * i])))
-    n = len(fine)
-    length = np.array([len(hashes[3 * i]) for i in fine])
-    terms = np.unique(np.concatenate([hashes[3 * i] for i in fine]))
-    blocks = -(-n // BLOCK)
-    most = np.zeros((len(terms), blocks), np.float32)
-    counted = [np.unique(hashes[3 * i], return_counts=True) for i in fine]
-    df = np.zeros(len(terms))
-    for t, _ in counted:
-        df[np.searchsorted(terms, t)] += 1
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    own, weights = [], []
-    for b in range(blocks):
-        part = counted[b * BLOCK : (b + 1) * BLOCK]
-        own.append(np.unique(np.searchsorted(terms, np.concatenate([t for t, _ in part]))))
-        weights.append(np.zeros((len(own[b]), BLOCK), np.float32))
-        for s, (t, tf) in enumerate(part):
-            at = np.searchsorted(terms, t)
-            w = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[b * BLOCK + s] / length.mean()))
-            weights[b][np.searchsorted(own[b], at), s] = w / w.sum()
-        most[own[b], b] = weights[b].max(axis=1)
-    return Index(
-        items["item_id"].to_numpy()[fine],
-        terms,
-        most.max(axis=1),
-        most,
-        own,
-        weights,
-        [_grams(hashes[3 * i + 1]) for i in fine],
-        [np.unique(hashes[3 * i + 2]) for i in fine],
-        2 * max(32, int(length.max())),
-    )
+    items = items.sort_values(["first", "length", "rid"], ignore_index=True)
+    width = np.array([2 * max(LEAST_WIDTH, 1 << (int(x) - 1).bit_length()) for x in items["length"]])
+    parts = []
+    for w in np.unique(width):
+        own = items[width == w].reset_index(drop=True)
+        at, item, weight = [], [], []
+        for i, (t, tf, length) in enumerate(zip(own["terms"], own["counts"], own["length"], strict=True)):
+            t, tf = np.searchsorted(terms, _u(t)), np.asarray(tf)
+            x = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+            at.append(t)
+            item.append(np.full(len(t), i))
+            weight.append(x / x.sum())
+        at, item, weight = np.concatenate(at), np.concatenate(item), np.concatenate(weight)
+        order = np.lexsort((item, at))
+        at, item, weight = at[order], item[order], weight[order]
+        key = at * (len(own) // BLOCK + 1) + item // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        most = np.zeros(len(terms))
+        np.maximum.at(most, at, weight)
+        parts.append(
+            Part(
+                int(w),
+                own["item_id"].to_numpy(),
+                most.astype(np.float32),
+                np.searchsorted(at[first], np.arange(len(terms) + 1)).astype(np.int32),
+                (item[first] // BLOCK).astype(np.int32),
+                np.maximum.reduceat(weight, first).astype(np.float32),
+                np.append(first, len(at)).astype(np.int32),
+                item.astype(np.int32),
+                weight.astype(np.float32),
+                [_u(x) for x in own["question"]],
+                [_u(x) for x in own["answer"]],
+            )
+        )
+    return Index(terms, parts)
+
+
+def _expand(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, element) for all elements of the ranges."""
+    n = end - start
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + start[which]
 
 
 def _share(part: np.ndarray, window: np.ndarray) -> float:
     return float(np.isin(part, window).mean()) if len(part) else 1.0
 
 
-def search(index: Index, h: np.ndarray, rows: np.ndarray, threshold: float) -> list[tuple[int, int, int, float, float, float]]:
-    """(row, first word of the window in the row, item's place, score, question share, answer share)."""
-    step = index.window // 2
+def retrieve(part: Part, term: np.ndarray, row: np.ndarray, inner: np.ndarray, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word in the row, item, score) of all items above the threshold.
+
+    term, row, inner: index term, row and place in the row of each word that the
+    index has; rows: first word of each row and the end.
+    """
+    least = threshold - SLACK
+    step = part.width // 2
+    ours = part.most[term] > 0
+    term, row, inner = term[ours], row[ours], inner[ours]
+    none = np.zeros(0, np.int64)
+    # Cells of half a window get numbers; a window is a cell and the next one of its row.
+    first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-np.diff(rows) // step)))])
+    cell = first[row] + inner // step
+    n = int(first[-1])
+    bound = np.bincount(cell, part.most[term], n)
+    bound[:-1] += np.where(np.isin(np.arange(1, n), first), 0, bound[1:])
+    live = bound >= least
+    own, before = live[cell], (inner >= step) & live[cell - 1]
+    window, term = np.concatenate([cell[own], cell[before] - 1]), np.concatenate([term[own], term[before]])
+    pair = np.unique(window * len(part.most) + term)
+    window, term = pair // len(part.most), pair % len(part.most)
+    live = np.bincount(window, part.most[term], n)[window] >= least
+    window, term = window[live], term[live]
+    if not len(window):
+        return none, none, none, np.zeros(0)
+    # Pivot: in order of rising maxima, words are opened from where their sum reaches the threshold.
+    order = np.lexsort((part.most[term], window))
+    window, term = window[order], term[order]
+    most = part.most[term].astype(np.float64)
+    start = np.flatnonzero(np.diff(window, prepend=-1))
+    size = np.diff(np.append(start, len(window)))
+    total = np.cumsum(most)
+    total -= np.repeat(total[start] - most[start], size)
+    opened = np.flatnonzero(total >= least)
+    which, entry = _expand(part.lists[term[opened]], part.lists[term[opened] + 1])
+    blocks = int(part.block.max()) + 1
+    number = np.repeat(np.arange(len(start)), size)  # of each word's window among those left
+    proposed = np.unique(number[opened[which]] * blocks + part.block[entry])
+    # All words of a window against its proposed blocks.
+    key = np.repeat(np.arange(len(part.lists) - 1), np.diff(part.lists)) * blocks + part.block
+    hits = []
+    for at in range(0, len(proposed), 50_000):
+        w, b = proposed[at : at + 50_000] // blocks, proposed[at : at + 50_000] % blocks
+        cand, word = _expand(start[w], start[w] + size[w])
+        want = term[word] * blocks + b[cand]
+        entry = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        there = key[entry] == want
+        cand, entry = cand[there], entry[there]
+        good = np.bincount(cand, part.peak[entry], len(w))[cand] >= least
+        cand, entry = cand[good], entry[good]
+        which, posting = _expand(part.first[entry], part.first[entry + 1])
+        place = cand[which] * BLOCK + part.item[posting] % BLOCK
+        score = np.bincount(place, part.weight[posting], len(w) * BLOCK)
+        top = np.flatnonzero(score >= threshold)
+        hits.append((window[start[w[top // BLOCK]]], b[top // BLOCK] * BLOCK + top % BLOCK, score[top]))
+    window, item, score = (np.concatenate(x) for x in zip(*hits, strict=True))
+    r = np.searchsorted(first, window, "right") - 1
+    return r, (window - first[r]) * step, item, score
+
+
+def search(index: Index, h: np.ndarray, rows: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, float, float, float]]:
+    """(row, first word of the window in the row, item_id, score, question share, answer share)."""
     at = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
     place = np.flatnonzero(index.terms[at] == h)
-    if not len(place):
-        return []
-    term = at[place]
     row = np.searchsorted(rows, place, "right") - 1
-    inner = place - rows[row]
-    # Windows of all rows get numbers; a word lies in its own window and the one before.
-    per_row = np.maximum(1, -(-np.diff(rows) // step))
-    first = np.concatenate([[0], np.cumsum(per_row)])
-    own = inner // step
-    window = np.concatenate([first[row] + own, (first[row] + own - 1)[own > 0]])
-    term = np.concatenate([term, term[own > 0]])
-    pair = np.unique(window * len(index.terms) + term)
-    window, term = pair // len(index.terms), pair % len(index.terms)
-    bound = np.bincount(window, index.most[term], first[-1])
-    live = bound[window] >= threshold - 1e-4
-    window, term = window[live], term[live]
-    if not len(window):
-        return []
-    cut = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-    ends = np.append(cut[1:], len(window))
-    sums = np.add.reduceat(index.blocks[term], cut, axis=0)
-    out = []
-    for c, b in zip(*np.nonzero(sums >= threshold - 1e-4), strict=True):
-        here = np.searchsorted(index.own[b], term[cut[c] : ends[c]])
-        here = np.minimum(here, len(index.own[b]) - 1)
-        here = here[index.own[b][here] == term[cut[c] : ends[c]]]
-        scores = index.weights[b][here].sum(axis=0)
-        for s in np.flatnonzero(scores >= threshold):
-            item = int(b) * BLOCK + int(s)
-            w = int(window[cut[c]])
-            r = int(np.searchsorted(first, w, "right")) - 1
-            begin = int(rows[r]) + (w - int(first[r])) * step
-            inside = h[begin : min(begin + index.window, int(rows[r + 1]))]
-            q = index.questions[item]
+    for part in index.parts:
+        for r, begin, item, score in zip(*retrieve(part, at[place], row, place - rows[row], rows, threshold), strict=True):
+            inside = h[rows[r] + begin : min(rows[r] + begin + part.width, rows[r + 1])]
+            q = part.questions[item]
             # A question of fewer than five words is one shorter shingle.
             grams = np.concatenate([gram_hashes(inside, k) for k in range(1, 6)]) if len(q) == 1 else gram_hashes(inside, 5)
-            out.append((r, begin - int(rows[r]), item, float(scores[s]), _share(q, grams), _share(index.answers[item], inside)))
-    return out
+            yield int(r), int(begin), int(part.ids[item]), float(score), _share(q, grams), _share(part.answers[item], inside)
+
+
+def indexes(spark: SparkSession, items: DataFrame, postings_at_once: int = POSTINGS_AT_ONCE) -> Iterator[Index]:
+    """Indexes of all items (item_id, text), each of about postings_at_once postings at most, or of one item."""
+    scratch = Scratch(spark, "benchmark")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").distinct()
+    items = scratch.save(items.withColumn("rid", F.xxhash64("item_id", "text")).mapInArrow(_items, ITEMS), "items")
+    df = scratch.save(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")), "frequencies")
+    whole = items.agg(F.count("*").alias("n"), F.avg("length").alias("length"), F.sum(F.size("terms")).alias("postings")).first()
+    runs = -(-(whole["postings"] or 0) // postings_at_once)
+    for r in range(runs):
+        own = items.where(F.pmod(F.xxhash64("rid"), F.lit(runs)) == r)
+        rows = own.toPandas()
+        if len(rows):
+            terms = own.select(F.explode("terms").alias("term")).distinct()
+            yield build_index(rows, df.join(terms, "term").toPandas(), whole["n"], whole["length"])
+    scratch.close()
 
 
 def leaked_passages(
-    spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: float = 0.75, answer: float = 0.75
+    spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: float = 0.75, answer: float = 0.75, postings_at_once: int = POSTINGS_AT_ONCE
 ) -> DataFrame:
     """doc_id, item_id, passage (its first word), score, question_overlap, answer_overlap of leaked items.
 
-    The index goes to the executors in runs of at most ITEMS_AT_ONCE items, each
-    one pass over docs, so what is broadcast does not grow with either table.
+    An index goes to the executors with a bounded number of postings, and each is
+    one pass over docs; what is broadcast at once grows with neither table.
     """
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
-    runs = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    items = items.withColumn("run", F.pmod(F.xxhash64("item_id", "text"), F.lit(runs)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double"
     out = None
-    for r in range(runs):
-        index = build_index(items.where(F.col("run") == r).select("item_id", "text").orderBy("item_id", "text").toPandas())
-        if index is None:
-            continue
+    for index in indexes(spark, items, postings_at_once):
         held = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
             for batch in batches:
                 ids, found = batch.column("doc_id"), []
                 for at, h, rows in _hash_words(batch.column("text")):
-                    for r, begin, item, s, q, a in search(index, h, rows, threshold):
+                    for r, begin, item, s, q, a in search(held.value, h, rows, threshold):
                         if q >= question and a >= answer:
-                            found.append((ids[at + r].as_py(), int(index.ids[item]), begin, s, q, a))
+                            found.append((ids[at + r].as_py(), item, begin, s, q, a))
                 cols = list(zip(*found, strict=True)) or [[]] * 6
                 types = [pa.int64()] * 3 + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
