@@ -256,3 +256,35 @@ def test_vectors_across_partition_edges(spark):
         for k, x in old.items():
             spark.conf.set(k, x)
     assert got == {i: i // 2 * 2 for i in range(24)}
+
+
+def test_line_shards_grow_and_open_again(spark, tmp_path):
+    at = f"file://{tmp_path}/lines"
+    index = LineIndex(spark, keys_per_shard=50, path=at)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first = [(1, "the very first line"), (2, "the very first line\nand another line")]
+    index.insert(frame(first))
+    assert index.shards == 1
+    more = [(10 + i, f"line of document {i}\nthe very first line\nshared line {i // 2}") for i in range(1500)]
+    index.insert(frame(more))
+    assert index.shards >= 32 and index.n_keys == 2 + 1500 + 750
+    sizes = [sum(int(np.count_nonzero(t)) for t in CuckooFilter.from_bytes(bytes(r["filter"])).tables) for r in index.filters.collect()]
+    assert len(sizes) == index.shards and sum(sizes) == index.n_keys and max(sizes) < 120
+    again = LineIndex(spark, path=at)
+    assert (again.shards, again.n_keys, again.keys_per_shard) == (index.shards, index.n_keys, 50)
+    again.delete(frame(first).select("doc_id"))
+    last = [(0, "the very first line\nnew line here")]
+    again.insert(frame(last))
+    rows = more + last
+    whole = LineIndex(spark, path=at)
+    out = drop_lines(frame(rows), whole.refs, whole.repeated())
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in out.collect()), key=repr)
+    assert got == brute_lines(rows)
+    assert LineIndex(spark).repeated().count() == 0
+
+
+def test_lines_of_a_very_long_text(spark):
+    rows = [(1, "a line that comes back\n" * 40_000 + "x" * 300_000), (2, "a line that comes back"), (3, "x" * 300_000 + "\nown")]
+    out = dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in out.collect())
+    assert got == brute_lines(rows)

@@ -39,6 +39,34 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file of the driver's bookkeeping, None without one."""
+    fs, p = hadoop_path(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces the file: readers see the old text or the new one."""
+    fs, p = hadoop_path(spark, path)
+    _, made = hadoop_path(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(made, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(made, p, options)
+
+
 _SCOPES: list[list[Scratch]] = []
 
 
@@ -61,21 +89,30 @@ class Scratch:
     tables live until close(), or the end of the scope() they were made in.
     """
 
-    def __init__(self, spark: SparkSession, purpose: str):
+    def __init__(self, spark: SparkSession, purpose: str, path: str | None = None):
+        """Tables under a path of the caller's own stay until they are dropped."""
         self.spark = spark
-        self.path = f"{shared_root(spark)}/twinaxis/{purpose}-{uuid.uuid4().hex}"
-        self._n = 0
-        if _SCOPES:
+        self.path = path.rstrip("/") if path else f"{shared_root(spark)}/twinaxis/{purpose}-{uuid.uuid4().hex}"
+        if _SCOPES and not path:
             _SCOPES[-1].append(self)
 
     def save(self, df: DataFrame, name: str = "t", compression: str = "zstd") -> DataFrame:
-        self._n += 1
-        at = f"{self.path}/{self._n:03d}-{name}"
+        at = f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
         df.write.option("compression", compression).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._twinaxis_at = at
         return out
 
+    def open(self, name: str) -> DataFrame:
+        """A table of this folder by name_of()."""
+        out = self.spark.read.parquet(f"{self.path}/{name}")
+        out._twinaxis_at = f"{self.path}/{name}"
+        return out
+
+    @staticmethod
+    def name_of(table: DataFrame) -> str:
+        return table._twinaxis_at.rsplit("/", 1)[-1]
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later step and no result reads."""
         for t in tables:
@@ -84,7 +121,7 @@ class Scratch:
 
     def keep_only(self, *tables: DataFrame) -> None:
         """Deletes all tables but those that a result still reads."""
-        kept = {t._twinaxis_at.rsplit("/", 1)[-1] for t in tables}
+        kept = {self.name_of(t) for t in tables}
         fs, p = hadoop_path(self.spark, self.path)
         for s in fs.listStatus(p) if fs.exists(p) else []:
             if s.getPath().getName() not in kept:

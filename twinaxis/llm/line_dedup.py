@@ -3,24 +3,35 @@
 A line's key is the line stripped of 0x20 and 0x09-0x0D at both ends, with A-Z
 lower-cased; keys of fewer than ten code points never count. The index holds
 
-- references: one row (key, doc_id) for each document that has a line, exact;
-- filters: one cuckoo filter a shard with every key that is referenced.
+- references: one row (key, doc_id) for each row of a document that has a line;
+- counts: (key, n, first, last), the references of a key counted, in one run of
+  rows for each insertion: the exact table;
+- filters: one cuckoo filter a shard with every key that is referenced. When the
+  keys outgrow the shards, their number doubles and the filters are built again
+  from the counts, so a shard stays of bounded size however the index grows.
 
 To insert documents, their keys are counted with map-side combine and go, one
 row a key, to their shards. A key that comes once and is not in the filter is
-certainly new, so only the others, the candidates, are counted against the
-exact references. Deleting documents takes their references out and the keys
-that nobody references any more out of the filters, which leaves the index as
-if they had never come (up to chance candidates, which the exact counts refuse).
+certainly new, so only the others, the candidates, are looked up in the counts
+of earlier insertions; old references are not read again. Deleting documents
+takes their references out, counts the rest anew and takes the keys that nobody
+references any more out of the filters, which leaves the index as if they had
+never come (up to chance candidates, which the exact counts refuse).
+
+The state is a small file that names the tables of the index; it is replaced
+after each change, so an index under a path can be opened again. One writer at
+a time may change an index.
 
 Defined results: null and empty texts are one empty line; a null id holds no
-references and its rows lose no line; rows that repeat an id are one document;
-columns named n_lines and n_dropped are replaced, all others pass unchanged.
+references and its rows lose no line; rows that repeat an id are one document
+(n_docs counts rows); columns named n_lines and n_dropped are replaced, all
+others pass unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, read_text, write_text
 from .cuckoo import CuckooFilter
 
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -77,6 +88,12 @@ def _add(filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": filters["shard"], "filter": [f.to_bytes()]})
 
 
+def _build(keys: pd.DataFrame) -> pd.DataFrame:
+    f = CuckooFilter(len(keys))
+    f.insert(_hashes(keys["key"]))
+    return pd.DataFrame({"shard": keys["shard"][:1], "filter": [f.to_bytes()]})
+
+
 def _delete(filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
     f = CuckooFilter.from_bytes(filters["filter"].iat[0])
     if len(keys):
@@ -84,55 +101,118 @@ def _delete(filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": filters["shard"], "filter": [f.to_bytes()]})
 
 
-class LineIndex:
-    """The state: references, candidate keys and filters, as tables in the shared folder."""
+FILTERS = "shard int, filter binary"
+
+
+def counted(refs: DataFrame) -> DataFrame:
+    """(key, n, first, last): a common key meets its group as one row a task."""
+    return refs.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
-    def __init__(self, spark: SparkSession, keys_per_shard: int = KEYS_PER_SHARD):
-        self.spark, self.scratch, self.keys_per_shard = spark, Scratch(spark, "lines"), keys_per_shard
-        self.shards = 0
-        self.refs = self.candidates = self.filters = None
+
+class LineIndex:
+    """References, counts, candidate keys and filters, as tables in the shared folder.
+
+    Under a path the index stays and LineIndex(spark, path=path) opens it again;
+    without one it is scratch.
+    """
+
+    def __init__(self, spark: SparkSession, keys_per_shard: int = KEYS_PER_SHARD, path: str | None = None):
+        self.spark, self.scratch = spark, Scratch(spark, "lines", path)
+        self.keys_per_shard, self.shards, self.n_keys = keys_per_shard, 0, 0
+        self.tables: dict[str, list[DataFrame]] = {"refs": [], "counts": [], "candidates": [], "filters": []}
+        state = read_text(spark, f"{self.scratch.path}/state.json") if path else None
+        if state:
+            state = json.loads(state)
+            self.keys_per_shard, self.shards, self.n_keys = state["keys_per_shard"], state["shards"], state["n_keys"]
+            self.tables = {k: [self.scratch.open(t) for t in names] for k, names in state["tables"].items()}
+
+    def _stored(self) -> None:
+        state = {"keys_per_shard": self.keys_per_shard, "shards": self.shards, "n_keys": self.n_keys}
+        state["tables"] = {k: [self.scratch.name_of(t) for t in tables] for k, tables in self.tables.items()}
+        write_text(self.spark, f"{self.scratch.path}/state.json", json.dumps(state))
+
+    def _union(self, kind: str) -> DataFrame | None:
+        out = None
+        for t in self.tables[kind]:
+            out = t if out is None else out.unionByName(t)
+        return out
+
+    @property
+    def refs(self) -> DataFrame:
+        return self._union("refs")
+
+    @property
+    def filters(self) -> DataFrame:
+        return self._union("filters") if self.tables["filters"] else self.spark.createDataFrame([], FILTERS)
 
     def _shard(self) -> Column:
         return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard")
 
+    def _grow(self, more: int) -> None:
+        """Makes room for more keys: doubles the shards until none holds too many."""
+        need = max(1, self.shards)
+        while need * self.keys_per_shard < self.n_keys + more:
+            need *= 2
+        if need > self.shards:
+            self.shards = need
+            old = self._union("counts")
+            if old is not None:
+                keys = old.select("key").distinct().select(self._shard(), "key")
+                self.tables["filters"] = [self.scratch.save(keys.groupBy("shard").applyInPandas(_build, FILTERS), "filters")]
+
     def insert(self, docs: DataFrame) -> DataFrame:
         """Adds documents; returns their references."""
         save = self.scratch.save
         new = save(references(docs), "references", "lz4")
-        counts = save(new.groupBy("key").agg(F.count("*").alias("n")), "counts", "lz4")
-        if not self.shards:
-            self.shards = max(1, -(-counts.count() // self.keys_per_shard))
+        counts = save(counted(new), "counts", "lz4")
+        batch = counts.count()
+        self._grow(batch)
         by_shard = counts.select(self._shard(), "key", "n")
-        old = self.filters if self.filters is not None else self.spark.createDataFrame([], "shard int, filter binary")
-        out = old.groupBy("shard").cogroup(by_shard.groupBy("shard")).applyInPandas(_insert, "shard int, key binary, seen boolean, filter binary")
+        out = self.filters.groupBy("shard").cogroup(by_shard.groupBy("shard")).applyInPandas(_insert, "shard int, key binary, seen boolean, filter binary")
         out = save(out, "shards", "lz4")
-        self.scratch.drop(counts)
-        self.filters = out.where("filter is not null").select("shard", "filter")
-        if self.refs is not None:
+        filters = out.where("filter is not null").select("shard", "filter")
+        old = self._union("counts")
+        fresh = batch
+        if old is not None:
             # Seen by chance: the filter must hold these keys too, or a later delete would take out another's print.
-            chance = out.where("seen").select(self._shard(), "key").join(self.refs, "key", "left_anti")
-            grown = self.filters.groupBy("shard").cogroup(chance.groupBy("shard"))
-            self.filters = save(grown.applyInPandas(_add, "shard int, filter binary"), "filters")
-        again = out.where("key is not null").select("key")
-        self.candidates = again if self.candidates is None else self.candidates.union(again).distinct()
-        self.refs = new if self.refs is None else self.refs.union(new)
+            seen = out.where("seen").select("key")
+            chance = seen.join(old, "key", "left_anti").select(self._shard(), "key")
+            fresh -= seen.count() - chance.count()
+            filters = filters.groupBy("shard").cogroup(chance.groupBy("shard")).applyInPandas(_add, FILTERS)
+        self.tables["filters"] = [save(filters, "filters")]
+        self.tables["candidates"].append(save(out.where("key is not null").select("key"), "candidates", "lz4"))
+        self.scratch.drop(out)
+        self.tables["refs"].append(new)
+        self.tables["counts"].append(counts)
+        self.n_keys += fresh
+        self._stored()
         return new
 
     def delete(self, ids: DataFrame) -> None:
         """Takes the documents with these ids (doc_id) out."""
-        save = self.scratch.save
+        if not self.shards:
+            return
+        save, refs = self.scratch.save, self.refs
         ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        gone = self.refs.join(ids, "doc_id", "left_semi").select("key").distinct()
-        self.refs = save(self.refs.join(ids, "doc_id", "left_anti").select("key", "doc_id"), "references")
-        free = gone.join(self.refs, "key", "left_anti").select(self._shard(), "key")
-        out = self.filters.groupBy("shard").cogroup(free.groupBy("shard")).applyInPandas(_delete, "shard int, filter binary")
-        self.filters = save(out, "filters")
+        before = self._union("counts").select("key").distinct()
+        left = save(refs.join(ids, "doc_id", "left_anti").select("key", "doc_id"), "references")
+        counts = save(counted(left), "counts", "lz4")
+        free = before.join(counts, "key", "left_anti").select(self._shard(), "key")
+        filters = save(self.filters.groupBy("shard").cogroup(free.groupBy("shard")).applyInPandas(_delete, FILTERS), "filters")
+        candidates = save(self._union("candidates").distinct().join(counts, "key", "left_semi"), "candidates", "lz4")
+        self.tables = {"refs": [left], "counts": [counts], "candidates": [candidates], "filters": [filters]}
+        self.n_keys = counts.count()
+        self._stored()
 
     def repeated(self) -> DataFrame:
         """(key, n_docs, first_doc) of the keys that at least two documents hold."""
-        held = self.refs.join(self.candidates, "key", "left_semi")
-        counts = held.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last"))
-        return counts.where("first_doc <> last").drop("last")
+        if not self.shards:
+            return self.spark.createDataFrame([], "key binary, n_docs long, first_doc long")
+        # One row a key and insertion on both sides: no key is hot here.
+        held = self._union("counts").join(self._union("candidates").distinct() if len(self.tables["candidates"]) > 1 else self._union("candidates"), "key", "left_semi")
+        if len(self.tables["counts"]) > 1:
+            held = held.groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+        return held.where("first <> last").select("key", F.col("n").alias("n_docs"), F.col("first").alias("first_doc"))
 
 
 def _drop(schema: T.StructType):
