@@ -425,3 +425,119 @@ def test_no_entity_is_written_in_the_clear(spark):
     df = spark.createDataFrame([(1, "mail secret.person@example.org now")], "doc_id long, text string")
     found = scratch.save(df.mapInArrow(pii._found(KEY), "doc_id long, kind string, entity binary"), "found")
     assert b"person" not in bytes(found.first()["entity"]) and pii.Vault(KEY).open(bytes(found.first()["entity"])) == "secret.person@example.org"
+
+
+def plain_score(text, model):
+    c = [ch if ord(ch) > 0xFFFF or ch.isalnum() else None for ch in (text or "").lower()]
+    words_, now = [], []
+    for ch in [*c, None]:
+        if ch is None:
+            words_.append(now) if now else None
+            now = []
+        else:
+            now.append(ord(ch))
+    total, n = 0.0, 0
+    mask = 0xFFFFFFFF
+    k = [int(x) for x in toxicity._K]
+    for w in words_:
+        marked = [0, *w, 0]
+        for size in toxicity.SIZES:
+            for at in range(len(marked) - size + 1):
+                h = sum(marked[at + j] * k[j] for j in range(size)) & mask
+                h = ((h ^ (h >> 15)) * k[1] + size) & mask
+                h = ((h ^ (h >> 13)) * k[2]) & mask
+                total += float(model.weight[h >> 14])
+                n += 1
+    return 1 / (1 + math.exp(-(model.bias + total / (toxicity.NEUTRAL + n))))
+
+
+def test_toxicity_scores_against_a_plain_sum(spark):
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(0, 30, toxicity.BUCKETS).astype(np.float32), -0.7)
+    texts = ["", None, "a", "Some words, here!", "ÄÖ ß x1", "the same", "the same", "12 34", "long word " * 30_000, "\u4f60\u597d 😀 ok"]
+    out = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = spark.sparkContext.broadcast((model.weight.tobytes(), model.bias))
+    got = out.mapInArrow(toxicity._scorer(held, pytest.importorskip("pyspark.sql.types").StructType.fromDDL("doc_id long, text string, score double, predicted int")), "doc_id long, text string, score double, predicted int")
+    for r in got.collect():
+        want = plain_score(texts[r["doc_id"]], model)
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == (want >= 0.5)
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(i % 5, f"text number {i} of id") for i in range(400)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    seen = []
+    train, toxicity.train = toxicity.train, lambda bags, y, **k: seen.append(len(bags)) or train(bags, y, **k)
+    try:
+        rows = [pa.RecordBatch.from_pylist([{"doc_id": r["doc_id"], "toxic": 1, "ids": r["ids"], "weights": r["weights"]} for r in docs.selectExpr("doc_id", "1 as toxic", "text").groupBy("doc_id", "toxic").agg({"text": "min"}).toDF("doc_id", "toxic", "text").mapInArrow(toxicity._bags, "doc_id long, toxic int, grams long, ids binary, weights binary").collect()])]
+        list(toxicity._trained(iter(rows)))
+    finally:
+        toxicity.train = train
+    assert seen == [5]
+    model = toxicity.fit(docs, labels, sample_rows=2)
+    assert len(model.weight) == toxicity.BUCKETS
+    langs, _ = language_id.fit_text(docs.selectExpr("doc_id", "text", "if(doc_id < 3, 'en', 'de') as lang"), sample_rows=4)
+    assert set(langs) <= {"en", "de"}
+
+
+_OLD_DROP = r"<!--.*?-->|<(script|style|nav|footer|head|noscript|template)\b.*?</\1\s*>"
+
+
+def test_markup_is_taken_out_in_linear_time():
+    import re
+    import time
+
+    rng = random.Random(7)
+    parts = ["<nav>", "</nav>", "<NAV x=1>", "<!--", "-->", "<script>", "</script >", "text", " more ", "<p>", "</p>", "&amp;", "<head>", "</head>", "<header>"]
+    for _ in range(1500):
+        html = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        plain = re.sub(r"&[#\w]+;", " ", re.sub(r"<[^<>]*>", " ", re.sub(_OLD_DROP, " ", html, flags=re.S | re.I)))
+        assert language_id.main_text(html).split() == plain.split(), html
+    assert language_id.main_text("a<main x>b</main>c<article>d</article>").split() == ["b", "d"]
+    for odd in ("<nav>", "<!--", "<main>", "<", "<html ", "</nav ", "&a"):
+        t = time.time()
+        language_id.main_text(odd * 100_000)
+        assert time.time() - t < 3
+
+
+def test_language_posteriors_against_a_plain_version(spark):
+    rng = random.Random(4)
+    vocabulary = {"en": ["the", "and", "with"], "de": ["der", "und", "nicht"], "fr": ["les", "est", "avec"]}
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary[g], k=30)), g) for i, g in enumerate(["en", "de", "fr"] * 20)], "doc_id long, text string, lang string")
+    rows = []
+    for i in range(120):
+        g = rng.choice(["en", "de", "fr"])
+        body = " ".join(rng.choices(vocabulary[g] + ["xyz"], k=rng.choice([0, 1, 2, 40])))
+        lang = rng.choice(["", f' lang="{g}"', ' lang="en"'])
+        rows.append((i, f"https://h{rng.randrange(6)}.{rng.choice(['de', 'fr', 'com'])}/x", f"<html{lang}><body>{body}</body></html>"))
+    rows += [rows[0], (500, None, None), (501, "u", "<html><body>" + "der und " * 60_000 + "</body>")]
+    got = sorted((tuple(r) for r in language_id.identify(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), docs).collect()), key=repr)
+    langs, table = language_id.fit_text(docs)
+    n = len(langs)
+    import re
+
+    pages = []
+    for i, url, html in rows:
+        g = language_id.trigrams(language_id.main_text(html)) if html else []
+        s = table[:, g].astype(float).sum(axis=1) / (1 + len(g) / language_id.TEMPER) if len(g) else np.zeros(n)
+        s = s - s.max()
+        host = (re.match(r"https?://([^/]+)", url or "") or [None, ""])[1]
+        declared = (re.search(r'<html lang="(..)"', html or "") or [None, ""])[1]
+        pages.append((i, s, np.exp(s) / np.exp(s).sum(), declared, host.rsplit(".", 1)[-1] if "." in host else "", host))
+    zero, k = np.zeros(n), language_id.KAPPA
+    kinds = len({p[3] for p in pages})
+    want = []
+    for i, s, own, declared, suffix, host in pages:
+        above = sum((p[2] for p in pages), zero) - own
+        of = lambda same: np.maximum(sum((p[2] for p in pages if same(p)), zero) - own, 0)
+        p_all = (above + k / n) / (above.sum() + k)
+        suffixes, hosts = of(lambda p, x=suffix: p[4] == x), of(lambda p, x=suffix, y=host: p[4:] == (x, y))
+        p_suffix = (suffixes + k * p_all) / (suffixes.sum() + k)
+        p_host = (hosts + k * p_suffix) / (hosts.sum() + k)
+        p_declared = (of(lambda p, x=declared: p[3] == x) + 1) / (above + kinds)
+        post = s + np.log(p_host) + np.log(p_declared)
+        post = np.exp(post - post.max())
+        post /= post.sum()
+        want.append((i, langs[int(post.argmax())], round(float(post.max()), 6), langs[int(own.argmax())] if np.abs(s).sum() else None, declared, suffix, host))
+    want.sort(key=repr)
+    assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want] and all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(got, want, strict=True))

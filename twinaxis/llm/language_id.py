@@ -17,16 +17,20 @@ declares, the suffix of its address, and its host.
 
 Defined results: every row gives one row. A null or empty html has no text
 evidence and no declaration; a null or odd url has the empty host and suffix;
-repeated ids give a row each; columns beside page_id, url and html are ignored;
-without labelled documents lang is null and confidence 0.
+repeated ids give a row each; of languages that are equally likely the first by
+name counts; columns beside page_id, url and html are ignored; without labelled
+documents lang is null and confidence 0. Of documents that share an id the
+smallest by language and text is learned from.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,17 +40,42 @@ from .common import Scratch
 BUCKETS = 1 << 16
 #: Trigrams after which more text adds no certainty, and the weight of each prior level in pages.
 TEMPER, KAPPA = 200, 5.0
-_DROP = re.compile(r"<!--.*?-->|<(script|style|nav|footer|head|noscript|template)\b.*?</\1\s*>", re.S | re.I)
-_MAIN = re.compile(r"<(article|main)\b[^>]*>(.*?)</\1\s*>", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
-_ENTITY = re.compile(r"&[#\w]+;")
+FRAME, MAIN = ("script", "style", "nav", "footer", "head", "noscript", "template"), ("article", "main")
+_OPENS = re.compile(rf"<!--|<({'|'.join(FRAME)})\b", re.I)
+_MAIN_OPENS = re.compile(rf"<({'|'.join(MAIN)})\b[^<>]*>", re.I)
+_CLOSES = re.compile(rf"-->|</({'|'.join(FRAME + MAIN)})\s{{0,100}}>", re.I)
+_TAG = re.compile(r"<[^<>]*>")
+_ENTITY = re.compile(r"&[#\w]{1,40};")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+def _spans(html: str, opens: re.Pattern, closes: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int, int, int]]:
+    """(start, start of what is inside, its end, end) of elements, each up to the next closing tag of its name."""
+    at = 0
+    for m in opens.finditer(html):
+        if m.start() < at:
+            continue
+        ends = closes.get((m[1] or "-->").lower(), ())
+        k = bisect.bisect_left(ends, (m.end(), 0))
+        if k < len(ends):
+            yield m.start(), m.end(), *ends[k]
+            at = ends[k][1]
+
+
 def main_text(html: str) -> str:
-    """The text of the article or main elements, else of the page without its frame."""
-    parts = [m[2] for m in _MAIN.finditer(html)]
-    return _ENTITY.sub(" ", _TAG.sub(" ", " ".join(parts) if parts else _DROP.sub(" ", html)))
+    """The text of the article or main elements, else of the page without its frame; an element that
+    is never closed counts as a tag alone. Closing tags are listed once, so time is linear."""
+    closes: dict[str, list[tuple[int, int]]] = {}
+    for m in _CLOSES.finditer(html):
+        closes.setdefault((m[1] or "-->").lower(), []).append(m.span())
+    parts = [html[a:b] for _, a, b, _ in _spans(html, _MAIN_OPENS, closes)]
+    if not parts:
+        at = 0
+        for a, _, _, b in _spans(html, _OPENS, closes):
+            parts.append(html[at:a])
+            at = b
+        parts.append(html[at:])
+    return _ENTITY.sub(" ", _TAG.sub(" ", " ".join(parts)))
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -57,15 +86,27 @@ def trigrams(text: str) -> np.ndarray:
     return (h >> np.uint32(16)).astype(np.int64)[(c[1:-1] != 32)]
 
 
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for lang, rows in pdf.groupby("lang"):
+            n = np.zeros(BUCKETS, np.int64)
+            for text in rows["text"]:
+                n += np.bincount(trigrams(text), minlength=BUCKETS)
+            own = np.flatnonzero(n)
+            yield pd.DataFrame({"lang": lang, "bucket": own.astype(np.int32), "n": n[own]})
+
+
 def fit_text(docs: DataFrame, sample_rows: int = 4000) -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihood of each trigram): from the sample_rows smallest texts by a hash of the id."""
-    rows = docs.where("text is not null and lang is not null and lang <> ''").select("doc_id", "lang", "text")
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
-    rows = rows.join(F.broadcast(ids), "doc_id").toPandas()
-    langs = sorted(rows["lang"].unique())
+    """(languages, log likelihood of each trigram): from at most sample_rows texts, one an id, the smallest by a hash of the id."""
+    rows = docs.where("text is not null and lang is not null and lang <> '' and doc_id is not null")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("lang", "text").alias("t"))
+    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t")).select("t.lang", "t.text")
+    # Counted where the texts lie: the driver gets sums of at most BUCKETS numbers a language.
+    sums = rows.repartition(16).mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(sums["lang"].unique())
     counts = np.full((len(langs), BUCKETS), 0.05)
-    for lang, text in zip(rows["lang"], rows["text"], strict=True):
-        counts[langs.index(lang)] += np.bincount(trigrams(text), minlength=BUCKETS)
+    counts[sums["lang"].map(langs.index).to_numpy(int), sums["bucket"].to_numpy(int)] += sums["n"].to_numpy()
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -87,8 +128,8 @@ def _likelihoods(held):
 
 def evidence(pages: DataFrame) -> DataFrame:
     """page_id, html, declared, suffix, host; absent evidence is the empty string."""
-    tag = F.regexp_extract("html", r"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
-    meta = F.regexp_extract("html", r"(?is)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-z]{2,3})\b", 1)
+    tag = F.regexp_extract("html", r"(?is)<html\b[^<>]*?\s(?:xml:)?lang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
+    meta = F.regexp_extract("html", r"(?is)<meta\b[^<>]*?content-language[^<>]*?content\s*=\s*[\"']?([a-z]{2,3})\b", 1)
     host = F.lower(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     declared = F.lower(F.when(tag != "", tag).otherwise(meta))
     return pages.select(

@@ -10,14 +10,20 @@ After training, mean and softmax fold into one number for each hashed n-gram, so
 a text's score is the logistic of a bias and the mean of those numbers; scoring
 runs on the letters of whole batches at once and reads every text to its end.
 
-The model is fitted on the driver on a sample of at most sample_rows labelled
-texts, the smallest by a hash of the id, so the bound does not grow with the
-data. Scores use the text alone.
+The mean includes NEUTRAL n-grams without weight, a prior that draws the score
+of a few words towards the bias; a text of some hundred letters outweighs it.
+
+The model is fitted on a sample of at most sample_rows labelled texts, one an
+id, the smallest by a hash of the id, and of at most sample_grams different
+n-grams of texts, so the bound does not grow with the data. Bags are made once,
+by all executors, and come as arrays into one task, which sends the driver the
+finished model of 1 MB. Scores use the text alone.
 
 Defined results: null and empty texts, and texts without letters, get the score
 of the bias; without labelled rows everything counts as clean; rows with a null
-id or label are not learned from but are scored; repeated ids give a row each;
-columns named score, predicted and held_out are replaced.
+id or label are not learned from but are scored; repeated ids give a row each,
+and of their texts the smallest is learned, of their labels the largest; ties
+of the hash go by id; columns named score, predicted and held_out are replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +33,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Scratch
+
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
 #: N-grams without weight that every mean includes, so that a few words decide little.
@@ -92,34 +100,33 @@ class Model:
         return self.bias + total / (NEUTRAL + count)
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = 8, updates: int = 32_000, rate: float = 2.0, seed: int = 3, damp: float = 1e-3) -> Model:
-    """Adagrad over single texts; vectors and softmax learn together.
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, updates: int = 32_000, rate: float = 2.0, seed: int = 3, damp: float = 1e-3) -> Model:
+    """Adagrad over single texts, given as bags; vectors and softmax learn together.
 
     Small samples are gone through more often. N-grams of few texts are left out,
     for they would learn the texts and not the class.
     """
     labels = np.asarray(labels, int)
-    if not len(texts):
+    if not len(bags):
         return Model(np.zeros(BUCKETS, np.float32), -1.0)
-    epochs = min(30, max(4, -(-updates // len(texts))))
-    least_texts = max(2, min(10, len(texts) // 400))
+    epochs = min(30, max(4, -(-updates // len(bags))))
+    least_texts = max(2, min(10, len(bags) // 400))
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     soft = rng.normal(0, 0.5, (2, dim)).astype(np.float32)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     bias = np.array([np.log(1 - share), np.log(share)], np.float32)
     seen, seen_soft, seen_bias = np.full(BUCKETS, damp, np.float32), np.full((2, 1), 1e-3, np.float32), np.full(2, 1.0, np.float32)
-    # Bags are made again whenever they are needed: kept, they would be most of the driver's memory.
     texts_with = np.zeros(BUCKETS, np.int32)
-    for t in texts:
-        texts_with[bag(t)[0]] += 1
+    for ids, _ in bags:
+        texts_with[ids] += 1
     common = texts_with >= least_texts
     vectors[~common] = 0
+    bags = [(ids[common[ids]], w[common[ids]]) for ids, w in bags]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for i in rng.permutation(len(texts)):
-            ids, w = bag(texts[i])
-            ids, w = ids[common[ids]], w[common[ids]]
+        for i in rng.permutation(len(bags)):
+            ids, w = bags[i]
             v = vectors[ids]
             mean = w @ v
             z = soft @ mean + bias
@@ -143,13 +150,44 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> Model:
-    """A model of labels (doc_id, toxic), from at most sample_rows labelled texts outside the held-out fold."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null")
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            made = [bag(t or "") for t in part.column("text").to_pylist()]
+            cols = [part.column("doc_id"), part.column("toxic"), pa.array([len(k) for k, _ in made], pa.int64())]
+            cols += [pa.array([x.tobytes() for x in xs], pa.binary()) for xs in zip(*made, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "grams", "ids", "weights"])
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for b in batches:
+        rows += zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "ids", "weights")), strict=True)
+    rows.sort(key=lambda r: r[0])
+    model = train([(np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)) for _, _, i, w in rows], np.array([t > 0 for _, t, _, _ in rows], int))
+    yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])], ["weight", "bias"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, sample_grams: int = 32_000_000) -> Model:
+    """A model of labels (doc_id, toxic), from at most sample_rows labelled texts outside the held-out fold.
+
+    The texts, taken in the order of the sample, have sample_grams n-grams at most (8 bytes each).
+    """
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     own = own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = own.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").toPandas().sort_values(["doc_id", "text"])
-    return train(rows["text"].fillna("").tolist(), (rows["toxic"] > 0).astype(int).to_numpy())
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    own = own.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").orderBy(*order).limit(sample_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(own), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    # The texts are few and long: bags are worth many small tasks.
+    bags = scratch.save(rows.repartition(64, "doc_id").mapInArrow(_bags, "doc_id long, toxic int, grams long, ids binary, weights binary"), "bags")
+    sizes = bags.select("doc_id", F.sum("grams").over(Window.orderBy(*order)).alias("so_far"))
+    taken = bags.join(F.broadcast(sizes.where(F.col("so_far") <= sample_grams).select("doc_id")), "doc_id", "left_semi")
+    model = taken.select("doc_id", "toxic", "ids", "weights").repartition(1).mapInArrow(_trained, "weight binary, bias double").first()
+    scratch.close()
+    return Model(np.frombuffer(bytes(model["weight"]), np.float32), model["bias"]) if model else train([], np.zeros(0))
 
 
 def _scorer(held, schema: T.StructType):
