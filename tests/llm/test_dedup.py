@@ -3,7 +3,7 @@
 import hashlib
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -288,3 +288,82 @@ def test_lines_of_a_very_long_text(spark):
     out = dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in out.collect())
     assert got == brute_lines(rows)
+
+
+def plain_vectors(rows, threshold=0.95):
+    """(n_links, component_id) of each id by brute force; links between rows of one id do not count."""
+    v = np.array([r[1] for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.array([r[0] for r in rows])
+    a, b = np.nonzero((v @ v.T >= threshold) & (ids[:, None] != ids))
+    n = Counter(ids[a].tolist())
+    label = classes(set(ids.tolist()), {(int(ids[x]), int(ids[y])) for x, y in zip(a, b, strict=True)})
+    return {i: (n[i], label[i]) for i in ids.tolist()}
+
+
+def test_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((6, 8))
+    rows = [(1, base[0].tolist()), (1, base[0].tolist()), (2, base[0].tolist()), (7, base[1].tolist()), (7, base[1].tolist()), (8, base[2].tolist()), (8, base[3].tolist()), (9, base[3].tolist())]
+    rows += [(20 + i % 40, (base[4] + rng.standard_normal(8) * 0.1).tolist()) for i in range(90)]
+    for tile in (512, 16):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        got = near_duplicate_vectors(spark, df, tile=tile).collect()
+        want = plain_vectors(rows)
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted((i, *want[i]) for i, _ in rows)
+        assert want[1] == (2, 1) and want[2] == (2, 1) and want[7] == (0, 7)
+
+
+def test_vectors_of_great_and_small_length(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [1.0, 2.0]), (4, [2.0, -1.0]), (5, [1e308, 1e308])]
+    got = {r["vec_id"]: r["component_id"] for r in near_duplicate_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1 if 3 / math.sqrt(10) >= 0.95 else 5}
+    assert near_duplicate_vectors(spark, spark.createDataFrame([(1, [3, 4]), (2, [6, 8])], "vec_id long, embedding array<int>")).first()["component_id"] == 1
+
+
+def cone(rng, n, dim, mean, near, every=50):
+    """Vectors of pairwise cosine about mean around one direction; every so many a pair at near."""
+    side = rng.standard_normal((n, dim))
+    side[:, 0] = 0
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    lean = (near - mean) / (1 - mean)
+    other = side[1::every] - (side[1::every] * side[0::every]).sum(1)[:, None] * side[0::every]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    side[1::every] = lean * side[0::every] + math.sqrt(1 - lean**2) * other
+    return math.sqrt(mean) * np.eye(dim)[0] + math.sqrt(1 - mean) * side
+
+
+def test_passes_around_means_find_the_pairs_of_cones(spark):
+    """With exact comparison put off, centred passes alone find the pairs of two cones."""
+    rng = np.random.default_rng(5)
+    dim = 32
+    turn, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
+    v = np.concatenate([cone(rng, 5000, dim, 0.75, 0.956), cone(rng, 5000, dim, 0.8, 0.956) @ turn]).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = {r["vec_id"]: r["component_id"] for r in near_duplicate_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), rows_a_pass=0).collect()}
+    u = v.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    found = total = 0
+    for at in (0, 5000):
+        part = u[at : at + 5000]
+        for a, b in zip(*np.nonzero(np.triu(part @ part.T >= 0.95, 1)), strict=True):
+            total += 1
+            found += got[at + int(a)] == got[at + int(b)]
+    assert total >= 200 and found >= 0.99 * total
+
+
+def test_dense_rows_are_compared_across_classes_only(spark):
+    from twinaxis.llm import embedding_dedup as e
+
+    rng = np.random.default_rng(8)
+    rows = [(i, (np.eye(6)[0] + rng.standard_normal(6) * 0.2).tolist(), 0 if i < 5000 else i) for i in range(5300)]
+    scratch = Scratch(spark, "t")
+    out = e.dense_links(scratch, spark.createDataFrame(rows, "vec_id long, embedding array<double>, class long").repartition(3), 0.95)
+    links = [(r["a"], r["b"]) for r in out.collect()]
+    inside = [(0, i) for i in range(1, 5000)]
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    hit = v @ v.T >= 0.95
+    hit[:5000, :5000] = False
+    want = classes(range(5300), [*inside, *zip(*(x.tolist() for x in np.nonzero(np.triu(hit, 1))), strict=True)])
+    assert classes(range(5300), [*inside, *links]) == want

@@ -6,15 +6,25 @@ compares each with its next neighbours. Verified links become stars where they
 are found; the passes' stars are united. Within the classes so found, links
 are then counted exactly, tile by tile, without writing pairs.
 
-The number of passes supposes that signs part the rows evenly. Each row's own
-chance to meet a partner at the threshold is measured in the sorted rows; rows
-that are left with a chance over LEFT to miss it, as in a dense cone or beside
-the edges of range partitions, are compared with each other exactly, in tiles.
+The first passes suppose that signs part the rows evenly, and their number
+follows from the row count. Real vectors share directions, so each row's own
+chance to have missed a partner at the threshold is measured in the sorted rows:
+a partner that agrees in one sign more than the row a window away stands inside
+the window. A pair is at risk only if both rows are left with a chance over LEFT.
+Those rows get further passes with projections around means instead of zero,
+first that of all such rows for the leading signs, then that of the rows with
+the same leading signs; a few passes measure how many more are needed. Once
+comparing the rest with each other costs less than those passes, or if no number
+of passes would do, that is done exactly, in tiles; rows of one class are not
+compared again, so a large class of copies costs nothing there.
 
 Defined results: a null vector, one with a null or non-finite component, and a
-zero vector link with nothing; vectors of different lengths never link; a
-repeated row counts as a row of its own under the same id; a null id links with
-nothing and is kept; an empty table gives no rows. Extra columns are ignored.
+zero vector link with nothing; vectors of different lengths never link; rows
+that repeat an id are vectors of their own, links between rows of one id do not
+count and n_links is the sum over the id's rows; a null id links with nothing
+and is kept; an empty table gives no rows. Extra columns are ignored. Floats are
+compared in double precision, and vectors of doubles too large to square are
+scaled first.
 """
 
 from __future__ import annotations
@@ -24,14 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, np_components
 
 BITS = 62
+#: Leading signs around the common mean, and passes that measure how many are needed, of passes around means.
+COARSE, PROBES = 6, 8
 #: Rows of a side of a tile of dense rows, and the measured chance of a miss from which a row counts as dense.
 DENSE_TILE, LEFT = 2048, 1e-3
+#: Rows that a pass handles in the time in which a row is compared with so many others.
+ROWS_A_PASS = 1000
 
 
 def pass_count(rows: int, window: int, threshold: float, miss: float = 1e-4) -> int:
@@ -47,36 +61,112 @@ def pass_count(rows: int, window: int, threshold: float, miss: float = 1e-4) ->
     return max(4, math.ceil(math.log(miss) / math.log1p(-hit)))
 
 
-def _project(passes: int, seed: int):
+def _units(v: np.ndarray) -> np.ndarray:
+    """Rows of finite vectors, none zero, at length one in double precision."""
+    v = np.asarray(v, np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _stacked(rows: pd.Series) -> np.ndarray:
+    return _units(np.stack(rows.to_numpy()))
+
+
+def _planes(seed: int, dim: int, p: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim, p]).standard_normal((dim, BITS))
+
+
+_WEIGHT = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
+
+
+def _agree(radius: np.ndarray, threshold: float) -> np.ndarray:
+    """Least chance of one sign to agree for a row at a distance from the middle and a partner at the threshold."""
+    far = math.sqrt(2 - 2 * threshold)
+    return np.where(radius > far, 1 - np.arcsin(np.minimum(1, far / np.maximum(radius, 1e-12))) / math.pi, 0.5)
+
+
+def _project(passes: range, seed: int, threshold: float, held):
+    """One row a vector and pass: pass, dim, key, vec_id, rid, v and the logarithms of the agreement of leading and later signs."""
+    plain = math.log(1 - math.acos(threshold) / math.pi)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes: dict[int, np.ndarray] = {}
-        weight = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
+        means = held.value if held is not None else {}
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["embedding"].map(len)):
-                v = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(v, axis=1)
-                fine = np.isfinite(norm) & (norm > 0)
-                if not fine.any():
+                raw = [x.tobytes() for x in part["embedding"]]
+                unit = _stacked(part["embedding"])
+                ids, rid = part["vec_id"].to_numpy(), part["rid"].to_numpy()
+                for p in passes:
+                    plane = _planes(seed, dim, p)
+                    if dim in means:
+                        x = unit - means[dim][0]
+                        coarse = ((x @ plane[:, :COARSE]) > 0) @ _WEIGHT[-COARSE:]
+                        y = unit - means[dim][1][p - passes.start][coarse]
+                        key = (coarse << (BITS - COARSE)) + ((y @ plane[:, COARSE:]) > 0) @ _WEIGHT[COARSE:]
+                        lead, rest = (np.log(_agree(np.linalg.norm(z, axis=1), threshold)) for z in (x, y))
+                    else:
+                        key, lead, rest = ((unit @ plane) > 0) @ _WEIGHT, plain, plain
+                    yield pd.DataFrame({"pass": np.int32(p), "dim": np.int32(dim), "key": key, "vec_id": ids, "rid": rid, "v": raw, "lead": lead, "rest": rest})
+
+    return run
+
+
+SORTED = "pass int, dim int, key long, vec_id long, rid long, v binary, lead double, rest double"
+
+
+def _sums_of(passes: range | None, seed: int, mean: dict[int, np.ndarray]):
+    """Sums of unit vectors by dimension, or around the means by dimension, pass and leading signs; one set a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, list] = {}
+        for pdf in batches:
+            for dim, part in pdf.groupby(pdf["embedding"].map(len)):
+                unit = _stacked(part["embedding"])
+                if passes is None:
+                    held = total.setdefault((dim, -1), [np.zeros((1, dim)), np.zeros(1)])
+                    held[0] += unit.sum(axis=0)
+                    held[1] += len(unit)
                     continue
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((passes, dim, BITS))
-                ids, v = part["vec_id"].to_numpy()[fine], v[fine]
-                raw = [x.tobytes() for x in v]
-                unit = v / norm[fine, None]
-                for p in range(passes):
-                    key = ((unit @ planes[dim][p]) > 0) @ weight
-                    yield pd.DataFrame({"pass": np.int32(p), "dim": np.int32(dim), "key": key, "vec_id": ids, "v": raw})
+                for p in passes:
+                    held = total.setdefault((dim, p), [np.zeros((1 << COARSE, dim)), np.zeros(1 << COARSE)])
+                    cell = (((unit - mean[dim]) @ _planes(seed, dim, p)[:, :COARSE]) > 0) @ _WEIGHT[-COARSE:]
+                    by = np.zeros((1 << COARSE, len(unit)))
+                    by[cell, np.arange(len(unit))] = 1
+                    held[0] += by @ unit
+                    held[1] += by.sum(axis=1)
+        rows = [(int(d), int(p), c, float(n[c]), s[c].tobytes()) for (d, p), (s, n) in total.items() for c in np.flatnonzero(n)]
+        yield pd.DataFrame(rows, columns=["dim", "p", "cell", "n", "s"])
 
     return run
 
 
-def _windows(window: int, threshold: float):
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    s = np.sum([np.frombuffer(x) for x in pdf["s"]], axis=0)
+    return pd.DataFrame({"dim": pdf["dim"][:1], "p": pdf["p"][:1], "cell": pdf["cell"][:1], "n": [pdf["n"].sum()], "s": [s.tobytes()]})
+
+
+def _means(rows: DataFrame, passes: range, seed: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By dimension, the mean unit vector and those of each pass and leading signs: at most len(passes) * 2**COARSE vectors."""
+    schema = "dim int, p int, cell int, n double, s binary"
+
+    def sums(of: range | None, mean: dict) -> pd.DataFrame:
+        return rows.select("embedding").mapInPandas(_sums_of(of, seed, mean), schema).groupBy("dim", "p", "cell").applyInPandas(_added, schema).toPandas()
+
+    mean = {int(r.dim): np.frombuffer(r.s) / r.n for r in sums(None, {}).itertuples()}
+    cells = {d: np.tile(m, (len(passes), 1 << COARSE, 1)) for d, m in mean.items()}
+    for r in sums(passes, mean).itertuples():
+        cells[int(r.dim)][int(r.p) - passes.start, int(r.cell)] = np.frombuffer(r.s) / r.n
+    return {d: (mean[d], cells[d]) for d in mean}
+
+
+def _windows(window: int, threshold: float, kind: str):
+    """Stars (a, b) of the links that are found, and (rid, miss) rows."""
+
     def links(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         out_a, out_b = [], []
         base = 0
         for _, part in rows.groupby(["pass", "dim"], sort=False):
-            v = np.stack([np.frombuffer(x) for x in part["v"]])
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            v = _units(np.stack([np.frombuffer(x, kind) for x in part["v"]]))
             for o in range(1, min(window, len(v) - 1) + 1):
                 near = np.flatnonzero(np.einsum("ij,ij->i", v[:-o], v[o:]) >= threshold)
                 out_a.append(base + near)
@@ -85,8 +175,6 @@ def _windows(window: int, threshold: float):
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
-    agree = 1 - math.acos(threshold) / math.pi
-
     def measured(rows: pd.DataFrame) -> pd.DataFrame:
         """Logarithm of the chance that a row misses a partner in this pass; rows near the ends count in another call, or as missing it."""
         i = np.arange(window, max(window, len(rows) - window))
@@ -96,10 +184,10 @@ def _windows(window: int, threshold: float):
             signs = BITS - np.frexp((key[i] ^ key[j]).astype(np.float64))[1]
             return np.where((of[i] == of[j]) & (dim[i] == dim[j]), signs, -1)
 
-        # A partner that agrees in one sign more than the rows a window away stands inside the window.
         need = np.maximum(common(i - window), common(i + window)) + 1
-        miss = np.where(need > BITS, 0.0, np.log1p(-np.minimum(agree**need, 1 - 1e-12)))
-        return pd.DataFrame({"a": rows["vec_id"].to_numpy()[i], "miss": miss})
+        hit = np.minimum(need, COARSE) * rows["lead"].to_numpy()[i] + np.maximum(need - COARSE, 0) * rows["rest"].to_numpy()[i]
+        miss = np.where(need > BITS, 0.0, np.log1p(-np.minimum(np.exp(hit), 1 - 1e-12)))
+        return pd.DataFrame({"rid": rows["rid"].to_numpy()[i], "miss": miss})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = None
@@ -111,20 +199,33 @@ def _windows(window: int, threshold: float):
                 lab = np_components(len(rows), a, b)
                 ids = rows["vec_id"].to_numpy()
                 own = np.flatnonzero(lab != np.arange(len(rows)))
-                yield pd.DataFrame({"a": ids[own], "b": ids[lab[own]], "miss": 0.0})
-                yield measured(rows).assign(b=None)[["a", "b", "miss"]]
+                yield pd.DataFrame({"a": ids[own], "b": ids[lab[own]], "rid": None, "miss": 0.0})
+                yield measured(rows).assign(a=None, b=None)[["a", "b", "rid", "miss"]]
                 tail = rows.iloc[-2 * window :]
 
     return run
 
 
+def _passed(scratch: Scratch, rows: DataFrame, passes: range, window: int, threshold: float, seed: int, held, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Stars (a, b) and (rid, miss, n) after the passes; rows (rid, vec_id, embedding)."""
+    sorted_ = (
+        rows.select("rid", "vec_id", "embedding")
+        .mapInPandas(_project(passes, seed, threshold, held), SORTED)
+        .repartitionByRange("pass", "dim", "key", "vec_id")
+        .sortWithinPartitions("pass", "dim", "key", "vec_id")
+    )
+    out = sorted_.mapInPandas(_windows(window, threshold, kind), "a long, b long, rid long, miss double")
+    out = scratch.save(out.groupBy("a", "b", "rid").agg(F.sum("miss").alias("miss"), F.count("*").alias("n")), "links")
+    return out.where("rid is null and a <> b").select("a", "b"), out.where("rid is not null").select("rid", "miss", "n")
+
+
 def _dense_tile(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         none = np.zeros(0, np.int64)
         out = [pd.DataFrame({"a": none, "b": none})]
         i, j = pdf["i"].iat[0], pdf["j"].iat[0]
         for _, rows in pdf.groupby(pdf["embedding"].map(len)):
-            v, blk = _units(rows["embedding"]), rows["blk"].to_numpy()
+            v, blk = _stacked(rows["embedding"]), rows["blk"].to_numpy()
             ids, own = rows["vec_id"].to_numpy(), rows["class"].to_numpy()
             left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
             for at in range(0, len(left), 256):
@@ -138,38 +239,65 @@ def _dense_tile(threshold: float):
     return run
 
 
+def dense_links(scratch: Scratch, rows: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between rows (vec_id, embedding, class) of different classes, compared exactly.
+
+    A class over a tile has blocks of its own, which are not compared with each other.
+    """
+    size = scratch.save(rows.groupBy("class").agg(F.count("*").alias("m")), "sizes")
+    large = size.where(F.col("m") > DENSE_TILE).select("class", F.ceil(F.col("m") / DENSE_TILE).alias("own"))
+    # As many classes over a tile as there are tiles at most.
+    order = Window.orderBy("class").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    large = scratch.save(large.select("class", "own", (F.sum("own").over(order) - F.col("own")).alias("first")), "large")
+    counts = large.agg(F.coalesce(F.sum("own"), F.lit(0)).alias("own")).first()["own"], size.where(F.col("m") <= DENSE_TILE).agg(F.sum("m").alias("m")).first()["m"] or 0
+    mixed = -(-counts[1] // DENSE_TILE)
+    last = F.lit(counts[0] + mixed - 1).cast("long")
+    x = rows.join(large, "class", "left")
+    blk = F.when(F.col("own").isNotNull(), F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("own"))).otherwise(counts[0] + F.pmod(F.xxhash64("class"), F.lit(max(1, mixed)))).cast("long")
+    every = F.sequence(F.lit(0).cast("long"), last)
+    others = F.when(F.col("own").isNull(), every).otherwise(F.array_except(every, F.sequence(F.col("first").cast("long"), (F.col("first") + F.col("own") - 1).cast("long"))))
+    x = x.withColumn("blk", blk).withColumn("other", F.explode(others))
+    x = x.select(F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "vec_id", "embedding", "class")
+    return scratch.save(x.groupBy("i", "j").applyInPandas(_dense_tile(threshold), "a long, b long"), "links")
+
+
 def _tile(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        def unit(rows: pd.DataFrame) -> np.ndarray:
-            v = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-            return v / np.linalg.norm(v, axis=1, keepdims=True)
-
         i, j = pdf["i"].iat[0], pdf["j"].iat[0]
         parts = []
-        for dim, rows in pdf.groupby(pdf["embedding"].map(len)):
-            left = rows[rows["blk"] == i]
-            x = unit(left) if len(left) else np.zeros((0, dim))
-            if i == j:
-                parts.append((left["vec_id"], ((x @ x.T) >= threshold).sum(1) - ((x * x).sum(1) >= threshold)))
-            else:
-                right = rows[rows["blk"] == j]
-                y = unit(right) if len(right) else np.zeros((0, dim))
-                hit = (x @ y.T) >= threshold
-                parts += [(left["vec_id"], hit.sum(1)), (right["vec_id"], hit.sum(0))]
-        return pd.DataFrame({"vec_id": np.concatenate([p[0] for p in parts]), "n": np.concatenate([p[1] for p in parts]).astype(np.int64)})
+        for _, rows in pdf.groupby(pdf["embedding"].map(len)):
+            v, blk, ids = _stacked(rows["embedding"]), rows["blk"].to_numpy(), rows["vec_id"].to_numpy()
+            left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+            counts = np.zeros(len(v), np.int64)
+            for at in range(0, len(left), 512):
+                part = left[at : at + 512]
+                hit = (v[part] @ v[right].T >= threshold) & (ids[part][:, None] != ids[right])
+                counts[part] += hit.sum(1)
+                if i != j:
+                    counts[right] += hit.sum(0)
+            parts.append(pd.DataFrame({"vec_id": ids, "n": counts}))
+        return pd.concat(parts)
 
     return run
 
 
-def _units(rows: pd.Series) -> np.ndarray:
-    v = np.stack(rows.to_numpy()).astype(np.float64)
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
+#: Classes whose sums a task holds at once.
+HELD_CLASSES = 4096
+
+
+def _class_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: dict[int, np.ndarray] = {}
 
+    def out() -> pd.DataFrame:
+        return pd.DataFrame({"component_id": list(held), "s": [x.tobytes() for x in held.values()]})
 
-def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for c, rows in pdf.groupby("component_id"):
-            yield pd.DataFrame({"component_id": [c], "s": [_units(rows["embedding"]).sum(axis=0).tobytes()]})
+            held[c] = held.get(c, 0) + _stacked(rows["embedding"]).sum(axis=0)
+        if len(held) >= HELD_CLASSES:
+            yield out()
+            held = {}
+    yield out()
 
 
 def _middle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -185,59 +313,76 @@ def _core(threshold: float):
             for _, rows in pdf.groupby("component_id"):
                 middle = np.frombuffer(rows["middle"].iat[0])
                 norm = np.linalg.norm(middle)
-                near = _units(rows["embedding"]) @ (middle / norm) if norm > 0 else np.zeros(len(rows))
+                near = _stacked(rows["embedding"]) @ (middle / norm) if norm > 0 else np.zeros(len(rows))
                 yield rows[["component_id", "vec_id", "embedding"]].assign(core=near >= math.cos(half))
 
     return run
 
 
 def near_duplicate_vectors(
-    spark: SparkSession, vectors: DataFrame, threshold: float = 0.95, window: int = 32, tile: int = 128, seed: int = 7
+    spark: SparkSession, vectors: DataFrame, threshold: float = 0.95, window: int = 32, tile: int = 512, seed: int = 7, rows_a_pass: int = ROWS_A_PASS
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding).
 
-    The number of passes follows from the row count, and rows denser than that
-    supposes are compared exactly, so recall is the same at every size. A class over tile vectors is parted into a core, whose vectors are
-    all linked with each other by the triangle inequality of angles, and a rim.
-    Rim vectors are compared with the class in tiles of about tile by tile rows
-    dealt by hash; no task holds more, and only counts leave it.
+    A class over tile vectors is parted into a core, whose vectors are all linked
+    with each other by the triangle inequality of angles, and a rim. Rim vectors
+    are compared with the class in tiles of about tile by tile rows dealt by
+    hash; no task holds more, and only counts leave it.
     """
     scratch = Scratch(spark, "vectors")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     fine = rows.where("vec_id is not null and embedding is not null and size(embedding) > 0").where(
         "not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
     )
-    passes = pass_count(fine.count(), window, threshold)
-    sorted_ = (
-        fine.mapInPandas(_project(passes, seed), "pass int, dim int, key long, vec_id long, v binary")
-        .repartitionByRange("pass", "dim", "key", "vec_id")
-        .sortWithinPartitions("pass", "dim", "key", "vec_id")
-    )
-    links = sorted_.mapInPandas(_windows(window, threshold), "a long, b long, miss double")
-    links = scratch.save(links.groupBy("a", "b").agg(F.sum("miss").alias("miss"), F.count("*").alias("n")), "links")
-    label = components(scratch, links.select("a", "b"))
-
-    # Rows under one id add up their chances, so they count as dense.
-    sure = links.where(f"b is null and n <= {passes} and miss <= {math.log(LEFT)}").select(F.col("a").alias("vec_id"))
-    dense = fine.join(sure, "vec_id", "left_anti").join(label.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    if kind not in ("float", "double"):
+        fine, kind = fine.withColumn("embedding", F.col("embedding").cast("array<double>")), "double"
+    array, kind = f"array<{kind}>", {"float": "<f4", "double": "<f8"}[kind]
+    fine = fine.select("vec_id", "embedding", F.xxhash64("vec_id", "embedding").alias("rid"))
+    label = None
+
+    def united(links: DataFrame) -> DataFrame:
+        return components(scratch, links if label is None else label.toDF("a", "b").union(links))
+
+    # Chances add up over passes; rows alike in id and vector share theirs.
+    log_left = math.log(LEFT)
+    n_rows = fine.count()
+    left, passes, held = fine.withColumn("so_far", F.lit(0.0)), range(pass_count(n_rows, window, threshold)), None
+    while True:
+        links, miss = _passed(scratch, left, passes, window, threshold, seed, held, kind)
+        label = united(links)
+        own = F.coalesce(F.col("miss") * F.least(F.lit(1.0), F.lit(len(passes)) / F.col("n")), F.lit(0.0))
+        left = left.join(miss, "rid", "left").withColumn("rate", -own / len(passes)).withColumn("so_far", F.col("so_far") + own)
+        left = scratch.save(left.where(F.col("so_far") > log_left).select("rid", "vec_id", "embedding", "so_far", "rate"), "left")
+        # How many passes the slowest but a few of the rows left would need, at the rate of the last ones.
+        more = (F.col("so_far") - log_left) / F.greatest("rate", F.lit(1e-9))
+        now = left.agg(F.count("*").alias("n"), F.percentile_approx(more, 0.95, 1000).alias("more")).first()
+        n_left, first = now["n"], held is None
+        wanted = PROBES if first else math.ceil(now["more"] or 0)
+        if n_left <= max(2 * DENSE_TILE, rows_a_pass * wanted):
+            break
+        passes = range(passes.stop, passes.stop + wanted)
+        # The means and the numbers of a long run of passes are handled in parts.
+        passes = range(passes.start, passes.start + min(len(passes), 64))
+        held = spark.sparkContext.broadcast(_means(left, passes, seed))
+    dense = left.join(label.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     dense = scratch.save(dense.select("vec_id", "embedding", F.coalesce("component_id", "vec_id").alias("class")), "dense")
-    blocks = F.lit(-(-dense.count() // DENSE_TILE) or 1).cast("long")
-    dealt = dense.withColumn("blk", F.pmod(F.xxhash64("vec_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select(F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "vec_id", "embedding", "class")
-    more = scratch.save(dealt.groupBy("i", "j").applyInPandas(_dense_tile(threshold), "a long, b long"), "links")
-    if not more.isEmpty():
-        label = components(scratch, label.toDF("a", "b").union(more))
+    if not dense.isEmpty():
+        more = dense_links(scratch, dense, threshold)
+        if not more.isEmpty():
+            label = united(more)
+
     size = label.groupBy("component_id").agg(F.count("*").alias("m"))
-    members = fine.join(label.withColumnRenamed("id", "vec_id"), "vec_id").join(size, "component_id")
+    members = fine.drop("rid").join(label.withColumnRenamed("id", "vec_id"), "vec_id").join(size, "component_id")
     zero = F.lit(0).cast("long")
     small = members.where(F.col("m") <= tile).select("component_id", zero.alias("i"), zero.alias("j"), zero.alias("blk"), "vec_id", "embedding")
 
     # Two vectors within half the angle of one direction are within the angle of each other:
     # the core of a large class is linked throughout and needs no comparison.
     large = members.where(F.col("m") > tile).select("component_id", "vec_id", "embedding")
-    sums = large.mapInPandas(_sums, "component_id long, s binary")
+    sums = large.mapInPandas(_class_sums, "component_id long, s binary")
     middle = sums.groupBy("component_id").applyInPandas(_middle, "component_id long, middle binary")
-    placed = large.join(middle, "component_id").mapInPandas(_core(threshold), "component_id long, vec_id long, embedding array<float>, core boolean")
+    placed = large.join(middle, "component_id").mapInPandas(_core(threshold), f"component_id long, vec_id long, embedding {array}, core boolean")
     placed = scratch.save(placed, "placed")
     parts = placed.groupBy("component_id").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rim"))
     placed = placed.join(parts, "component_id").where(F.col("core") | (F.col("n_rim") > 0))
@@ -248,9 +393,11 @@ def near_duplicate_vectors(
     rim = placed.where("n_rim > 0").select("component_id", "vec_id", "embedding", own.alias("blk"), F.explode(others).alias("other"))
     rim = rim.select("component_id", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "vec_id", "embedding")
     counts = small.union(rim).groupBy("component_id", "i", "j").applyInPandas(_tile(threshold), "vec_id long, n long")
-    counts = counts.union(placed.where("core").select("vec_id", F.col("n_core") - 1))
+    in_core = placed.where("core").groupBy("vec_id", "n_core").agg(F.count("*").alias("copies"))
+    counts = counts.union(in_core.select("vec_id", F.col("copies") * (F.col("n_core") - F.col("copies"))))
     counts = counts.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     linked = scratch.save(label.withColumnRenamed("id", "vec_id").join(counts, "vec_id", "left"), "linked")
+    scratch.keep_only(linked)
     return (
         rows.select("vec_id")
         .join(linked, "vec_id", "left")
