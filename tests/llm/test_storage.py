@@ -94,7 +94,7 @@ def test_shards_round_trip(spark, tmp_path):
     assert tiers.isEmpty() and store.compact() == store.version()
     with pytest.raises(CommitConflict):
         store._commit(version - 1, before)
-    store.vacuum()
+    store.vacuum(1, 0)
     assert rows(store.read()) == rows(docs)
 
 
@@ -142,6 +142,42 @@ def test_appends_with_different_columns(spark, tmp_path):
     want = [(0, "a0", None), (1, "a1", None), (10, "b0", "x0"), (11, "b1", "x1")]
     assert sorted(map(tuple, store.read().select("doc_id", "text", "extra").collect())) == want
     store.compact()
-    store.vacuum()
+    store.vacuum(1, 0)
     assert store.manifest().count() == 1
     assert sorted(map(tuple, store.read().select("doc_id", "text", "extra").collect())) == want
+
+
+def test_vacuum_harms_no_append_and_no_reader(spark, tmp_path):
+    one = lambda i: spark.createDataFrame([(i, f"text {i}")], "doc_id long, text string").coalesce(1)
+    a, b = (ShardStore(spark, f"file://{tmp_path}/s", fan_in=3) for _ in range(2))
+    for i in range(3):
+        a.append(one(i))
+    old = a.read()
+    # A writer that has written its files and not committed yet.
+    with b._staged(b.version()) as name:
+        folder = f"{b.path}/data/{name}"
+        one(100).write.parquet(folder)
+        a.compact()
+        a.vacuum(1, 0)
+        b._commit(b.version(), b._written(folder, b.version() + 1))
+    assert sorted(r["doc_id"] for r in a.read().collect()) == [0, 1, 2, 100]
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST"):
+        old.collect()  # without a grace readers of old versions lose their files
+    for i in range(3, 6):
+        a.append(one(i))
+    old = a.read()
+    a.compact()
+    a.vacuum()
+    assert sorted(r["doc_id"] for r in old.collect()) == [0, 1, 2, 3, 4, 5, 100]
+
+
+def test_manifests_of_many_versions(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s", fan_in=4)
+    for i in range(20):
+        store.append(spark.createDataFrame([(i, "x" * 100)], "doc_id long, text string").coalesce(1))
+    assert store.manifest().count() == 20 and store.manifest(15).count() == 15 and store.manifest(16).count() == 16
+    sizes = [store.spark.read.parquet(f"{store.path}/manifest/v{v}").count() for v in (15, 16, 17)]
+    assert sizes == [1, 16, 1]
+    store.compact()
+    store.vacuum(1, 0)
+    assert store.manifest().count() < 4 and sorted(r["doc_id"] for r in store.read().collect()) == list(range(20))

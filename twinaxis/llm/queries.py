@@ -34,7 +34,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import ShardStore, shard_documents
 
-    return shard_documents(ShardStore(spark, Scratch(spark, "shards").path), read_table(spark, sf_dir, "documents"))
+    # A store of this query alone: nobody else reads its older versions.
+    return shard_documents(ShardStore(spark, Scratch(spark, "shards").path), read_table(spark, sf_dir, "documents"), grace_seconds=0)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,25 +7,37 @@ target size and commits the result; it repeats until no tier is full. Nothing is
 shuffled for a merge: the runs are read with splits of the target size, so Spark
 packs whole runs into one task, and every task writes one file.
 
-Files are never changed. A version is a Parquet folder of manifest rows, written
-beside the others and renamed into place; the rename fails if the version
-exists, so of two writers one commits and the other starts again from the new
-version. Readers list the greatest version and read the files it names; a writer
-that dies leaves files no version names, which vacuum() takes away.
-
-Only DataFrame operations and Parquet touch the rows. The driver handles one
-manifest row for each file.
-
-Defined results: rows are kept as they are, whatever nulls, repeats or extra
-columns they have; arrivals with different columns are read and merged under all
-of them, null where a row has none; an empty append commits a version without new files; reading
-a store without files needs a schema and gives no rows.
+Files are never changed. A version is a Parquet folder of the files it adds and
+removes (every SNAPSHOT_EVERY-th one lists all files), written beside the others
+and renamed into place; the rename fails if the version exists, so of two writers
+one commits and the other starts again from the new version. That needs a store
+whose rename is atomic and refuses an existing target, as HDFS and local file
+systems do; on an object store the folder of manifests has to lie on one that
+has conditional writes behind its rename. Readers take the greatest version and
+read the files it names.
+
+A writer marks its folder as staged before it writes and takes the mark away
+after its commit. vacuum() leaves staged folders, the last versions and those
+younger than a grace, so it harms neither appends under way nor readers; a writer
+that dies leaves a mark, which holds for ABANDONED seconds.
+
+Only DataFrame operations and Parquet touch the rows. The driver handles file
+names and one manifest row for each file it merges.
+
+Defined results: rows are kept as they are, whatever nulls, repeats, very long
+texts or extra columns they have; arrivals with different columns are read and
+merged under all of them, null where a row has none; runs of equal size are
+merged in the order of their names; an empty append commits a version without
+new files; reading a store without files needs a schema and gives no rows.
 """
 
 from __future__ import annotations
 
+import contextlib
 import math
+import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +47,10 @@ from .common import hadoop_path
 #: The tier of runs that no merge can take further.
 FULL = 1000
 MANIFEST = "file string, bytes long, n_rows long, tier int, added_in long"
+DELTA = MANIFEST + ", removed boolean, version long"
+SNAPSHOT_EVERY = 16
+#: Seconds after which a staged folder counts as left by a dead writer.
+ABANDONED = 7 * 86_400
 
 
 class CommitConflict(Exception):
@@ -46,29 +62,53 @@ class ShardStore:
         self.spark, self.path = spark, path.rstrip("/")
         self.target_bytes, self.least_bytes, self.ratio, self.fan_in = target_bytes, least_bytes, ratio, fan_in
 
+    def _list(self, folder: str) -> list:
+        fs, p = hadoop_path(self.spark, f"{self.path}/{folder}")
+        return list(fs.listStatus(p)) if fs.exists(p) else []
+
     # Versions
 
+    def _versions(self) -> dict[int, object]:
+        names = {s.getPath().getName(): s for s in self._list("manifest")}
+        return {int(n[1:]): s for n, s in names.items() if n[0] == "v" and n[1:].isdigit()}
+
     def version(self) -> int:
-        fs, p = hadoop_path(self.spark, f"{self.path}/manifest")
-        if not fs.exists(p):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max((int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit()), default=0)
+        return max(self._versions(), default=0)
+
+    @staticmethod
+    def _snapshot(version: int) -> int:
+        """The version that lists all files, or 0, from which a version is read."""
+        return version - version % SNAPSHOT_EVERY
 
     def manifest(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/v{version}")
-
-    def _commit(self, base: int, rows: DataFrame) -> int:
-        """Publishes rows as the version after base, or raises CommitConflict."""
+        own = [f"{self.path}/manifest/v{v}" for v in range(max(1, self._snapshot(version)), version + 1)]
+        last = F.max(F.struct("version", "removed", "bytes", "n_rows", "tier", "added_in")).alias("m")
+        rows = self.spark.read.schema(DELTA).parquet(*own).groupBy("file").agg(last).where("not m.removed")
+        return rows.select("file", "m.bytes", "m.n_rows", "m.tier", "m.added_in")
+
+    def _commit(self, base: int, added: DataFrame, removed: DataFrame | None = None) -> int:
+        """Publishes the version after base, or raises CommitConflict; a file in both is added."""
+        now = base + 1
+        if removed is not None:
+            removed = removed.join(added.select("file"), "file", "left_anti")
+        if now % SNAPSHOT_EVERY:
+            rows = added.withColumn("removed", F.lit(False))
+            if removed is not None:
+                rows = rows.unionByName(removed.withColumn("removed", F.lit(True)))
+        else:
+            rows = self.manifest(base).join(added.select("file"), "file", "left_anti")
+            if removed is not None:
+                rows = rows.join(removed.select("file"), "file", "left_anti")
+            rows = rows.unionByName(added).withColumn("removed", F.lit(False))
         fs, folder = hadoop_path(self.spark, f"{self.path}/manifest")
         fs.mkdirs(folder)
         made = f"{self.path}/manifest/_new-{uuid.uuid4().hex}"
-        rows.coalesce(1).write.parquet(made)
+        rows.withColumn("version", F.lit(now).cast("long")).coalesce(1).write.parquet(made)
         _, source = hadoop_path(self.spark, made)
-        _, target = hadoop_path(self.spark, f"{self.path}/manifest/v{base + 1}")
+        _, target = hadoop_path(self.spark, f"{self.path}/manifest/v{now}")
         # FileSystem.rename would move the folder into an existing one; this rename fails there.
         jvm = self.spark.sparkContext._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -78,9 +118,9 @@ class ShardStore:
         except Exception as e:
             fs.delete(source, True)
             if fs.exists(target):
-                raise CommitConflict(f"version {base + 1} exists") from e
+                raise CommitConflict(f"version {now} exists") from e
             raise
-        return base + 1
+        return now
 
     # Files
 
@@ -93,20 +133,27 @@ class ShardStore:
         files = self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
         return files.agg(F.count("*").alias("n_rows")).select("file", "bytes", "n_rows", self._tier().alias("tier"), F.lit(added_in).cast("long").alias("added_in"))
 
-    def _write(self, df: DataFrame, base: int) -> DataFrame:
-        folder = f"{self.path}/data/{base + 1}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(folder)
-        return self._written(folder, base + 1)
+    @contextlib.contextmanager
+    def _staged(self, base: int) -> Iterator[str]:
+        """The name of a new data folder that vacuum() leaves alone inside."""
+        name = f"{base + 1}-{uuid.uuid4().hex}"
+        fs, mark = hadoop_path(self.spark, f"{self.path}/staged/{name}")
+        fs.create(mark, False).close()
+        yield name
+        fs.delete(mark, False)
 
     def append(self, df: DataFrame) -> int:
         """Writes df as new shards and commits them; returns the version."""
         base = self.version()
-        new = self._write(df, base)
-        while True:
-            try:
-                return self._commit(base, self.manifest(base).unionByName(new))
-            except CommitConflict:
-                base = self.version()
+        with self._staged(base) as name:
+            folder = f"{self.path}/data/{name}"
+            df.write.option("compression", "zstd").parquet(folder)
+            new = self._written(folder, base + 1)
+            while True:
+                try:
+                    return self._commit(base, new)
+                except CommitConflict:
+                    base = self.version()
 
     def compact(self) -> int:
         """Merges full tiers until there is none; returns the version."""
@@ -127,16 +174,16 @@ class ShardStore:
             packed.conf.set("spark.sql.files.maxPartitionBytes", str(split + 1))
             packed.conf.set("spark.sql.files.openCostInBytes", "0")
             packed.conf.set("spark.sql.files.minPartitionNum", "1")
-            folder = f"{self.path}/data/{base + 1}-{uuid.uuid4().hex}"
-            packed.read.option("mergeSchema", "true").parquet(*files).write.option("compression", "zstd").parquet(folder)
-            new = self._written(folder, base + 1)
-            if new.count() >= len(files):
-                # Runs too large to go together stay as they are and count as full.
-                new = runs.withColumn("tier", F.lit(FULL))
-            try:
-                self._commit(base, now.join(runs.select("file"), "file", "left_anti").unionByName(new))
-            except CommitConflict:
-                continue
+            with self._staged(base) as name:
+                folder = f"{self.path}/data/{name}"
+                packed.read.option("mergeSchema", "true").parquet(*files).write.option("compression", "zstd").parquet(folder)
+                new = self._written(folder, base + 1)
+                if new.count() >= len(files):
+                    # Runs too large to go together stay as they are and count as full.
+                    new = runs.withColumn("tier", F.lit(FULL))
+                # After a conflict the runs may be merged already: the next round looks again.
+                with contextlib.suppress(CommitConflict):
+                    self._commit(base, new, runs)
 
     def read(self, version: int | None = None, schema=None) -> DataFrame:
         """All rows of a version, with _metadata of the files."""
@@ -145,31 +192,37 @@ class ShardStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.option("mergeSchema", "true").parquet(*files)
 
-    def vacuum(self, keep_versions: int = 1) -> None:
-        """Deletes older versions and the files that no kept version names."""
-        last = self.version()
-        kept = None
-        for v in range(max(1, last - keep_versions + 1), last + 1):
-            kept = self.manifest(v) if kept is None else kept.union(self.manifest(v))
-        named = set() if kept is None else {r["file"].rsplit("/", 2)[-2] + "/" + r["file"].rsplit("/", 1)[-1] for r in kept.select("file").distinct().collect()}
-        fs, data = hadoop_path(self.spark, f"{self.path}/data")
-        if fs.exists(data):
-            for folder in fs.listStatus(data):
-                for f in fs.listStatus(folder.getPath()):
-                    if f"{folder.getPath().getName()}/{f.getPath().getName()}" not in named:
-                        fs.delete(f.getPath(), False)
-        fs, versions = hadoop_path(self.spark, f"{self.path}/manifest")
-        for s in fs.listStatus(versions) if fs.exists(versions) else []:
-            name = s.getPath().getName()
-            if name[0] == "v" and int(name[1:]) <= last - keep_versions:
+    def vacuum(self, keep_versions: int = 2, grace_seconds: float = 86_400) -> None:
+        """Deletes older versions, and the files that no kept version names and no writer has staged.
+
+        The last keep_versions and all versions and files younger than the grace are kept.
+        """
+        now = time.time()
+        age = lambda s: now - s.getModificationTime() / 1000
+        # In this order: a file seen here was staged before, and its mark goes only after a version names it.
+        files = [(folder.getPath().getName(), f) for folder in self._list("data") for f in self._list(f"data/{folder.getPath().getName()}")]
+        staged = {s.getPath().getName() for s in self._list("staged") if age(s) < ABANDONED}
+        versions = self._versions()
+        last = max(versions, default=0)
+        kept = [v for v, s in versions.items() if v > last - keep_versions or age(s) < grace_seconds]
+        named: set[str] = set()
+        for v in kept:
+            named |= {"/".join(r["file"].rsplit("/", 2)[-2:]) for r in self.manifest(v).select("file").toLocalIterator()}
+        fs, _ = hadoop_path(self.spark, self.path)
+        for folder, f in files:
+            if folder not in staged and f"{folder}/{f.getPath().getName()}" not in named and (age(f) >= grace_seconds or f.getPath().getName()[0] in "._"):
+                fs.delete(f.getPath(), False)
+        least = self._snapshot(min(kept, default=0))
+        for v, s in versions.items():
+            if v not in kept and v < least:
                 fs.delete(s.getPath(), True)
 
 
-def shard_documents(store: ShardStore, docs: DataFrame) -> DataFrame:
+def shard_documents(store: ShardStore, docs: DataFrame, grace_seconds: float = 86_400) -> DataFrame:
     """Appends docs, compacts, and returns every row's doc_id with the shard it lies in."""
     store.append(docs)
     version = store.compact()
-    store.vacuum()
+    store.vacuum(1, grace_seconds)
     shards = store.manifest(version).select("file", F.col("bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"), F.col("tier"))
     if shards.isEmpty():
         return store.spark.createDataFrame([], "doc_id long, shard long, shard_rows long, shard_bytes long, tier int, version long")
