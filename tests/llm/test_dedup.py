@@ -367,3 +367,26 @@ def test_dense_rows_are_compared_across_classes_only(spark):
     hit[:5000, :5000] = False
     want = classes(range(5300), [*inside, *zip(*(x.tolist() for x in np.nonzero(np.triu(hit, 1))), strict=True)])
     assert classes(range(5300), [*inside, *links]) == want
+
+
+def test_the_sketch_loses_hardly_a_pair():
+    from twinaxis.llm import minhash_dedup as m
+
+    below = sum(math.comb(128, k) * 0.875**k * 0.125 ** (128 - k) for k in range(m.LEAST_BITS))
+    assert below < 1e-7
+    rng = np.random.default_rng(1)
+    lost = met = 0
+    for _ in range(300):
+        both, own = rng.integers(0, 1 << 63, 150, dtype=np.uint64), rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+        x, y = (m.minhash(np.concatenate([both, o])) for o in np.split(own, 2))
+        bits = [(s * np.uint32(0x9E3779B1)) >> np.uint32(15) & np.uint32(1) for s in (x, y)]
+        lost += int((bits[0] == bits[1]).sum()) < m.LEAST_BITS
+        met += any((x[t * m.DEPTH : t * m.DEPTH + m.LEAST_DEPTH] == y[t * m.DEPTH : t * m.DEPTH + m.LEAST_DEPTH]).all() for t in range(m.TREES))
+    assert lost == 0 and met >= 297
+
+
+def test_repeated_ids_and_long_texts_among_documents(spark):
+    base = " ".join(f"w{i}" for i in range(50_000))
+    rows = [(5, base), (5, "quite another text of some words"), (6, base + " end"), (7, "quite another text of some words"), (5, base)]
+    got = near_duplicate_documents(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(5, 2, 5), (5, 49_996, 5), (5, 49_996, 5), (6, 49_997, 5), (7, 2, 5)]

@@ -45,7 +45,7 @@ COARSE, PROBES = 6, 8
 #: Rows of a side of a tile of dense rows, and the measured chance of a miss from which a row counts as dense.
 DENSE_TILE, LEFT = 2048, 1e-3
 #: Rows that a pass handles in the time in which a row is compared with so many others.
-ROWS_A_PASS = 1000
+ROWS_A_PASS = 4000
 
 
 def pass_count(rows: int, window: int, threshold: float, miss: float = 1e-4) -> int:

@@ -41,8 +41,8 @@ from .textops import sequence_keys, shingle_sets, text_chunks, words
 
 TREES, DEPTH, LEAST_DEPTH, REGION = 16, 8, 3, 16
 VALUES = TREES * DEPTH
-#: Of 128 sketch bits; a pair at 0.75 has 112 on average with a deviation of 3.7.
-LEAST_BITS = 95
+#: Of 128 sketch bits, each alike with probability (1 + J) / 2: fewer than one pair in 10**7 at 0.75 falls below (tested).
+LEAST_BITS = 88
 #: Ids of candidate texts are broadcast up to this count (16 MB), joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: Leading bits of a shingle whose count orders the shingles of crowded texts (a table of 2 MB).
