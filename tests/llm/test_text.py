@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql.functions import lit as F_lit
 
 from twinaxis.llm import decontaminate, language_id, lm_score, pii, toxicity
 from twinaxis.llm.common import Scratch
@@ -541,3 +542,25 @@ def test_language_posteriors_against_a_plain_version(spark):
         want.append((i, langs[int(post.argmax())], round(float(post.max()), 6), langs[int(own.argmax())] if np.abs(s).sum() else None, declared, suffix, host))
     want.sort(key=repr)
     assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want] and all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(got, want, strict=True))
+
+
+def test_backoff_counts_have_64_bits(spark):
+    big = 2**33 + 5
+    rows = [(h, b, n) for b, n in ((1, 2**32), (2, 2**32 + 5)) for h in (7, -7)] + [(9, 1, 3)]
+    table = {r["h"]: r["total"] for r in lm_score.count_table(spark.createDataFrame(rows, "h long, block long, n long")).collect()}
+    assert table == {7: big, -7: big, 9: 3}
+    docs = pa.table({"doc_id": [1], "text": ["a b"]})
+    h, rows = lm_score._texts(docs.column("text").combine_chunks())
+    grams = np.concatenate([lm_score._grams(h, rows, n)[0] for n in (1, 2)])
+    batch = pa.RecordBatch.from_pydict({"block": np.zeros(3, np.int64), "h": grams.view(np.int64), "total": np.array([big, big, 2**32 + 2])})
+    out = lm_score._scores(docs, pa.Table.from_batches(list(lm_score._packed(iter([batch]))))).to_pylist()
+    assert out[0]["singles"] == 1 and abs(out[0]["score"] - math.log(big - 1) - math.log((2**32 + 1) / (big - 1))) < 1e-9
+
+
+def test_backoff_of_long_texts_and_split_blocks(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghij", k=20)) for _ in range(50)] + ["a b c " * 60_000]
+    rows = [(i, t, i % 3) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, block long").repartition(7)
+    a, b = ({r["doc_id"]: (r["n_words"], round(r["log_score"], 6)) for r in lm_score.stupid_backoff(spark, x, passes=p).collect()} for x, p in ((df.orderBy("block"), 1), (df.withColumn("block", F_lit(0).cast("long")), 3)))
+    assert a == b and len(a) == 51

@@ -1,28 +1,34 @@
 """Stupid-backoff scores of every document under counts of all the others.
 
-1. Count: each block of documents lists its distinct n-grams of one to three
-   words with their counts, as 48-bit hashes cut into shards by their first bits.
-2. Join: each shard adds the lists up to its part of the count table and answers
-   every block with the corpus counts of the block's n-grams, in their order.
-3. Sum: each block lists its n-grams again, sets the answers beside them, takes
-   the document's own counts off and adds up the scores per document.
-
-Lists travel as gaps of sorted hashes, about five bytes for each distinct n-gram
-of a block, in place of one row for each n-gram; a common n-gram is counted
-once a block, so no key is hot. Both groupings hold bounded amounts: a shard
-about two million list entries, a block 1,024 documents.
+1. Explode: the n-grams of one to three words of each block of documents, as
+   rows (h, block, n) of 64-bit hashes, combined within the block.
+2. Count: the table (h, total), a group sum of those rows partitioned by hash.
+3. Join: the exploded rows meet the table under the same partitioning, so there
+   is one exchange for both; rows whose n-gram occurs elsewhere too go back to
+   their block, the others need no answer.
+4. Sum: each block lists its n-grams again, sets the totals beside them, takes
+   each document's own counts off and adds up the scores per document.
+
+Steps 1 to 3 run once for each range of hashes and step 4 once for each part of
+the blocks, PASSES each, so no more than that share of the rows is on its way
+between tasks at once; shuffle files go when their pass is written.
+
+A common n-gram is one row a block, so no key is hot, and the answers of a
+task travel as sorted lists, one for each block. Counts are 64-bit numbers.
 
 A word's score after the two before it is c(abc) / c(ab) if c(abc) > 0, else
 0.4 * c(bc) / c(b) if c(bc) > 0, else 0.4**2 * c(c) / N; a word found nowhere
 else counts half. First words start at the order they have. All counts are
 those of the other documents, rows of the same id being documents of their own.
 
-Defined results: null and empty texts have no words and score 0; a null id is
-scored like any other; an empty table gives no rows.
+Defined results: null and empty texts have no words and score 0; a null or
+repeated id is scored like any other; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +40,10 @@ from .common import Scratch
 from .textops import gram_hashes, text_chunks, words
 
 ORDER, BACKOFF = 3, 0.4
-BITS = 48
 BLOCK_ROWS = 1024
-ENTRIES_PER_SHARD = 2_000_000
+PASSES = 4
+#: Answers that a task sorts and packs together.
+AT_ONCE = 1 << 20
 
 
 def file_blocks(files: DataFrame) -> DataFrame:
@@ -62,29 +69,24 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grams(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit hashes of the n-grams inside texts and the place of their last word."""
+    """Hashes of the n-grams inside texts and the place of their last word."""
     left = np.repeat(rows[1:], np.diff(rows)) - np.arange(len(h))  # words from here to the text's end
     start = np.flatnonzero(left >= n)
-    return gram_hashes(h, n)[start] >> np.uint64(64 - BITS), start + n - 1
+    return gram_hashes(h, n)[start], start + n - 1
 
 
-def _lists(shard_bits: int):
-    shift, mask = np.uint64(BITS - shard_bits), np.uint64((1 << (BITS - shard_bits)) - 1)
+def _exploded(part: int, passes: int):
+    """Rows (h, block, n) of the n-grams whose hash lies in a part of all hashes; a block's rows may come in several runs."""
+    width = (1 << 64) // passes
+    low, high = np.uint64(part * width), np.uint64((1 << 64) - 1 if part == passes - 1 else (part + 1) * width - 1)
 
     def emit(block: int, cols: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         h, rows = _texts(pa.concat_arrays(cols))
-        keys, counts = np.unique(np.concatenate([_grams(h, rows, n)[0] for n in range(1, ORDER + 1)]), return_counts=True)
-        shard = (keys >> shift).astype(np.int64)
-        cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(keys) else np.zeros(1, int)
-        out = []
-        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            gap = np.diff(keys[a:b] & mask, prepend=np.uint64(0))
-            low, high = gap.astype("<u4"), (gap >> np.uint64(32)).astype("<u2")
-            out.append((int(shard[a]), block, len(h) if i == 0 else 0, low.tobytes(), high.tobytes(), counts[a:b].astype("<u4").tobytes()))
-        if out:
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, ["shard", "block", "words", "low", "high", "n"])
+        keys = np.concatenate([_grams(h, rows, n)[0] for n in range(1, ORDER + 1)])
+        keys, counts = np.unique(keys[(keys >= low) & (keys <= high)], return_counts=True)
+        for at in range(0, len(keys), 1 << 16):
+            k, n = keys[at : at + (1 << 16)], counts[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), block)), pa.array(n)], ["h", "block", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -103,88 +105,105 @@ def _lists(shard_bits: int):
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Adds the lists of one shard up and answers each block."""
-    lists: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    words = 0
-    for row in table.to_batches():
-        for block, w, low, high, n in zip(*(row.column(c) for c in ("block", "words", "low", "high", "n")), strict=True):
-            gap = np.frombuffer(low.as_py(), "<u4").astype(np.uint64) + (np.frombuffer(high.as_py(), "<u2").astype(np.uint64) << np.uint64(32))
-            lists.setdefault(block.as_py(), []).append((np.cumsum(gap, dtype=np.uint64), np.frombuffer(n.as_py(), "<u4")))
-            words += w.as_py()
-    parts = [x for part in lists.values() for x in part]
-    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    total = np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)
-    out, at = [], 0
-    for part in lists.values():
-        size = sum(len(k) for k, _ in part)
-        own = place[at : at + size]
-        at += size
-        out.append(total[own if len(part) == 1 else np.unique(own)].astype("<u4").tobytes())
-    n = len(lists)
-    return pa.table(
-        {
-            "shard": pa.array([table.column("shard")[0].as_py()] * n, pa.int32()),
-            "block": pa.array(list(lists), pa.int64()),
-            "words": pa.array([words] + [0] * (n - 1), pa.int64()),
-            "n": pa.array(out, pa.binary()),
-        }
-    )
-
-
-def _score(total_words: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        text = docs.column("text").combine_chunks()
-        h, rows = _texts(text)
-        m = len(rows) - 1
-        size = np.diff(rows)
-        log = np.zeros(len(h))
-        if len(h):
-            order = np.argsort(answers.column("shard").to_numpy())
-            raw = answers.column("n").to_pylist()
-            corpus = np.frombuffer(b"".join(raw[i] for i in order), "<u4").astype(np.int64)
-            grams = [_grams(h, rows, n) for n in range(1, ORDER + 1)]
-            keys, place = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
-            if len(keys) != len(corpus):
-                raise ValueError("a block's n-grams changed between two scans of the table")
-            doc = np.repeat(np.arange(m), size)
-            last = np.concatenate([p for _, p in grams])
-            _, which, own = np.unique(doc[last] * len(keys) + place, return_inverse=True, return_counts=True)
-            other = corpus[place] - own[which]
-            cut = np.cumsum([0, *(len(g) for g, _ in grams)])
-            # counts[n][i]: of the n-gram that ends at word i, in the other documents; -1 where there is none
-            counts = np.full((ORDER + 1, len(h)), -1, np.int64)
-            for n in range(1, ORDER + 1):
-                counts[n, grams[n - 1][1]] = other[cut[n - 1] : cut[n]]
-            words_left = np.maximum(1, total_words - size)[doc]
-            best = np.log(np.maximum(counts[1], 0.5) / words_left)
-            steps = np.zeros(len(h))
-            for n in range(2, ORDER + 1):
-                there = counts[n] >= 0
-                hit = np.flatnonzero(counts[n] > 0)
-                context = counts[n - 1, hit - 1]
-                steps[there] += 1
-                best[hit] = np.log(counts[n, hit] / context)
-                steps[hit] = 0
-            log = best + steps * np.log(BACKOFF)
-        score = np.add.reduceat(np.append(log, 0.0), rows[:-1]) if m else np.zeros(0)
-        score = np.where(size > 0, score, 0.0)
-        return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(size.astype(np.int64)), "log_score": pa.array(score), "mean_log_score": pa.array(score / np.maximum(size, 1))})
-
-    return run
-
-
-def stupid_backoff(spark: SparkSession, blocks: DataFrame) -> DataFrame:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, h, total) as sorted lists, one for each block among the rows at hand."""
+
+    def out(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        block, h, total = (np.concatenate(x) for x in zip(*rows, strict=True))
+        h = h.view(np.uint64)
+        order = np.lexsort((h, block))
+        block, h, total = block[order], h[order], total[order]
+        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        lists = [(np.diff(h[a:b], prepend=np.uint64(0)).astype("<u8").tobytes(), total[a:b].astype("<i8").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        cols = [pa.array(block[cuts[:-1]]), *(pa.array(x, pa.binary()) for x in zip(*lists, strict=True))]
+        return pa.RecordBatch.from_arrays(cols, ["block", "gaps", "totals"])
+
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(tuple(b.column(c).to_numpy() for c in ("block", "h", "total")))
+            n += b.num_rows
+        if n >= AT_ONCE:
+            yield out(held)
+            held, n = [], 0
+    if held:
+        yield out(held)
+
+
+def _scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """doc_id, n_words, score, singles: the sum of the logarithms but for the corpus size, which singles words still lack."""
+    text = docs.column("text").combine_chunks()
+    h, rows = _texts(text)
+    m = len(rows) - 1
+    size = np.diff(rows)
+    log, single = np.zeros(len(h)), np.zeros(len(h), np.int64)
+    if len(h):
+        grams = [_grams(h, rows, n) for n in range(1, ORDER + 1)]
+        keys, place, corpus = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True, return_counts=True)
+        for gaps, totals in zip(answers.column("gaps"), answers.column("totals"), strict=True):
+            at = np.searchsorted(keys, np.cumsum(np.frombuffer(gaps.as_py(), "<u8"), dtype=np.uint64))
+            corpus[at] = np.frombuffer(totals.as_py(), "<i8")
+        doc = np.repeat(np.arange(m), size)
+        last = np.concatenate([p for _, p in grams])
+        _, which, own = np.unique(doc[last] * len(keys) + place, return_inverse=True, return_counts=True)
+        other = corpus[place] - own[which]
+        cut = np.cumsum([0, *(len(g) for g, _ in grams)])
+        # counts[n][i]: of the n-gram that ends at word i, in the other documents; -1 where there is none
+        counts = np.full((ORDER + 1, len(h)), -1, np.int64)
+        for n in range(1, ORDER + 1):
+            counts[n, grams[n - 1][1]] = other[cut[n - 1] : cut[n]]
+        best = np.log(np.maximum(counts[1], 0.5))
+        single[:] = 1
+        steps = np.zeros(len(h))
+        for n in range(2, ORDER + 1):
+            there = counts[n] >= 0
+            hit = np.flatnonzero(counts[n] > 0)
+            steps[there] += 1
+            best[hit] = np.log(counts[n, hit] / counts[n - 1, hit - 1])
+            steps[hit] = single[hit] = 0
+        log = best + steps * np.log(BACKOFF)
+    add = lambda x: np.where(size > 0, np.add.reduceat(np.append(x, 0), rows[:-1]), 0) if m else x[:0]
+    return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(size.astype(np.int64)), "score": pa.array(add(log).astype(np.float64)), "singles": pa.array(add(single).astype(np.int64))})
+
+
+@contextlib.contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query go at its end, not when the driver's garbage collector comes by."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+def count_table(rows: DataFrame) -> DataFrame:
+    """(h, total) of rows (h, n), in their partitioning by h."""
+    return rows.groupBy("h").agg(F.sum("n").alias("total"))
+
+
+def stupid_backoff(spark: SparkSession, blocks: DataFrame, passes: int = PASSES) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of each row of blocks (block, doc_id, text).
 
     The block of a row must be the same whenever the DataFrame is computed, and
     blocks must be of bounded size; file_blocks() gives such blocks.
     """
     scratch = Scratch(spark, "backoff")
-    size = blocks.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    shard_bits = max(3, int(np.ceil(np.log2(max(1, 0.3 * size / ENTRIES_PER_SHARD)))))
-    lists = blocks.select("block", "text").mapInArrow(_lists(shard_bits), "shard int, block long, words long, low binary, high binary, n binary")
-    answers = scratch.save(lists.groupBy("shard").applyInArrow(_answer, "shard int, block long, words long, n binary"), "answers")
-    total = answers.agg(F.sum("words").alias("n")).first()["n"] or 0
-    schema = "doc_id long, n_words long, log_score double, mean_log_score double"
-    return blocks.groupBy("block").cogroup(answers.select("block", "shard", "n").groupBy("block")).applyInArrow(_score(total), schema)
+    answers = scored = None
+    with _shuffles_cleaned(spark):
+        for part in range(passes):
+            grams = blocks.select("block", "text").mapInArrow(_exploded(part, passes), "h long, block long, n long").repartition("h")
+            both = grams.join(count_table(grams).hint("merge"), "h").where("total > n")
+            own = scratch.save(both.select("block", "h", "total").mapInArrow(_packed, "block long, gaps binary, totals binary"), "answers")
+            answers = own if answers is None else answers.union(own)
+        schema = "doc_id long, n_words long, score double, singles long"
+        for part in range(passes):
+            here = F.pmod(F.col("block"), F.lit(passes)) == part
+            own = blocks.where(here).groupBy("block").cogroup(answers.where(here).groupBy("block")).applyInArrow(_scores, schema)
+            own = scratch.save(own, "scores")
+            scored = own if scored is None else scored.union(own)
+    total = scored.agg(F.sum("n_words").alias("n")).first()["n"] or 0
+    score = F.col("score") - F.col("singles") * F.log(F.greatest(F.lit(1).cast("long"), F.lit(total).cast("long") - F.col("n_words")))
+    out = scored.select("doc_id", "n_words", score.alias("log_score"))
+    return out.withColumn("mean_log_score", F.col("log_score") / F.greatest("n_words", F.lit(1)))
