@@ -545,18 +545,35 @@ def test_language_posteriors_against_a_plain_version(spark):
 
 
 def test_backoff_counts_have_64_bits(spark):
+    rng = np.random.default_rng(1)
+    h = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    n = np.where(rng.random(len(h)) < 0.5, rng.integers(1, 300, len(h)), rng.integers(1, 1 << 40, len(h)))
+    assert (lm_score.unpack_hashes(lm_score.pack_hashes(h)) == h).all() and (lm_score.unpack_counts(lm_score.pack_counts(n), len(n)) == n).all()
+    lists = pa.table(lm_score._rows([3, 3], [1, 2], [(h, n), (h[::2], n[::2] + 2**33)], ["part", "block", "h", "n"]))
+    table = lm_score._summed(lists)
+    _, keys, totals = lm_score._listed(table)
+    want = n.copy()
+    want[::2] += n[::2] + 2**33
+    assert (keys == h).all() and (totals == want).all() and totals.max() > 2**33
+    out = lm_score._joined(lists, table)
+    assert out.column("block").to_pylist() == [1, 2]
+    which, keys, totals = lm_score._listed(out)
+    assert (keys == np.tile(h[::2], 2)).all() and (totals == np.tile(want[::2], 2)).all()
     big = 2**33 + 5
-    rows = [(h, b, n) for b, n in ((1, 2**32), (2, 2**32 + 5)) for h in (7, -7)] + [(9, 1, 3)]
-    table = {r["h"]: r["total"] for r in lm_score.count_table(spark.createDataFrame(rows, "h long, block long, n long")).collect()}
-    assert table == {7: big, -7: big, 9: 3}
     docs = pa.table({"doc_id": [1], "text": ["a b"]})
-    h, rows = lm_score._texts(docs.column("text").combine_chunks())
-    grams = np.concatenate([lm_score._grams(h, rows, n)[0] for n in (1, 2)])
-    batch = pa.RecordBatch.from_pydict({"block": np.zeros(3, np.int64), "h": grams.view(np.int64), "total": np.array([big, big, 2**32 + 2])})
-    out = lm_score._scores(docs, pa.Table.from_batches(list(lm_score._packed(iter([batch]))))).to_pylist()
+    words_, rows = lm_score._texts(docs.column("text").combine_chunks())
+    grams = np.concatenate([lm_score._grams(words_, rows, k)[0] for k in (1, 2)])
+    total = np.array([big, big, 2**32 + 2])[np.argsort(grams)]
+    out = lm_score._scores(docs, pa.table(lm_score._rows([0], [0], [(np.sort(grams), total)], ["block", "h", "n"]))).to_pylist()
     assert out[0]["singles"] == 1 and abs(out[0]["score"] - math.log(big - 1) - math.log((2**32 + 1) / (big - 1))) < 1e-9
 
 
+def test_the_count_table(spark):
+    df = spark.createDataFrame([(1, "a b a"), (1, "a b"), (2, "B a"), (2, None)], "block long, text string")
+    rows = lm_score.ngram_counts(df.repartition(3)).collect()
+    assert sorted(r["n"] for r in rows) == [1, 2, 2, 3, 4] and len({r["h"] for r in rows}) == 5
+
+
 def test_backoff_of_long_texts_and_split_blocks(spark, tmp_path):
     rng = random.Random(8)
     texts = [" ".join(rng.choices("abcdefghij", k=20)) for _ in range(50)] + ["a b c " * 60_000]

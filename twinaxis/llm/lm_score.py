@@ -1,20 +1,21 @@
 """Stupid-backoff scores of every document under counts of all the others.
 
 1. Explode: the n-grams of one to three words of each block of documents, as
-   rows (h, block, n) of 64-bit hashes, combined within the block.
-2. Count: the table (h, total), a group sum of those rows partitioned by hash.
-3. Join: the exploded rows meet the table under the same partitioning, so there
-   is one exchange for both; rows whose n-gram occurs elsewhere too go back to
-   their block, the others need no answer.
+   64-bit hashes combined within the block: (part, block, h, n), a part being a
+   range of hashes. The entries of a block and part travel as one sorted list.
+2. Count: the table (part, h, total), a sum over each part.
+3. Join: exploded n-grams and table meet by part, under one exchange of the
+   exploded side; each block gets the totals of its n-grams.
 4. Sum: each block lists its n-grams again, sets the totals beside them, takes
    each document's own counts off and adds up the scores per document.
 
-Steps 1 to 3 run once for each range of hashes and step 4 once for each part of
-the blocks, PASSES each, so no more than that share of the rows is on its way
+Steps 1 to 3 run once for each half of the hashes and step 4 once for each half
+of the blocks (PASSES), so no more than that share of the lists is on its way
 between tasks at once; shuffle files go when their pass is written.
 
-A common n-gram is one row a block, so no key is hot, and the answers of a
-task travel as sorted lists, one for each block. Counts are 64-bit numbers.
+A common n-gram is one entry a block, so no key is hot; a part holds about
+ENTRIES_PER_PART entries, whatever the input. There are at most as many lists as
+entries. Counts are 64-bit numbers.
 
 A word's score after the two before it is c(abc) / c(ab) if c(abc) > 0, else
 0.4 * c(bc) / c(b) if c(bc) > 0, else 0.4**2 * c(c) / N; a word found nowhere
@@ -29,6 +30,7 @@ gives no rows.
 from __future__ import annotations
 
 import contextlib
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +43,8 @@ from .textops import gram_hashes, text_chunks, words
 
 ORDER, BACKOFF = 3, 0.4
 BLOCK_ROWS = 1024
-PASSES = 4
-#: Answers that a task sorts and packs together.
-AT_ONCE = 1 << 20
+PASSES = 2
+ENTRIES_PER_PART = 2_000_000
 
 
 def file_blocks(files: DataFrame) -> DataFrame:
@@ -75,18 +76,52 @@ def _grams(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return gram_hashes(h, n)[start], start + n - 1
 
 
-def _exploded(part: int, passes: int):
-    """Rows (h, block, n) of the n-grams whose hash lies in a part of all hashes; a block's rows may come in several runs."""
-    width = (1 << 64) // passes
-    low, high = np.uint64(part * width), np.uint64((1 << 64) - 1 if part == passes - 1 else (part + 1) * width - 1)
+def pack_hashes(h: np.ndarray) -> bytes:
+    """Sorted 64-bit hashes as gaps: all low halves, then the middle quarters, then the mostly empty upper ones."""
+    gap = np.diff(h, prepend=np.uint64(0))
+    return gap.astype("<u4").tobytes() + (gap >> np.uint64(32)).astype("<u2").tobytes() + (gap >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def unpack_hashes(raw: bytes) -> np.ndarray:
+    n = len(raw) // 8
+    low, mid, high = np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u2", n, 4 * n), np.frombuffer(raw, "<u2", n, 6 * n)
+    return np.cumsum(low.astype(np.uint64) + (mid.astype(np.uint64) << np.uint64(32)) + (high.astype(np.uint64) << np.uint64(48)), dtype=np.uint64)
+
+
+def pack_counts(n: np.ndarray) -> bytes:
+    """64-bit counts, one byte each; those of 255 and more follow in full."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
+
+
+def unpack_counts(raw: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<i8", offset=size)
+    return out
+
+
+LISTS = "part long, block long, h binary, n binary"
+
+
+def _rows(parts, blocks, lists: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> dict[str, pa.Array]:
+    made = [pa.array(parts, pa.int64()), pa.array(blocks, pa.int64()), pa.array([pack_hashes(h) for h, _ in lists], pa.binary()), pa.array([pack_counts(n) for _, n in lists], pa.binary())]
+    return {k: v for k, v in zip(("part", "block", "h", "n"), made, strict=True) if k in names}
+
+
+def _exploded(bits: int, low: int, high: int):
+    """Lists of the n-grams of each block whose part, the first bits of the hash, is in range(low, high); a block's may come in several runs."""
+    shift = np.uint64(64 - bits)
 
     def emit(block: int, cols: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         h, rows = _texts(pa.concat_arrays(cols))
         keys = np.concatenate([_grams(h, rows, n)[0] for n in range(1, ORDER + 1)])
-        keys, counts = np.unique(keys[(keys >= low) & (keys <= high)], return_counts=True)
-        for at in range(0, len(keys), 1 << 16):
-            k, n = keys[at : at + (1 << 16)], counts[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), block)), pa.array(n)], ["h", "block", "n"])
+        part = keys >> shift
+        keys, counts = np.unique(keys[(part >= low) & (part < high)], return_counts=True)
+        part = (keys >> shift).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(keys) else []
+        for at in range(0, len(cuts) - 1, 256):
+            ends = cuts[at : at + 257]
+            lists = [(keys[a:b], counts[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict(_rows(part[ends[:-1]], np.full(len(lists), block), lists, ["part", "block", "h", "n"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -105,29 +140,38 @@ def _exploded(part: int, passes: int):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, h, total) as sorted lists, one for each block among the rows at hand."""
-
-    def out(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        block, h, total = (np.concatenate(x) for x in zip(*rows, strict=True))
-        h = h.view(np.uint64)
-        order = np.lexsort((h, block))
-        block, h, total = block[order], h[order], total[order]
-        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
-        lists = [(np.diff(h[a:b], prepend=np.uint64(0)).astype("<u8").tobytes(), total[a:b].astype("<i8").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        cols = [pa.array(block[cuts[:-1]]), *(pa.array(x, pa.binary()) for x in zip(*lists, strict=True))]
-        return pa.RecordBatch.from_arrays(cols, ["block", "gaps", "totals"])
-
-    held, n = [], 0
-    for b in batches:
-        if b.num_rows:
-            held.append(tuple(b.column(c).to_numpy() for c in ("block", "h", "total")))
-            n += b.num_rows
-        if n >= AT_ONCE:
-            yield out(held)
-            held, n = [], 0
-    if held:
-        yield out(held)
+def _listed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, h, n) of all entries of lists."""
+    hs = [unpack_hashes(x.as_py()) for x in table.column("h")]
+    ns = [unpack_counts(x.as_py(), len(h)) for x, h in zip(table.column("n"), hs, strict=True)]
+    return np.repeat(np.arange(len(hs)), [len(h) for h in hs]), np.concatenate(hs), np.concatenate(ns)
+
+
+def _summed(lists: pa.Table) -> pa.Table:
+    """The count table of one part."""
+    _, h, n = _listed(lists)
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return pa.table(_rows([lists.column("part")[0].as_py()], [0], [(h[first], np.add.reduceat(n, first))], ["part", "h", "n"]))
+
+
+def _joined(lists: pa.Table, counts: pa.Table) -> pa.Table:
+    """The totals of each block's n-grams of one part, a sorted list a block; those that occur nowhere else are left out."""
+    _, key, total = _listed(counts)
+    which, h, n = _listed(lists)
+    total = total[np.searchsorted(key, h)]
+    elsewhere = total > n
+    block = lists.column("block").to_numpy()[which[elsewhere]]
+    h, total = h[elsewhere], total[elsewhere]
+    order = np.argsort(block, kind="stable")  # a block's list is sorted; of several runs each is
+    block, h, total = block[order], h[order], total[order]
+    cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else []
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        keys, first = np.unique(h[a:b], return_index=True)
+        out.append((keys, total[a:b][first]))
+    return pa.table(_rows([lists.column("part")[0].as_py()] * len(out), block[cuts[:-1]] if out else [], out, ["block", "h", "n"]))
 
 
 def _scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -140,9 +184,9 @@ def _scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
     if len(h):
         grams = [_grams(h, rows, n) for n in range(1, ORDER + 1)]
         keys, place, corpus = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True, return_counts=True)
-        for gaps, totals in zip(answers.column("gaps"), answers.column("totals"), strict=True):
-            at = np.searchsorted(keys, np.cumsum(np.frombuffer(gaps.as_py(), "<u8"), dtype=np.uint64))
-            corpus[at] = np.frombuffer(totals.as_py(), "<i8")
+        if answers.num_rows:
+            _, at, total = _listed(answers)
+            corpus[np.searchsorted(keys, at)] = total
         doc = np.repeat(np.arange(m), size)
         last = np.concatenate([p for _, p in grams])
         _, which, own = np.unique(doc[last] * len(keys) + place, return_inverse=True, return_counts=True)
@@ -178,9 +222,33 @@ def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if old is None else spark.conf.set(name, old)
 
 
-def count_table(rows: DataFrame) -> DataFrame:
-    """(h, total) of rows (h, n), in their partitioning by h."""
-    return rows.groupBy("h").agg(F.sum("n").alias("total"))
+def _parts(blocks: DataFrame) -> int:
+    """Leading bits of a hash that part the n-grams; there are at most 0.3 entries a byte of text."""
+    size = blocks.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return max(3, int(np.ceil(np.log2(max(1, 0.3 * size / ENTRIES_PER_PART)))))
+
+
+def exploded(blocks: DataFrame, bits: int, low: int, high: int) -> DataFrame:
+    """(part, block, h, n): exploded n-grams, partitioned by hash."""
+    return blocks.select("block", "text").mapInArrow(_exploded(bits, low, high), LISTS).repartition("part")
+
+
+def count_table(grams: DataFrame) -> DataFrame:
+    """(part, h, n): the totals of exploded n-grams, one sorted list a part."""
+    return grams.groupBy("part").applyInArrow(_summed, "part long, h binary, n binary")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            _, h, n = _listed(pa.Table.from_batches([b.slice(i, 1)]))
+            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": n})
+
+
+def ngram_counts(blocks: DataFrame) -> DataFrame:
+    """(h, n): the whole count table of blocks (block, text), one row an n-gram."""
+    bits = _parts(blocks)
+    return count_table(exploded(blocks, bits, 0, 1 << bits)).select("h", "n").mapInArrow(_unpacked, "h long, n long")
 
 
 def stupid_backoff(spark: SparkSession, blocks: DataFrame, passes: int = PASSES) -> DataFrame:
@@ -190,19 +258,21 @@ def stupid_backoff(spark: SparkSession, blocks: DataFrame, passes: int = PASSES)
     blocks must be of bounded size; file_blocks() gives such blocks.
     """
     scratch = Scratch(spark, "backoff")
-    answers = scored = None
+    bits = _parts(blocks)
+    answers, scores = None, []
     with _shuffles_cleaned(spark):
-        for part in range(passes):
-            grams = blocks.select("block", "text").mapInArrow(_exploded(part, passes), "h long, block long, n long").repartition("h")
-            both = grams.join(count_table(grams).hint("merge"), "h").where("total > n")
-            own = scratch.save(both.select("block", "h", "total").mapInArrow(_packed, "block long, gaps binary, totals binary"), "answers")
+        for i in range(passes):
+            grams = exploded(blocks, bits, (i << bits) // passes, ((i + 1) << bits) // passes)
+            both = grams.groupBy("part").cogroup(count_table(grams).groupBy("part"))
+            own = scratch.save(both.applyInArrow(_joined, "block long, h binary, n binary"), "answers")
             answers = own if answers is None else answers.union(own)
         schema = "doc_id long, n_words long, score double, singles long"
-        for part in range(passes):
-            here = F.pmod(F.col("block"), F.lit(passes)) == part
+        for i in range(passes):
+            here = F.pmod(F.col("block"), F.lit(passes)) == i
             own = blocks.where(here).groupBy("block").cogroup(answers.where(here).groupBy("block")).applyInArrow(_scores, schema)
-            own = scratch.save(own, "scores")
-            scored = own if scored is None else scored.union(own)
+            scores.append(scratch.save(own, "scores"))
+    scored = functools.reduce(DataFrame.union, scores)
+    scratch.keep_only(*scores)
     total = scored.agg(F.sum("n_words").alias("n")).first()["n"] or 0
     score = F.col("score") - F.col("singles") * F.log(F.greatest(F.lit(1).cast("long"), F.lit(total).cast("long") - F.col("n_words")))
     out = scored.select("doc_id", "n_words", score.alias("log_score"))
