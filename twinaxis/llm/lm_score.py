@@ -9,7 +9,7 @@
 4. Sum: each block lists its n-grams again, sets the totals beside them, takes
    each document's own counts off and adds up the scores per document.
 
-Steps 1 to 3 run once for each half of the hashes and step 4 once for each half
+Steps 1 to 3 run once for each third of the hashes and step 4 once for each third
 of the blocks (PASSES), so no more than that share of the lists is on its way
 between tasks at once; shuffle files go when their pass is written.
 
@@ -43,7 +43,7 @@ from .textops import gram_hashes, text_chunks, words
 
 ORDER, BACKOFF = 3, 0.4
 BLOCK_ROWS = 1024
-PASSES = 2
+PASSES = 3
 ENTRIES_PER_PART = 2_000_000
 
 
