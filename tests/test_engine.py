@@ -68,14 +68,14 @@ def test_equal_ids_keep_the_first(spark):
 
 @pytest.mark.parametrize(
     ("value", "op", "literal", "numeric", "want"),
-    [("5", "=", "5.0", True, 1), ("5", "!=", "5", True, 0), ("10", "<", "9", True, 0), ("10", "<", "9", False, 1), ("7", ">=", "7", True, 1), ("7", "<=", "6", True, 0), ("Z", "<", "a", False, 1), ("NaN", "=", "3", True, 1), ("1e3", ">", "999", True, 1)],
+    [("5", "=", "5.0", True, 1), ("5", "!=", "5", True, 0), ("10", "<", "9", True, 0), ("10", "<", "9", False, 1), ("7", ">=", "7", True, 1), ("7", "<=", "6", True, 0), ("Z", "<", "a", False, 1), ("NaN", "=", "3", True, 1), ("1e3", ">", "999", True, 1), ("0x1p4", "=", "16", True, 1), ("-0X1.8p1", "=", "-3", True, 1), ("0x.8p-1", "=", "0.25", True, 1), ("16", "=", "0x1p4", True, 1), ("0x1p-1074", ">", "0", True, 1), ("inf", ">", "1e308", True, 1)],
 )
 def test_comparisons(spark, value, op, literal, numeric, want):
     d = frame(spark, fact("p", "v", value))
     assert read.read_entities(d, Snapshot(1), (), Predicate("v", op, literal, numeric)).count() == want
 
 
-@pytest.mark.parametrize("value", ["blue marble", " 5 ", "1d", "", "1_000"])
+@pytest.mark.parametrize("value", ["blue marble", " 5 ", "1d", "", "1_000", "1e999", "-1e999", "0x1", "0x1p9999"])
 def test_a_value_that_is_no_number_refuses(spark, value):
     d = frame(spark, fact("p", "v", value))
     with pytest.raises(PySparkException, match="cannot be compared"):
@@ -141,6 +141,13 @@ def test_store_compaction_changes_no_answer(spark, tmp_path):
     before = held(carried.carried(store.datoms(), Snapshot(5)))
     assert store.raw().count() == 70 and store.datoms().count() == 60
     assert store.compact() and not store.compact()
+    store.least_bytes, store.ratio = 100, 1.05
+    store.append([rows[0]])
+    store.seal()
+    large = store.segments()
+    assert len(large) == 2 and len(store.tiers()) == 2 and not store.compact()  # a small segment leaves the large one alone
+    store.least_bytes, store.ratio = 1 << 20, 4
+    assert store.compact() and store.raw().count() == 60
     assert held(carried.carried(store.datoms(), Snapshot(5))) == before and store.datoms().count() == 60
     assert [r["tx"]["wall"] for r in store.history("e1").collect()] == [i + 1 for i in range(60) if i % 5 == 1]
     assert store.last().wall == 60
@@ -194,3 +201,149 @@ def test_shape_legs(spark):
     s = Session(spark, now=lambda: 1)
     with pytest.raises(e.Unsupported, match="similarity"):
         s.run("MATCH SHAPE LIKE a SIMILARITY cosine >= 0.5")
+
+
+def test_literals_out_of_range_are_refused(spark):
+    d = frame(spark, fact("p", "v", "5"))
+    for literal in ("1e999", "0x1p99999", "five"):
+        with pytest.raises(e.NotComparable):
+            read.read_entities(d, Snapshot(1), (), Predicate("v", ">", literal, True))
+
+
+def of(tenant, row):
+    return (tenant, *row[1:])
+
+
+def test_tenants_see_nothing_of_each_other(spark, tmp_path):
+    from twinaxis.operators import access
+
+    path = f"file://{tmp_path}/shared"
+    one, two = (Session(spark, path, now=iter(range(1000 * t, 1000 * t + 900)).__next__, tenant=t) for t in (1, 2))
+    for s, v in ((one, "alpha"), (two, "beta")):
+        s.run(f"ASSERT x secret = {v} VALID FROM 0")
+        s.run(f"ASSERT x knows = ->{v} VALID FROM 0")
+        s.run(f"ASSERT {v} knows = ->end{v} VALID FROM 0")
+        s.close()
+    values = lambda s, text: sorted(r["value"] for r in s.run(text).collect())
+    assert values(one, "READ secret FROM x AS OF 5") == ["alpha"] and values(two, "READ secret FROM x AS OF 5") == ["beta"]
+    assert [r["entity"] for r in two.run("TRAVERSE x DEPTH 2 AS OF 5").collect()] == ["beta", "endbeta"]
+    assert one.run("SEARCH 'beta' IN secret LIMIT 5 AS OF 5").count() == 0 and two.run("SEARCH 'beta' IN secret LIMIT 5 AS OF 5").count() == 1
+    assert sorted(r["entity"] for r in one.run("READ * FROM [alpha] AS OF 5").collect()) == ["x", "x"]
+    grants = spark.createDataFrame([(0, access.grant_entity(1, "read"), "ann", "yes", False, 0, FOREVER, True, TxId(1, seq=1).row(), 0)], DATOMS)
+    assert [r["value"] for r in one.authorized(grants, "ann", "READ secret FROM x AS OF 5", 100).collect()] == ["alpha"]
+    with pytest.raises(e.NotGranted):
+        two.authorized(grants, "ann", "READ secret FROM x AS OF 5", 100)
+    both = frame(spark, of(1, fact("a", "v", "1", 5)), of(2, fact("a", "v", "2", 9)), of(2, fact("a", "w", "3")))
+    assert {(r["tenant"], r["value"]) for r in carried.carried(both, Snapshot(1)).collect()} == {(1, "1"), (2, "2"), (2, "3")}
+    assert read.read_entities(both, Snapshot(1), without=("w",)).count() == 1 and read.read_entities(both, Snapshot(1), (), Predicate("v", "=", "2", True)).count() == 2
+
+
+def test_an_unbound_instant_is_refused(spark):
+    with pytest.raises(e.UnboundInstant):
+        visible(frame(spark, fact("a", "v", "1")), Snapshot(None))
+
+
+def test_store_load(spark, tmp_path):
+    store = LeafStore(spark, f"file://{tmp_path}/s")
+    store.append([fact("a", "v", "1", wall=5), fact("a", "v", "2", wall=9), fact("b", "v", "3")])
+    assert held(store.load("a", Snapshot(1, TxId(6)))) == [("a", "v", "1")] and store.load("a", Snapshot(1)).count() == 2
+    with pytest.raises(e.NoSnapshot):
+        store.load("a", Snapshot(1, TxId(0)))
+
+
+def test_policy_seals_and_compacts(spark, tmp_path):
+    s = Session(spark, f"file://{tmp_path}/p", now=iter(range(1, 500)).__next__, policy=Policy(max_bytes=1, max_segments=3))
+    for i in range(7):
+        s.run(f"ASSERT e{i} v = {i} VALID FROM 0")
+    assert not s.store.tail and 1 <= len(s.store.segments()) < 3 and s.datoms().count() == 7
+
+
+def test_walks_of_any_depth_scan_each_level_once(spark):
+    links = spark.createDataFrame([(f"n{i}", "next", f"n{i + 1}") for i in range(12)], "src string, attribute string, dst string")
+    roots = spark.createDataFrame([("n0",), ("n3",)], "entity string")
+    for depth in (1, 3, 6):
+        out = traverse.walk(spark, links, roots, depth, strict=False)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") <= depth and out.count() == 2 * depth
+
+
+def test_index_answers_like_the_texts(spark, tmp_path):
+    from twinaxis.sources.postings import SearchIndex
+
+    rng = random.Random(4)
+    words = "red dwarf star giant blue".split()
+    rows = []
+    for i in range(120):
+        rows.append(fact(f"p{i % 30}", rng.choice("tu"), " ".join(rng.choices(words, k=rng.randrange(0, 6))), wall=i + 1, start=rng.choice([0, 0, 50]), end=rng.choice([FOREVER, 80]), keep=rng.random() < 0.8, ref=rng.random() < 0.1, seq=i + 1, order=i))
+    d = frame(spark, *rows)
+    index = SearchIndex.build(spark, d, f"file://{tmp_path}/i")
+    plan = index.postings.where("term in ('red')")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(term,red)" in plan
+    erased = spark.createDataFrame([("p3",), ("p4",)], "subject string")
+    for at in (None, Snapshot(10), Snapshot(60, TxId(90)), Snapshot(90)):
+        for gone in (None, erased):
+            a, b = ([(r["subject"], round(r["score"], 9)) for r in search.search(d, "Red, dwarf moon", 20, ("t",), at, gone, x).collect()] for x in (None, index))
+            assert a == b and (at is None or a)
+    assert search.match(index.postings, "star", 3).count() == 3
+    assert {f.name for f in search.postings(d).schema} >= {"tx_from", "tx_until"} and search.postings(d).where("tx_until is not null").isEmpty()
+
+
+def test_facets_of_a_statement_and_shredded_subjects(spark):
+    from twinaxis.erase import Keystore
+
+    keys = Keystore(spark)
+    s = Session(spark, now=iter(range(100, 900)).__next__, keys=keys)
+    for name, kind, text in (("a", "rock", "red star"), ("b", "gas", "red giant"), ("c", "rock", "red red"), ("d", None, "red")):
+        keys.allocate(name)
+        s.run(f"ASSERT {name} note = '{text}' VALID FROM 0")
+        if kind:
+            s.run(f"ASSERT {name} class = {kind} VALID FROM 0")
+    out = s.run("SEARCH 'red' IN note FACET BY class LIMIT 10")
+    assert [r["subject"] for r in out.collect()] == ["c", "a", "b", "d"] and out.facets["class"].total == 4
+    assert [tuple(r) for r in out.facets["class"].values.collect()] == [("rock", 2), ("gas", 1)]
+    keys.shred("c")
+    out = s.run("SEARCH 'red' IN note FACET BY class LIMIT 10")
+    assert [r["subject"] for r in out.collect()] == ["a", "b", "d"] and out.facets["class"].total == 3
+    assert [tuple(r) for r in s.facets("SEARCH 'red' IN note FACET BY class LIMIT 10")["class"].collect()] == [("gas", 1), ("rock", 1)]
+    assert s.run("READ * FROM c").count() == 2  # facts of shredded subjects stay readable
+
+
+def test_command(spark, tmp_path, capsys):
+    from twinaxis.__main__ import main
+
+    file = tmp_path / "s.tw"
+    file.write_text("-- a comment\nASSERT p note = 'red star' VALID FROM 100\nASSERT p class = rock VALID FROM 100\nSELECT 1\n")
+    assert main(["--file", str(file), "--clock", "1000", "--dir", f"file://{tmp_path}/leaf"], spark) == 0
+    assert main(["SEARCH 'red' IN note FACET BY class LIMIT 3 AS OF 150", "--clock", "2000", "--dir", f"file://{tmp_path}/leaf"], spark) == 0
+    out = capsys.readouterr().out
+    assert "refused: ql: at byte 0" in out and "subject=p" in out and "class: 1 matched" in out and "rock: 1" in out
+    assert main(["READ * FROM p AS OF 150", "--dir", f"file://{tmp_path}/leaf", "--tenant", "8"], spark) == 0
+    assert "0 rows" in capsys.readouterr().out
+
+
+def test_redelivery_changes_nothing(spark, tmp_path):
+    from twinaxis.streaming.feed import PostingsIndex, deliver, published, tail
+
+    log, base = f"file://{tmp_path}/log", f"file://{tmp_path}"
+    rows = [fact(f"e{i}", "t", f"word{i} again", wall=i + 1, seq=1, order=i) for i in range(30)]
+    index = PostingsIndex(spark, f"{base}/postings")
+    index.consume(frame(spark, *rows[:10]), 0)
+    index.consume(frame(spark, *rows[:10]), 0)  # the crash came before the cursor moved
+    index.consume(frame(spark, *rows[8:20]), 1)  # some entries come again in another batch
+    assert index.datoms().count() == 20 and index.cursor().wall == 20 and index.postings().count() == 40
+    index.consume(frame(spark, *rows[20:], *rows[:3]), 2)
+    assert index.datoms().count() == 30 and index.marks()[2] == (1, 30)
+    index.consume(frame(spark, *rows).limit(0), 3)
+    assert index.datoms().count() == 30
+    frame(spark, *rows).coalesce(1).write.parquet(log)
+    again = PostingsIndex(spark, f"{base}/again")
+
+    def crash(batch, number):
+        again.consume(batch, number)
+        raise RuntimeError("after the sink, before the cursor")
+
+    with pytest.raises(Exception, match="before the cursor"):
+        deliver(tail(spark, log), crash, f"{base}/cursor")
+    deliver(tail(spark, log), again.consume, f"{base}/cursor")
+    assert again.datoms().count() == 30
+    assert published(frame(spark, *rows), TxId(5)).count() == 4

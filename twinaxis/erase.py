@@ -136,7 +136,11 @@ class Purge:
         return datoms.where(F.col("valid_to") <= horizon)
 
 
+def erased_subjects(keys: DataFrame) -> DataFrame:
+    """(subject) with a destroyed key and no live one."""
+    return keys.groupBy("subject").agg(F.min("destroyed").alias("gone")).where("gone").select("subject")
+
+
 def hide_erased(datoms: DataFrame, keys: DataFrame) -> DataFrame:
-    """Datoms without those of subjects that have a destroyed key and no live one."""
-    gone = keys.groupBy("subject").agg(F.min("destroyed").alias("gone")).where("gone").select(F.col("subject").alias("entity"))
-    return datoms.join(gone, "entity", "left_anti")
+    """Datoms without those of erased subjects."""
+    return datoms.join(erased_subjects(keys).withColumnRenamed("subject", "entity"), "entity", "left_anti")

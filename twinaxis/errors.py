@@ -83,3 +83,9 @@ class UnknownSubject(Refused): ...
 
 
 class KeyDestroyed(Refused): ...
+
+
+class UndeclaredLevel(Refused): ...
+
+
+class TooFewDomains(Refused): ...

@@ -9,14 +9,19 @@ from .temporal import Snapshot, visible
 
 
 def latest(datoms: DataFrame) -> DataFrame:
-    """The last recorded datom of each entity and attribute, retractions included.
+    """The last recorded datom of each tenant, entity and attribute, retractions included.
 
     The rank filter becomes a group limit, which cuts rows before the exchange.
     """
-    w = Window.partitionBy("entity", "attribute").orderBy(F.col("tx").desc(), F.col("ord"))
+    w = Window.partitionBy("tenant", "entity", "attribute").orderBy(F.col("tx").desc(), F.col("ord"))
     return datoms.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
 
 
+def tenant_rows(datoms: DataFrame, tenant: int) -> DataFrame:
+    """The datoms of one tenant; all a statement of that tenant may see."""
+    return datoms.where(F.col("tenant") == tenant)
+
+
 def carried(datoms: DataFrame, at: Snapshot) -> DataFrame:
     """Visible, then latest, then without retractions; in no other order."""
     return latest(visible(datoms, at)).where(F.col("assert"))
@@ -45,4 +50,4 @@ def entities(datoms: DataFrame) -> DataFrame:
 
 def referrers(datoms: DataFrame, target: str, at: Snapshot) -> DataFrame:
     """Candidates: entities with a visible reference datom to target, withdrawn or not."""
-    return visible(datoms, at).where(F.col("is_reference") & (F.col("value") == target)).select("entity").distinct()
+    return visible(datoms, at).where(F.col("is_reference") & (F.col("value") == target)).select("tenant", "entity").distinct()

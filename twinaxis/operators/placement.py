@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..model import TxId
+
 MAX_HOPS = 8
 
 
@@ -38,8 +41,58 @@ def spread(ranked: DataFrame, domains: DataFrame, copies: int) -> DataFrame:
     return x.withColumn("place", F.row_number().over(order)).where(F.col("place") <= copies)
 
 
+def nearest(places: DataFrame, nodes: DataFrame, origin: str) -> DataFrame:
+    """places (depth, prefix, name, place) with near: the order in which a reader at origin asks.
+
+    By distance in the topology (nodes), place deciding ties; a place that the
+    topology lacks, and all of them for an unknown origin, come last but stay.
+    """
+    names = places.select(F.col("name").alias("b")).distinct()
+    far = distances(nodes, names.select(F.lit(origin).alias("a"), "b")).select(F.col("b").alias("name"), "distance")
+    levels = nodes.agg(F.max("levels").alias("n")).first()["n"] or 0
+    x = places.join(far, "name", "left").withColumn("distance", F.coalesce("distance", F.lit(levels + 1)))
+    w = Window.partitionBy("depth", "prefix").orderBy("distance", "place")
+    return x.withColumn("near", F.row_number().over(w))
+
+
+FIELDS = {"version", "generation", "depth", "levels", "root"}
+NODE_FIELDS = {"name", "level", "weight", "children"}
+
+
+#: Bytes of a transaction id in a topology file: wall clock, logical clock, leaf prefix, its depth, sequence.
+GENERATION = struct.Struct(">QI32sBI")
+
+
+def generation_of(topology: dict) -> TxId | None:
+    """The transaction id that tells one edition of a topology from another; read, never made up."""
+    text = topology.get("generation", "")
+    if not text:
+        return None
+    try:
+        wall, logical, prefix, depth, seq = GENERATION.unpack(bytes.fromhex(text))
+    except (ValueError, struct.error) as e:
+        raise ValueError(f"generation {text!r} is no encoded transaction id") from e
+    if depth > len(prefix):
+        raise ValueError(f"generation {text!r} has a leaf depth over {len(prefix)}")
+    out = TxId(wall, logical, prefix[:depth], depth, seq)
+    if out == TxId(0):
+        raise ValueError("the zero id stands for no generation and cannot be written")
+    return out
+
+
+def require_generation(topology: dict) -> TxId:
+    """The generation; placement by a topology without one is refused."""
+    out = generation_of(topology)
+    if out is None:
+        raise ValueError("a topology without a generation cannot place anything")
+    return out
+
+
 def nested_set(topology: dict) -> Iterator[tuple[str, str, int, int, int, int, int]]:
     """(name, level, level_index, lft, rgt, weight, depth) of a topology tree read from JSON."""
+    if more := set(topology) - FIELDS:
+        raise ValueError(f"unknown fields {sorted(more)}")
+    generation_of(topology)
     levels = topology["levels"]
     if topology.get("version", 1) != 1:
         raise ValueError(f"version {topology['version']} is not known")
@@ -51,6 +104,8 @@ def nested_set(topology: dict) -> Iterator[tuple[str, str, int, int, int, int, i
 
     def visit(node: dict, above: int) -> int:
         nonlocal count
+        if more := set(node) - NODE_FIELDS:
+            raise ValueError(f"unknown fields {sorted(more)}")
         if node["level"] not in levels or levels.index(node["level"]) <= above:
             raise ValueError(f"{node['name']}: level {node['level']} does not lie below its parent's")
         if not node["name"] or node["name"] in seen:

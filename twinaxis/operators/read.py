@@ -18,9 +18,17 @@ from .temporal import Snapshot
 ROW = ["entity", "attribute", "value", "valid_from", "valid_to", "tx", "is_reference"]
 
 
+WHOLE = ["tenant", "entity"]
+
+
 def _any(condition: Column) -> Column:
     """Whether the condition holds for any carried row of the entity."""
-    return F.coalesce(F.max(condition).over(Window.partitionBy("entity")), F.lit(False))
+    return F.coalesce(F.max(condition).over(Window.partitionBy(*WHOLE)), F.lit(False))
+
+
+def _only(datoms: DataFrame, entities: DataFrame) -> DataFrame:
+    """The datoms of entities (tenant, entity)."""
+    return datoms.join(entities, WHOLE, "left_semi")
 
 
 def read_entities(
@@ -37,8 +45,20 @@ def read_entities(
     where and without judge the whole carried set, before the projection. With
     whole, an entity that lacks a projected attribute or the compared one is
     dropped altogether; else missing names are left out.
+
+    Where nothing else is asked of the carried set, the compared attribute is
+    reduced alone first, and only the entities that pass are read as a whole.
     """
-    rows = carried(datoms, at)
+    if where is not None and members_of is None and not without:
+        tested = carried(datoms.where(F.col("attribute") == where.attribute), at)
+        passed = tested.where(holds(F.col("value"), where)).select(*WHOLE)
+        rows = _only(datoms, passed)
+        if attributes and not whole:
+            rows = rows.where(F.col("attribute").isin(*attributes))
+        rows = carried(rows, at)
+        where = None
+    else:
+        rows = carried(datoms, at)
     tests = []
     if members_of is not None:
         tests.append(_any(F.col("is_reference") & (F.col("value") == members_of)))
@@ -53,7 +73,7 @@ def read_entities(
     if attributes:
         rows = rows.where(F.col("attribute").isin(*attributes))
         if whole:
-            n = F.count("*").over(Window.partitionBy("entity"))
+            n = F.count("*").over(Window.partitionBy(*WHOLE))
             rows = rows.withColumn("__n", n).where(F.col("__n") == len(set(attributes))).drop("__n")
     return rows.select(*ROW)
 
@@ -70,7 +90,7 @@ def read(datoms: DataFrame, statement: Read, at: Snapshot) -> DataFrame:
         one = datoms.where(F.col("entity") == statement.entity)
         return read_entities(one, at, statement.attributes, statement.where, statement.without).orderBy("attribute")
     # Candidates are proposed by any visible reference and confirmed by the carried one.
-    candidates = datoms.join(referrers(datoms, statement.entity, at), "entity", "left_semi")
+    candidates = _only(datoms, referrers(datoms, statement.entity, at))
     rows = read_entities(candidates, at, statement.attributes, statement.where, statement.without, statement.entity, whole=True)
     if statement.page is not None:
         rows = page_members(rows, statement.page)

@@ -3,14 +3,15 @@
 A posting is one occurrence of a term in an asserted literal. The score of a
 subject is the sum over the query's terms of n * ln(1 + total / df), n being its
 own postings of the term, df all postings of the term and total all postings.
-Postings stay inside their rows as token arrays and are counted there, so no
-row is made for each word of the corpus; one exchange carries one row for each
-matching subject.
+
+rank() counts terms in texts; rank_indexed() reads them from a stored index
+(sources/postings.py), of which only the query's terms are scanned.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ from .carried import carried, latest
 from .temporal import Snapshot, visible
 
 
+#: What an index keeps of a datom: all but its value.
+FACTS = ["tenant", "entity", "attribute", "is_reference", "valid_from", "valid_to", "assert", "tx", "ord"]
+
+
 def literals(datoms: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
     """Datoms that have postings: asserted, no references, of the attributes if any are named."""
     out = datoms.where(F.col("assert") & ~F.col("is_reference"))
@@ -56,12 +61,47 @@ def rank(rows: DataFrame, query: str, limit: int, erased: DataFrame | None = Non
     # Corpus statistics are one row of numbers; they become constants of the second pass.
     total = by_subject.agg(F.sum("n").alias("n"), *sums).first()
     df = total if erased is None else seen.agg(*sums).first()
-    weights = [math.log1p(total["n"] / df[f"n{i}"]) if df[f"n{i}"] else 0.0 for i in range(len(terms))]
-    hits = seen.where(" or ".join(f"n{i} > 0" for i in range(len(terms))))
+    return _best(seen, total["n"], [df[f"n{i}"] for i in range(len(terms))], limit)
+
+
+def _best(counts: DataFrame, total: int, df: list[int | None], limit: int) -> DataFrame:
+    """The best of counts (subject, n0, n1, ...)."""
+    weights = [math.log1p(total / n) if n else 0.0 for n in df]
+    hits = counts.where(" or ".join(f"n{i} > 0" for i in range(len(df))))
     score = sum((F.col(f"n{i}") * F.lit(w) for i, w in enumerate(weights)), F.lit(0.0))
     return hits.select("subject", score.alias("score")).orderBy(F.desc("score"), "subject").limit(limit)
 
 
+def rank_indexed(index, query: str, limit: int, erased: DataFrame | None = None, attributes: tuple[str, ...] = (), at: Snapshot | None = None) -> DataFrame:
+    """rank() through an index (postings, facts), of all history or of what is carried at a snapshot.
+
+    At a snapshot the facts of subjects with a term of the query are reduced;
+    texts are not read.
+    """
+    terms = query_terms(query)
+    if not terms:
+        raise NoQuery("the query has no terms")
+    if limit <= 0:
+        raise NoLimit("a search needs a positive limit")
+    own = ["entity", "attribute", "tx", "ord"]
+    facts, found = index.facts, index.postings.where(F.col("term").isin(*terms))
+    if attributes:
+        found = found.where(F.col("attribute").isin(*attributes))
+    if at is not None:
+        carried_ = literals(carried(facts, at), attributes)
+        total = carried_.agg(F.sum("n").alias("n")).first()["n"]
+        near = facts.join(found.select("entity").distinct(), "entity", "left_semi")
+        found = found.join(literals(carried(near, at), attributes).select(*own), own, "left_semi")
+    else:
+        total = literals(facts, attributes).agg(F.sum("n").alias("n")).first()["n"]
+    if erased is not None:
+        found = found.join(erased.select(F.col("subject").alias("entity")), "entity", "left_anti")
+    sums = [F.sum(F.when(F.col("term") == w, F.col("n"))).alias(f"n{i}") for i, w in enumerate(terms)]
+    df = found.agg(*sums).first()
+    counts = found.groupBy(F.col("entity").alias("subject")).agg(*[F.coalesce(c, F.lit(0).cast("long")).alias(f"n{i}") for i, c in enumerate(sums)])
+    return _best(counts, total or 0, list(df), limit)
+
+
 def match(index: DataFrame, query: str, limit: int) -> DataFrame:
     """Up to limit postings of an index (subject, term) with a term of the query, unranked."""
     if limit <= 0:
@@ -76,23 +116,40 @@ def confirm(hits: DataFrame, datoms: DataFrame, query: str, at: Snapshot, attrib
     return hits.join(held.where(F.arrays_overlap(analyze(F.col("value")), terms)).select(F.col("entity").alias("subject")).distinct(), "subject", "left_semi")
 
 
-def search(datoms: DataFrame, query: str, limit: int, attributes: tuple[str, ...] = (), at: Snapshot | None = None, erased: DataFrame | None = None) -> DataFrame:
+def search(datoms: DataFrame, query: str, limit: int, attributes: tuple[str, ...] = (), at: Snapshot | None = None, erased: DataFrame | None = None, index=None) -> DataFrame:
     """SEARCH. With a snapshot only visible facts of the attributes count and hits are confirmed;
-    without one the whole history of all attributes does."""
+    without one the whole history of all attributes does. An index of the datoms is used if given."""
+    if index is not None:
+        return rank_indexed(index, query, limit, erased, attributes if at is not None else (), at)
     if at is None:
         return rank(literals(datoms), query, limit, erased)
     # Only subjects that carry a term can be hits, so what is visible and carried is what is ranked.
     return rank(literals(carried(datoms, at), attributes), query, limit, erased)
 
 
+@dataclass(frozen=True)
+class Facet:
+    """Exact counts of an attribute's values over matched subjects; total counts those without a value too."""
+
+    values: DataFrame  # value, count
+    total: int
+
+
 def facet(hits: DataFrame, values: DataFrame, bound: int) -> DataFrame:
     """(value, count) over hits (subject) of values (entity, value); exact or refused."""
+    return facet_of(hits, values, bound).values
+
+
+def facet_of(hits: DataFrame, values: DataFrame, bound: int) -> Facet:
+    """The facet over hits (subject) of values (entity, value); exact or refused."""
     if bound <= 0:
         raise NoFacetBound("a facet needs a positive bound")
-    if len(hits.limit(bound + 1).select("subject").take(bound + 1)) > bound:
+    total = hits.select("subject").limit(bound + 1).count()
+    if total > bound:
         raise FacetTooWide(f"the matched set is larger than {bound}")
     own = values.select(F.col("entity").alias("subject"), "value")
-    return hits.select("subject").join(own, "subject").groupBy("value").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "value")
+    counts = hits.select("subject").join(own, "subject").groupBy("value").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "value")
+    return Facet(counts, total)
 
 
 def facet_values(datoms: DataFrame, attribute: str) -> DataFrame:
@@ -100,4 +157,4 @@ def facet_values(datoms: DataFrame, attribute: str) -> DataFrame:
     return latest(datoms.where(F.col("attribute") == attribute)).where(F.col("assert")).select("entity", "value")
 
 
-__all__ = ["confirm", "facet", "facet_values", "literals", "match", "postings", "rank", "search", "visible"]
+__all__ = ["FACTS", "Facet", "confirm", "facet", "facet_of", "facet_values", "literals", "match", "postings", "rank", "rank_indexed", "search", "visible"]

@@ -6,41 +6,79 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..clock import Clock, Minter
+from ..erase import erased_subjects
 from ..errors import CrossEntity, NoEntity, Refused
 from ..model import DATOMS, FOREVER, TxId
 from ..operators import access
+from ..operators.carried import deduplicate, tenant_rows
 from ..operators.read import read
-from ..operators.search import facet, facet_values, search
+from ..operators.search import Facet, facet_of, facet_values, search
 from ..operators.shape import match_shape
 from ..operators.temporal import resolve
 from ..operators.traverse import traverse
 from ..ql import Read, Search, ShapeQuery, Traverse, Write, parse
-from ..sources.store import LeafStore
+from ..sources.store import LeafStore, Policy
 
 
-def compile_statement(spark: SparkSession, datoms: DataFrame, statement, now: int, honour: bool = True, erased: DataFrame | None = None, metrics=None) -> DataFrame:
-    """The DataFrame of a query. Without honour, SEARCH looks at all attributes and all
-    history, whatever its IN and time clauses say."""
+def compile_statement(
+    spark: SparkSession, datoms: DataFrame, statement, now: int, honour: bool = True, erased: DataFrame | None = None, metrics=None, tenant: int = 1, index=None
+) -> DataFrame:
+    """The DataFrame of a tenant's query. Without honour, SEARCH looks at all attributes and all
+    history, whatever its IN and time clauses say. Datoms of other tenants are never seen; an
+    index (sources/postings.py) must be of this tenant's datoms."""
+    datoms = tenant_rows(datoms, tenant)
     if isinstance(statement, Read):
         return read(datoms, statement, resolve(statement.time, now))
     if isinstance(statement, Traverse):
         return traverse(spark, datoms, statement.root, statement.depth, resolve(statement.time, now))
     if isinstance(statement, Search):
         at = resolve(statement.time, now)
-        return search(datoms, statement.query, statement.limit, statement.attributes, at if honour else None, erased)
+        # All history counts each record once; what is carried is one record anyhow.
+        rows = datoms if honour or index is not None else deduplicate(datoms)
+        return search(rows, statement.query, statement.limit, statement.attributes, at if honour else None, erased, index)
     if isinstance(statement, ShapeQuery):
         return match_shape(datoms, statement, now, metrics)
     raise TypeError(f"{type(statement).__name__} is no query")
 
 
-class Session:
-    """One writer's session over a store, or over memory if path is None."""
+class SearchResult:
+    """The hits of a SEARCH, which answer like a DataFrame, and the facets it asked for."""
+
+    def __init__(self, hits: DataFrame, facets: dict[str, Facet]):
+        self.hits, self.facets = hits, facets
+
+    def __getattr__(self, name: str):
+        return getattr(self.hits, name)
+
+    def show(self, *args, **more) -> None:
+        self.hits.show(*args, **more)
+        for name, f in self.facets.items():
+            print(f"{name}: {f.total} matched")
+            f.values.show(*args, **more)
+
 
-    def __init__(self, spark: SparkSession, path: str | None = None, now: Callable[[], int] = time.time_ns, tenant: int = 1, honour: bool = True, metrics=None):
+class Session:
+    """One writer's session of one tenant over a store, or over memory if path is None.
+
+    keys (a keystore) takes subjects whose key was destroyed out of hits and
+    facets. A policy seals and compacts the store after writes.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str | None = None,
+        now: Callable[[], int] = time.time_ns,
+        tenant: int = 1,
+        honour: bool = True,
+        metrics=None,
+        keys=None,
+        policy: Policy | None = None,
+    ):
         self.spark, self.now, self.tenant, self.honour, self.metrics = spark, now, tenant, honour, metrics
+        self.keys, self.policy = keys, policy
         self.store = LeafStore(spark, path) if path else None
         self.memory: list[tuple] = []
         self.minter = Minter(Clock(now))
@@ -49,21 +87,29 @@ class Session:
             self.minter.observe(last)
 
     def datoms(self) -> DataFrame:
-        return self.store.datoms() if self.store else self.spark.createDataFrame(self.memory, DATOMS)
+        """All records of the tenant; one that came twice may be there twice, which no carried state shows."""
+        return tenant_rows(self.store.raw() if self.store else self.spark.createDataFrame(self.memory, DATOMS), self.tenant)
+
+    def erased(self) -> DataFrame | None:
+        """(subject): whose keys were all destroyed."""
+        return None if self.keys is None else erased_subjects(self.keys.table())
 
-    def run(self, text: str) -> DataFrame | None:
-        """The rows of a query, or None after a write."""
+    def run(self, text: str) -> DataFrame | SearchResult | None:
+        """The rows of a query, with the facets of a SEARCH that asks for them, or None after a write."""
         statement = parse(text)
         if isinstance(statement, Write):
             self.write([statement])
             return None
-        return compile_statement(self.spark, self.datoms(), statement, self.now(), self.honour, None, self.metrics)
+        now = self.now()
+        hits = compile_statement(self.spark, self.datoms(), statement, now, self.honour, self.erased(), self.metrics, self.tenant)
+        if not isinstance(statement, Search) or not statement.facets:
+            return hits
+        return SearchResult(hits, {a: facet_of(hits, facet_values(self.datoms(), a), statement.limit) for a in statement.facets})
 
-    def facets(self, text: str, bound: int | None = None) -> dict[str, DataFrame]:
+    def facets(self, text: str) -> dict[str, DataFrame]:
         """For each FACET BY attribute of a SEARCH, (value, count) over its hits after LIMIT."""
-        statement = parse(text)
-        hits = compile_statement(self.spark, self.datoms(), statement, self.now(), self.honour)
-        return {a: facet(hits, facet_values(self.datoms(), a), bound or statement.limit) for a in statement.facets}
+        out = self.run(text)
+        return {a: f.values for a, f in out.facets.items()} if isinstance(out, SearchResult) else {}
 
     def write(self, statements: list[Write]) -> TxId:
         """Records writes about one entity under one transaction id."""
@@ -75,6 +121,10 @@ class Session:
             rows.append((self.tenant, w.entity, w.attribute, w.value, w.reference, start, end, not w.retract, tx.row(), len(self.memory) + len(rows)))
         if self.store:
             self.store.append(rows)
+            if self.policy and self.policy.should_seal(*self.store.exposed(), tx.wall):
+                self.store.seal()
+                if self.policy.should_compact(len(self.store.segments())):
+                    self.store.compact()
         else:
             self.memory += rows
         return tx
@@ -113,8 +163,4 @@ class Transaction:
         return session.write(self.writes)
 
 
-def tenant_rows(datoms: DataFrame, tenant: int) -> DataFrame:
-    return datoms.where(F.col("tenant") == tenant)
-
-
-__all__ = ["Refused", "Session", "Transaction", "compile_statement", "tenant_rows"]
+__all__ = ["Refused", "SearchResult", "Session", "Transaction", "compile_statement", "tenant_rows"]

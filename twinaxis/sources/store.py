@@ -1,12 +1,14 @@
 """A leaf store: an append-only folder of Parquet segments and a tail in memory.
 
 A segment is a folder named by a random id, written beside the others and
-renamed into place. Superseded datoms are never dropped; compaction only merges
-segments and removes full-row repeats.
+renamed into place. Superseded datoms are never dropped; compaction merges
+segments of similar size and removes full-row repeats among them, so a datom is
+rewritten once a tier and a large segment is left alone by small ones.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -17,16 +19,12 @@ from ..errors import NoBound, NoSnapshot
 from ..model import DATOMS, TxId
 from ..operators.carried import deduplicate, entities, history, referrers, shape_of
 from ..operators.temporal import Snapshot, visible
+from ..scratch import hadoop_path
 
 #: Encoded bytes of a datom beside its names and its value.
 FIXED_BYTES = 74
 
 
-def hadoop_path(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 @dataclass(frozen=True)
 class Policy:
     """When the tail is sealed and the segments are compacted; ages in the unit of tx.wall."""
@@ -53,10 +51,16 @@ def exposure(datoms: DataFrame) -> DataFrame:
 
 
 class LeafStore:
-    def __init__(self, spark: SparkSession, path: str, compression: str = "zstd"):
+    def __init__(self, spark: SparkSession, path: str, compression: str = "zstd", ratio: int = 4, least_bytes: int = 1 << 20):
         self.spark, self.path, self.compression = spark, path.rstrip("/"), compression
+        self.ratio, self.least_bytes = ratio, least_bytes
         self.tail: list[tuple] = []
 
+    def exposed(self) -> tuple[int, int | None]:
+        """(bytes, oldest wall clock) of the tail."""
+        sizes = [FIXED_BYTES + sum(len(x.encode()) for x in r[1:4]) for r in self.tail]
+        return sum(sizes), min((r[8][0] for r in self.tail), default=None)
+
     def append(self, rows: list[tuple]) -> None:
         """Adds rows of DATOMS to the tail; durable after seal()."""
         self.tail += rows
@@ -84,20 +88,34 @@ class LeafStore:
             self._publish(self.spark.createDataFrame(self.tail, DATOMS).coalesce(1))
             self.tail = []
 
+    def _spread(self, datoms: DataFrame) -> DataFrame:
+        """Ranges of entities; the history of a single one may span several."""
+        return datoms.repartitionByRange("entity", "attribute", "tx")
+
     def write(self, datoms: DataFrame) -> None:
         """Publishes a whole DataFrame of datoms as a segment."""
-        self._publish(datoms.repartition("entity"))
+        self._publish(self._spread(datoms))
 
-    def compact(self) -> bool:
-        """Merges all segments into one; readers see the old ones or the new one."""
-        old = self.segments()
-        if len(old) < 2:
-            return False
-        self._publish(deduplicate(self._read(old)).repartition("entity"))
-        for path in old:
+    def tiers(self) -> dict[int, list[str]]:
+        """Segments by size: each tier's are up to ratio times as large as the one's below."""
+        out: dict[int, list[str]] = {}
+        for path in self.segments():
             fs, p = hadoop_path(self.spark, path)
-            fs.delete(p, True)
-        return True
+            size = max(self.least_bytes, fs.getContentSummary(p).getLength())
+            out.setdefault(int(math.log(size / self.least_bytes, self.ratio) + 1e-9), []).append(path)
+        return out
+
+    def compact(self, least: int = 2) -> bool:
+        """Merges the segments of each tier that holds at least so many, smallest tier first;
+        readers see the old segments, the new one, or both, which is the same datoms."""
+        merged = False
+        while full := [paths for _, paths in sorted(self.tiers().items()) if len(paths) >= least]:
+            self._publish(self._spread(deduplicate(self._read(full[0]))))
+            for path in full[0]:
+                fs, p = hadoop_path(self.spark, path)
+                fs.delete(p, True)
+            merged = True
+        return merged
 
     def _read(self, paths: list[str]) -> DataFrame:
         if not paths:
