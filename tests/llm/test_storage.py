@@ -181,3 +181,134 @@ def test_manifests_of_many_versions(spark, tmp_path):
     store.compact()
     store.vacuum(1, 0)
     assert store.manifest().count() < 4 and sorted(r["doc_id"] for r in store.read().collect()) == list(range(20))
+
+
+def plain_leaks(texts, items):
+    """Documents that hold an item by the stated rule, counted window by window."""
+    from collections import Counter
+    from math import log1p
+
+    from test_text import norm
+
+    from twinaxis.llm import decontaminate as d
+
+    items = [(i, t) for i, t in sorted({(i, t) for i, t in items if i is not None and t}) if norm(t)]
+    n, mean = len(items), sum(len(norm(t)) for _, t in items) / max(1, len(items))
+    df = Counter(w for _, t in items for w in set(norm(t)))
+    out = set()
+    for k, text in enumerate(texts):
+        w = norm(text or "")
+        for _, t in items:
+            x = norm(t)
+            weight = {v: log1p((n - df[v] + 0.5) / (df[v] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(x) / mean)) for v, c in Counter(x).items()}
+            whole, step = sum(weight.values()), max(32, 1 << (len(x) - 1).bit_length())
+            q, a = (norm(part) for part in d.split_item(t))
+            g = min(5, len(q))
+            parts = {tuple(q[i : i + g]) for i in range(len(q) - g + 1)}
+            for at in range(0, len(w), step):
+                inside = w[at : at + 2 * step]
+                if sum(weight.get(v, 0) for v in set(inside)) < 0.5 * whole:
+                    continue
+                held = {tuple(inside[i : i + g]) for i in range(len(inside) - g + 1)}
+                if len(parts & held) >= 0.75 * len(parts) and len(set(a) & set(inside)) >= 0.75 * len(set(a)):
+                    out.add(k)
+    return out
+
+
+def odd_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("text is not null").first()["text"]
+    long_ = " ".join(f"word{i}" for i in range(30_000))
+    more = [(None, "a text without an id of some words", None, None, None), (9_000_001, None, None, None, None), (9_000_002, "", "en", "s", 0)]
+    more += [(9_000_003, long_, "en", "s", 1), (9_000_004, long_ + " end", "en", "s", 1), (9_000_005, "before it\n" + item + "\nafter it all", "en", "s", 1)]
+    # One id with an equal text twice, a copy of an earlier document, a leak and a text of its own.
+    more += [(9_000_006, x, "en", "s", 1) for x in ("quite some words that stand alone here", "quite some words that stand alone here", long_, item, "another text, its very own words")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, n_lines string, keys string"
+    return spark.createDataFrame([(*r, 0.25, "kept", "k") for r in rows + more], schema)
+
+
+def test_every_stage_against_a_plain_version(spark, tmp_path):
+    import corpus_pipeline as p
+    from test_dedup import classes, line_keys, shingles
+    from test_text import plain_score
+
+    from twinaxis.llm import toxicity
+
+    odd_documents(spark).repartition(3).write.parquet(f"file://{tmp_path}/0")
+    now = spark.read.parquet(f"file://{tmp_path}/0")
+    stages = dict(p.STAGES)
+
+    def after(name):
+        nonlocal now
+        before = [tuple(r) for r in now.collect()]
+        stages[name](spark, now, DATA).write.parquet(f"file://{tmp_path}/{name}")
+        now = spark.read.parquet(f"file://{tmp_path}/{name}")
+        return before, [tuple(r) for r in now.collect()]
+
+    same = lambda x: sorted(map(repr, x))
+    fit, toxicity.fit = toxicity.fit, lambda *a, **k: models.append(fit(*a, **k)) or models[-1]
+    models = []
+    try:
+        before, got = after("toxicity")
+    finally:
+        toxicity.fit = fit
+    want = [r for r in before if plain_score(r[1], models[0]) < 0.5]
+    assert same(got) == same(want) and now.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "n_lines", "keys"]
+
+    before, got = after("line_dedup")
+    first = {}
+    for r in before:
+        for k in set(line_keys(r[1])) if r[0] is not None else ():
+            if len(k) >= 10:
+                first[k] = (min(first.get(k, (r[0],))[0], r[0]), first.get(k, (0, set()))[1] | {r[0]})
+    want = []
+    for r in before:
+        lines = (r[1] or "").split("\n")
+        kept = [x for x, k in zip(lines, line_keys(r[1]), strict=True) if r[0] is None or k not in first or len(first[k][1]) < 2 or first[k][0] == r[0]]
+        text = "\n".join(kept)
+        want.append((r[0], text, *r[2:4], len(text) if len(kept) < len(lines) else r[4], *r[5:]))
+    assert same(got) == same(want)
+
+    before, got = after("minhash_dedup")
+    sets = [shingles(r[1]) for r in before]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and before[i][0] is not None and before[j][0] is not None and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    label = classes(range(len(sets)), links)
+    least = {}
+    for i, r in enumerate(before):
+        if r[0] is not None:
+            least[label[i]] = min(least.get(label[i], r[0]), r[0])
+    want, seen = [], set()
+    for i, r in enumerate(before):
+        words = tuple((r[1] or "").lower().split())
+        if r[0] is None or not sets[i]:
+            want.append(r)
+        elif least[label[i]] == r[0] and (r[0], words) not in seen:
+            seen.add((r[0], words))
+            want.append(r)
+    assert same(got) == same(want)
+
+    before, got = after("decontaminate")
+    leaks = plain_leaks([r[1] for r in before], [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()])
+    assert leaks and same(got) == same([r for k, r in enumerate(before) if k not in leaks])
+
+    before, _ = after("packing")
+    whole = WordBpe(default_tokenizer()).whole
+    tokens = {}
+    for r in before:
+        tokens.setdefault(r[0], []).append(len(whole.encode(r[1] or "", add_special_tokens=False).ids) + 1)
+    pieces = now.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in pieces} == {i: sum(n) for i, n in tokens.items()}
+    run = now.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert run.where("n > 2048 or n <> end").isEmpty()
+
+
+def test_stages_of_an_empty_table(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, DATA).count() == 0
+    bare = spark.createDataFrame([(1, "some text of a few words here")], "doc_id long, text string")
+    for name, stage in p.STAGES[:4]:
+        assert [tuple(r) for r in stage(spark, bare, DATA).collect()] == [(1, "some text of a few words here")], name

@@ -310,6 +310,26 @@ def leaked_passages(
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def without_leaks(
+    spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: float = 0.75, answer: float = 0.75, postings_at_once: int = POSTINGS_AT_ONCE
+) -> DataFrame:
+    """The rows of docs (text, ...) that hold no leaked item; nothing is shuffled."""
+    for index in indexes(spark, items, postings_at_once):
+        held = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for at, h, rows in _hash_words(batch.column("text")):
+                    for r, _, _, _, q, a in search(held.value, h, rows, threshold):
+                        if q >= question and a >= answer:
+                            keep[at + r] = False
+                yield batch if keep.all() else batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def leaked_items(spark: SparkSession, docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """One row for each document and item leaked into it: the best passage."""
     hits = leaked_passages(spark, docs, items, **options)

@@ -35,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, components
 from .textops import sequence_keys, shingle_sets, text_chunks, words
@@ -256,8 +257,27 @@ def crowded_pairs(scratch: Scratch, texts: DataFrame, percent: int) -> DataFrame
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def with_text_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs (text, ...) with the text_key of each row under a name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.zeros(0, np.int64)]
+            blank = [np.zeros(0, bool)]
+            for _, part, offsets in text_chunks(batch.column("text")):
+                h, rows = words(part, offsets)
+                keys.append(sequence_keys(h, rows)[0])
+                blank.append(np.diff(rows) == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys), mask=np.concatenate(blank))], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept, text_key for each row of docs (doc_id, text).
+
+    text_key is a hash of the word sequence, null without words; it tells the rows of one id apart.
+    """
     scratch = Scratch(spark, "documents")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = scratch.save(
@@ -319,12 +339,13 @@ def near_duplicate_documents(spark: SparkSession, docs: DataFrame, percent: int
         "classes",
     )
     return (
-        sig.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("k1")).alias("k1"), "k2")
+        sig.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("k1")).alias("k1"), "k2", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("text_key"))
         .join(classes, ["k1", "k2"], "left")
         .select(
             "doc_id",
             "n_shingles",
             F.coalesce("component_id", "doc_id").alias("component_id"),
             F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+            "text_key",
         )
     )

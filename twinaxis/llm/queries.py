@@ -22,7 +22,7 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicate_documents
 
-    return near_duplicate_documents(spark, read_table(spark, sf_dir, "documents"))
+    return near_duplicate_documents(spark, read_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
