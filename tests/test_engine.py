@@ -347,3 +347,23 @@ def test_redelivery_changes_nothing(spark, tmp_path):
     deliver(tail(spark, log), again.consume, f"{base}/cursor")
     assert again.datoms().count() == 30
     assert published(frame(spark, *rows), TxId(5)).count() == 4
+
+
+def test_a_session_uses_its_stored_index(spark, tmp_path):
+    s = Session(spark, f"file://{tmp_path}/s", now=iter(range(1000, 1900)).__next__, tenant=3)
+    s.run("WITH COMPRESSION none")
+    assert s.store.compression == "uncompressed"
+    for name, text in (("a", "red star"), ("b", "red red giant"), ("c", "blue")):
+        s.run(f"ASSERT {name} note = '{text}' VALID FROM 100")
+    s.close()
+    query = "SEARCH 'red' IN note LIMIT 5 AS OF 150"
+    plain = [tuple(r) for r in s.run(query).collect()]
+    assert s.index() is None and [x[0] for x in plain] == ["b", "a"]
+    s.reindex()
+    assert s.index() is not None and [tuple(r) for r in s.run(query).collect()] == plain
+    s.run("RETRACT b note = 'red red giant' VALID FROM 100")
+    assert s.index() is None and [r["subject"] for r in s.run(query).collect()] == ["a"]
+    s.close()
+    assert s.index() is None
+    s.reindex()
+    assert s.index() is not None and [r["subject"] for r in s.run(query).collect()] == ["a"]

@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from ..model import TxId
 
 MAX_HOPS = 8
+#: Rows up to which a table of a deployment (machines, domains, nodes) goes to every task.
+SMALL_ROWS = 100_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Marked for a broadcast if it is counted to be small; else Spark joins it like any other table."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
 def leaf_score(depth: Column, prefix: Column, name: Column, weight: Column) -> Column:
@@ -24,9 +31,13 @@ def leaf_score(depth: Column, prefix: Column, name: Column, weight: Column) -> C
 def rank_targets(leaves: DataFrame, targets: DataFrame) -> DataFrame:
     """(depth, prefix, name, score, rank): all targets of each leaf, best first, names deciding ties.
 
-    targets (name, weight) are the machines of a deployment, which go to every task.
+    targets (name, weight) are the machines of a deployment: one row holds them
+    all, refused beyond SMALL_ROWS, and is set beside each leaf.
     """
-    both = leaves.select("depth", "prefix").join(F.broadcast(targets.select("name", "weight")))
+    if targets.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+        raise ValueError(f"a deployment of over {SMALL_ROWS} targets cannot be ranked for each leaf")
+    whole = targets.agg(F.collect_list(F.struct("name", "weight")).alias("targets"))
+    both = leaves.select("depth", "prefix").crossJoin(F.broadcast(whole)).select("depth", "prefix", F.inline("targets"))
     scored = both.select("depth", "prefix", "name", leaf_score(F.col("depth"), F.col("prefix"), F.col("name"), F.col("weight")).alias("score"))
     w = Window.partitionBy("depth", "prefix").orderBy(F.desc("score"), "name")
     return scored.withColumn("rank", F.row_number().over(w))
@@ -34,7 +45,7 @@ def rank_targets(leaves: DataFrame, targets: DataFrame) -> DataFrame:
 
 def spread(ranked: DataFrame, domains: DataFrame, copies: int) -> DataFrame:
     """The first copies of a leaf taken round by round over distinct domains (name, domain)."""
-    x = ranked.join(F.broadcast(domains), "name")
+    x = ranked.join(_small(domains), "name")
     own = Window.partitionBy("depth", "prefix", "domain").orderBy("rank")
     x = x.withColumn("round", F.row_number().over(own))
     order = Window.partitionBy("depth", "prefix").orderBy("round", "rank")
@@ -88,8 +99,9 @@ def require_generation(topology: dict) -> TxId:
     return out
 
 
-def nested_set(topology: dict) -> Iterator[tuple[str, str, int, int, int, int, int]]:
-    """(name, level, level_index, lft, rgt, weight, depth) of a topology tree read from JSON."""
+def nested_set(topology: dict) -> Iterator[tuple[str, str, int, int, int, int, int, list[tuple[int, str]]]]:
+    """(name, level, level_index, lft, rgt, weight, depth, above) of a topology tree read from JSON; above has the
+    level and name of all nodes from the root to the node itself."""
     if more := set(topology) - FIELDS:
         raise ValueError(f"unknown fields {sorted(more)}")
     generation_of(topology)
@@ -102,7 +114,7 @@ def nested_set(topology: dict) -> Iterator[tuple[str, str, int, int, int, int, i
     count = 0
     out = []
 
-    def visit(node: dict, above: int) -> int:
+    def visit(node: dict, above: int, way: list[tuple[int, str]]) -> int:
         nonlocal count
         if more := set(node) - NODE_FIELDS:
             raise ValueError(f"unknown fields {sorted(more)}")
@@ -113,15 +125,16 @@ def nested_set(topology: dict) -> Iterator[tuple[str, str, int, int, int, int, i
         seen.add(node["name"])
         index, count = levels.index(node["level"]), count + 1
         left, children = count, node.get("children", [])
-        below = sum([visit(child, index) for child in children])
+        way = [*way, (index, node["name"])]
+        below = sum([visit(child, index, way) for child in children])
         weight = node.get("weight", below if children else 1)
         if weight < 0:
             raise ValueError(f"{node['name']}: the weight is negative")
         count += 1
-        out.append((node["name"], node["level"], index, left, count, weight, len(levels)))
+        out.append((node["name"], node["level"], index, left, count, weight, len(levels), way))
         return weight
 
-    visit(topology["root"], -1)
+    visit(topology["root"], -1, [])
     yield from sorted(out, key=lambda r: r[3])
 
 
@@ -131,23 +144,24 @@ def load_topology(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(list(nested_set(json.loads(text))), TOPOLOGY)
 
 
-TOPOLOGY = "name string, level string, level_index int, lft int, rgt int, weight long, levels int"
+TOPOLOGY = "name string, level string, level_index int, lft int, rgt int, weight long, levels int, above array<struct<level: int, name: string>>"
 
 
 def distances(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, ancestor, distance): levels from the deeper node up to the lowest common ancestor."""
-    n = F.broadcast(nodes.select("name", "level_index", "lft", "rgt"))
-    x = pairs.join(n.toDF("a", "ia", "la", "ra"), "a").join(n.toDF("b", "ib", "lb", "rb"), "b")
-    c = n.toDF("ancestor", "ic", "lc", "rc")
-    x = x.join(c, F.expr("lc <= least(la, lb) and rc >= greatest(ra, rb)"))
-    best = x.groupBy("a", "b", "ia", "ib").agg(F.max(F.struct("ic", "ancestor")).alias("m"))
-    return best.select("a", "b", F.col("m.ancestor").alias("ancestor"), (F.greatest("ia", "ib") - F.col("m.ic")).alias("distance"))
+    n = _small(nodes.select("name", "level_index", "above"))
+    x = pairs.join(n.toDF("a", "ia", "pa"), "a").join(n.toDF("b", "ib", "pb"), "b")
+    x = x.withColumn("c", F.element_at(F.array_intersect("pa", "pb"), -1))
+    return x.select("a", "b", F.col("c.name").alias("ancestor"), (F.greatest("ia", "ib") - F.col("c.level")).alias("distance"))
 
 
 def ancestors(nodes: DataFrame, level: str) -> DataFrame:
     """(name, ancestor): each node's ancestor at a level."""
-    up = nodes.where(F.col("level") == level).select(F.col("name").alias("ancestor"), F.col("lft").alias("lc"), F.col("rgt").alias("rc"))
-    return nodes.join(F.broadcast(up), F.expr("lc <= lft and rc >= rgt")).select("name", "ancestor")
+    own = nodes.where(F.col("level") == level).select(F.col("level_index").alias("i")).first()
+    if own is None:
+        return nodes.select("name", F.lit(None).cast("string").alias("ancestor")).limit(0)
+    up = F.filter("above", lambda x: x["level"] == own["i"])
+    return nodes.select("name", F.get(up, 0)["name"].alias("ancestor")).where("ancestor is not null")
 
 
 def route(keys: DataFrame, routes: DataFrame) -> DataFrame:

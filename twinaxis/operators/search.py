@@ -87,19 +87,18 @@ def rank_indexed(index, query: str, limit: int, erased: DataFrame | None = None,
     facts, found = index.facts, index.postings.where(F.col("term").isin(*terms))
     if attributes:
         found = found.where(F.col("attribute").isin(*attributes))
+    if (attributes, at) not in index.totals:
+        counted = literals(facts if at is None else carried(facts, at), attributes)
+        index.totals[attributes, at] = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
     if at is not None:
-        carried_ = literals(carried(facts, at), attributes)
-        total = carried_.agg(F.sum("n").alias("n")).first()["n"]
         near = facts.join(found.select("entity").distinct(), "entity", "left_semi")
         found = found.join(literals(carried(near, at), attributes).select(*own), own, "left_semi")
-    else:
-        total = literals(facts, attributes).agg(F.sum("n").alias("n")).first()["n"]
     if erased is not None:
         found = found.join(erased.select(F.col("subject").alias("entity")), "entity", "left_anti")
     sums = [F.sum(F.when(F.col("term") == w, F.col("n"))).alias(f"n{i}") for i, w in enumerate(terms)]
     df = found.agg(*sums).first()
     counts = found.groupBy(F.col("entity").alias("subject")).agg(*[F.coalesce(c, F.lit(0).cast("long")).alias(f"n{i}") for i, c in enumerate(sums)])
-    return _best(counts, total or 0, list(df), limit)
+    return _best(counts, index.totals[attributes, at], list(df), limit)
 
 
 def match(index: DataFrame, query: str, limit: int) -> DataFrame:

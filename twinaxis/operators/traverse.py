@@ -47,6 +47,8 @@ def _levels(scratch: Scratch, roots: DataFrame, depth: int, strict: bool, links_
             if twice is not None:
                 raise CycleFound(f"the walk from {twice['root']} returned to {twice['entity']}")
         out = found if out is None else out.union(found)
+        if found.isEmpty():
+            break
         seen, frontier = seen.union(found), found
     return out
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,9 @@ from ..operators.search import Facet, facet_of, facet_values, search
 from ..operators.shape import match_shape
 from ..operators.temporal import resolve
 from ..operators.traverse import traverse
-from ..ql import Read, Search, ShapeQuery, Traverse, Write, parse
+from ..ql import Read, Search, ShapeQuery, Traverse, Write, parse, parse_policy
+from ..scratch import read_text, write_text
+from ..sources.postings import SearchIndex
 from ..sources.store import LeafStore, Policy
 
 
@@ -94,14 +98,39 @@ class Session:
         """(subject): whose keys were all destroyed."""
         return None if self.keys is None else erased_subjects(self.keys.table())
 
+    def configure(self, text: str) -> None:
+        """WITH COMPRESSION: the codec of segments written from now on."""
+        codec = parse_policy(text)
+        if self.store:
+            self.store.compression = codec
+
+    def reindex(self) -> None:
+        """Stores a search index of the tenant's sealed records; searches use it until another segment comes."""
+        path = f"{self.store.path}/index-{uuid.uuid4().hex}"
+        segments = self.store.segments()
+        SearchIndex.build(self.spark, deduplicate(self.datoms()), path)
+        write_text(self.spark, f"{self.store.path}/index-{self.tenant}.json", json.dumps({"path": path, "segments": segments}))
+
+    def index(self) -> SearchIndex | None:
+        """The stored index, if it has all records."""
+        if not self.store or self.store.tail:
+            return None
+        text = read_text(self.spark, f"{self.store.path}/index-{self.tenant}.json")
+        held = json.loads(text) if text else {"segments": None}
+        return SearchIndex(self.spark, held["path"]) if held["segments"] == self.store.segments() else None
+
     def run(self, text: str) -> DataFrame | SearchResult | None:
-        """The rows of a query, with the facets of a SEARCH that asks for them, or None after a write."""
+        """The rows of a query, with the facets of a SEARCH that asks for them, or None after a write or setting."""
+        if text.split()[:1] == ["WITH"]:
+            self.configure(text)
+            return None
         statement = parse(text)
         if isinstance(statement, Write):
             self.write([statement])
             return None
         now = self.now()
-        hits = compile_statement(self.spark, self.datoms(), statement, now, self.honour, self.erased(), self.metrics, self.tenant)
+        index = self.index() if isinstance(statement, Search) else None
+        hits = compile_statement(self.spark, self.datoms(), statement, now, self.honour, self.erased(), self.metrics, self.tenant, index)
         if not isinstance(statement, Search) or not statement.facets:
             return hits
         return SearchResult(hits, {a: facet_of(hits, facet_values(self.datoms(), a), statement.limit) for a in statement.facets})

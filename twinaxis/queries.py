@@ -226,7 +226,7 @@ def _walk_sql(depth: int, valid_at: int = NOW) -> str:
     )
 
 
-for _n in (1, 2, 3):
+for _n in (1, 2, 3, 6):
     _register(f"traverse_d{_n}", _walk(_n), _walk_sql(_n))
 _register("traverse_asof", _walk(3, Snapshot(MID_ORDERS)), _walk_sql(3, MID_ORDERS))
 _register(

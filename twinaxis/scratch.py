@@ -83,15 +83,20 @@ class Scratch:
 
     Writing a table and reading it again cuts the lineage, so the loss of an
     executor costs the tasks it ran and never the steps before the table. The
-    tables live until close(), or the end of the scope() they were made in.
+    tables live until close(), the end of the scope() they were made in, or at
+    the latest the end of the driver, which results that still read them share.
     """
 
     def __init__(self, spark: SparkSession, purpose: str, path: str | None = None):
         """Tables under a path of the caller's own stay until they are dropped."""
         self.spark = spark
         self.path = path.rstrip("/") if path else f"{shared_root(spark)}/twinaxis/{purpose}-{uuid.uuid4().hex}"
-        if _SCOPES and not path:
-            _SCOPES[-1].append(self)
+        if not path:
+            fs, p = hadoop_path(spark, self.path)
+            fs.mkdirs(p)
+            fs.deleteOnExit(p)
+            if _SCOPES:
+                _SCOPES[-1].append(self)
 
     def save(self, df: DataFrame, name: str = "t", compression: str = "zstd") -> DataFrame:
         at = f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"

@@ -21,6 +21,8 @@ class SearchIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        #: Totals that were asked for, by attributes and snapshot; the index does not change.
+        self.totals: dict[tuple, int] = {}
 
     @classmethod
     def build(cls, spark: SparkSession, datoms: DataFrame, path: str) -> SearchIndex:
