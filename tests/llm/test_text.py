@@ -576,8 +576,8 @@ def test_the_count_table(spark):
 
 def test_backoff_of_long_texts_and_split_blocks(spark, tmp_path):
     rng = random.Random(8)
-    texts = [" ".join(rng.choices("abcdefghij", k=20)) for _ in range(50)] + ["a b c " * 60_000]
-    rows = [(i, t, i % 3) for i, t in enumerate(texts)]
+    texts = [" ".join(rng.choices("abcdefghij", k=20)) for _ in range(49)] + ["a b c " * 60_000]
+    rows = [(i, t, i % 3) for i, t in enumerate(texts)] + [(None, "a b of no id", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, block long").repartition(7)
     a, b = ({r["doc_id"]: (r["n_words"], round(r["log_score"], 6)) for r in lm_score.stupid_backoff(spark, x, passes=p).collect()} for x, p in ((df.orderBy("block"), 1), (df.withColumn("block", F_lit(0).cast("long")), 3)))
     assert a == b and len(a) == 51

@@ -251,6 +251,9 @@ def drop_lines(docs: DataFrame, refs: DataFrame, repeated: DataFrame) -> DataFra
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     """Inserts docs (doc_id, text, ...) into the index and returns them without repeated lines."""
-    index = index or LineIndex(spark)
-    refs = index.insert(docs)
-    return drop_lines(docs, refs, index.scratch.save(index.repeated(), "repeated"))
+    held = index or LineIndex(spark)
+    refs = held.insert(docs)
+    repeated = held.scratch.save(held.repeated(), "repeated")
+    if index is None:
+        held.scratch.keep_only(refs, repeated)
+    return drop_lines(docs, refs, repeated)

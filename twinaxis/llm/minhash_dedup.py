@@ -338,6 +338,7 @@ def near_duplicate_documents(spark: SparkSession, docs: DataFrame, percent: int
         first.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id")),
         "classes",
     )
+    scratch.keep_only(sig, classes)
     return (
         sig.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("k1")).alias("k1"), "k2", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("text_key"))
         .join(classes, ["k1", "k2"], "left")
