@@ -12,11 +12,12 @@ of each. Windows are taken in batches; each step leaves out only what cannot
 reach the threshold:
 
 1. the sum of the lists' maxima bounds every item;
-2. pivot: the words of a window in order of their maxima; those that cannot
-   reach the threshold together need not be opened, for an item must stand in
-   the list of another word too. Only those short lists propose blocks;
-3. the sum of the block maxima of all words bounds a proposed block;
-4. postings of the blocks left are scored.
+2. pivot: the words of a window in order of their maxima; the first ones, which
+   sum up to a part of the threshold only, need not be opened, for an item must
+   stand in the list of another word too. Only the other lists propose blocks;
+3. the block maxima of the opened words and the sum of the others bound a block;
+4. the block maxima of all words bound it closer;
+5. postings of the blocks left are scored.
 
 So all items above the threshold are retrieved, no more than the exact scores say.
 
@@ -56,8 +57,8 @@ K1, B = 1.2, 0.75
 #: Postings of an index that is broadcast at once: 16 bytes each, 64 MB.
 POSTINGS_AT_ONCE = 4_000_000
 BLOCK, LEAST_WIDTH = 16, 32
-#: Slack of bounds for rounding.
-SLACK = 1e-4
+#: Slack of bounds for rounding; the part of the threshold that unopened words may sum up to.
+SLACK, UNOPENED = 1e-4, 0.4
 _ANSWER = re.compile(r"\n\s*(?:answer|a)\s*:", re.IGNORECASE)
 
 
@@ -113,9 +114,11 @@ class Part:
 
     width: int  # words of a window
     ids: np.ndarray  # of the items
-    most: np.ndarray  # of each term of the index over the list; 0 without one
-    lists: np.ndarray  # first block of each term's list and the end
-    block: np.ndarray  # number of each block
+    number: np.ndarray  # of each term of the index among those with a list here, in order of most; -1 without one
+    most: np.ndarray  # largest weight in each list, rising
+    lists: np.ndarray  # first block of each list and the end
+    blocks: int
+    key: np.ndarray  # of each block of a list: list * blocks + block
     peak: np.ndarray  # largest weight in each block
     first: np.ndarray  # first posting of each block and the end
     item: np.ndarray  # of each posting
@@ -153,21 +156,28 @@ def build_index(items: pd.DataFrame, df: pd.DataFrame, n_items: int, mean_length
             item.append(np.full(len(t), i))
             weight.append(x / x.sum())
         at, item, weight = np.concatenate(at), np.concatenate(item), np.concatenate(weight)
-        order = np.lexsort((item, at))
-        at, item, weight = at[order], item[order], weight[order]
-        key = at * (len(own) // BLOCK + 1) + item // BLOCK
-        first = np.flatnonzero(np.diff(key, prepend=-1))
         most = np.zeros(len(terms))
         np.maximum.at(most, at, weight)
+        listed = np.flatnonzero(most)
+        listed = listed[np.argsort(most[listed], kind="stable")]
+        number = np.full(len(terms), -1)
+        number[listed] = np.arange(len(listed))
+        blocks = -(-len(own) // BLOCK)
+        key = number[at] * blocks + item // BLOCK
+        order = np.lexsort((item, key))
+        key, item, weight = key[order], item[order], weight[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
         parts.append(
             Part(
                 int(w),
                 own["item_id"].to_numpy(),
-                most.astype(np.float32),
-                np.searchsorted(at[first], np.arange(len(terms) + 1)).astype(np.int32),
-                (item[first] // BLOCK).astype(np.int32),
+                number.astype(np.int32),
+                most[listed].astype(np.float32),
+                np.searchsorted(key[first], np.arange(len(listed) + 1) * blocks),
+                blocks,
+                key[first],
                 np.maximum.reduceat(weight, first).astype(np.float32),
-                np.append(first, len(at)).astype(np.int32),
+                np.append(first, len(key)).astype(np.int32),
                 item.astype(np.int32),
                 weight.astype(np.float32),
                 [_u(x) for x in own["question"]],
@@ -196,8 +206,9 @@ def retrieve(part: Part, term: np.ndarray, row: np.ndarray, inner: np.ndarray, r
     """
     least = threshold - SLACK
     step = part.width // 2
-    ours = part.most[term] > 0
-    term, row, inner = term[ours], row[ours], inner[ours]
+    term = part.number[term]
+    ours = term >= 0
+    term, row, inner = term[ours].astype(np.int64), row[ours], inner[ours]
     none = np.zeros(0, np.int64)
     # Cells of half a window get numbers; a window is a cell and the next one of its row.
     first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-np.diff(rows) // step)))])
@@ -208,42 +219,55 @@ def retrieve(part: Part, term: np.ndarray, row: np.ndarray, inner: np.ndarray, r
     live = bound >= least
     own, before = live[cell], (inner >= step) & live[cell - 1]
     window, term = np.concatenate([cell[own], cell[before] - 1]), np.concatenate([term[own], term[before]])
+    # Lists are numbered by their maxima, so a window's words come in rising order.
     pair = np.unique(window * len(part.most) + term)
     window, term = pair // len(part.most), pair % len(part.most)
     live = np.bincount(window, part.most[term], n)[window] >= least
     window, term = window[live], term[live]
     if not len(window):
         return none, none, none, np.zeros(0)
-    # Pivot: in order of rising maxima, words are opened from where their sum reaches the threshold.
-    order = np.lexsort((part.most[term], window))
-    window, term = window[order], term[order]
     most = part.most[term].astype(np.float64)
     start = np.flatnonzero(np.diff(window, prepend=-1))
     size = np.diff(np.append(start, len(window)))
     total = np.cumsum(most)
     total -= np.repeat(total[start] - most[start], size)
-    opened = np.flatnonzero(total >= least)
-    which, entry = _expand(part.lists[term[opened]], part.lists[term[opened] + 1])
-    blocks = int(part.block.max()) + 1
+    opened = total >= UNOPENED * least
+    closed = np.add.reduceat(~opened, start)  # a window's first words
+    rest = np.add.reduceat(np.where(opened, 0, most), start)
     number = np.repeat(np.arange(len(start)), size)  # of each word's window among those left
-    proposed = np.unique(number[opened[which]] * blocks + part.block[entry])
-    # All words of a window against its proposed blocks.
-    key = np.repeat(np.arange(len(part.lists) - 1), np.diff(part.lists)) * blocks + part.block
-    hits = []
-    for at in range(0, len(proposed), 50_000):
-        w, b = proposed[at : at + 50_000] // blocks, proposed[at : at + 50_000] % blocks
-        cand, word = _expand(start[w], start[w] + size[w])
-        want = term[word] * blocks + b[cand]
-        entry = np.minimum(np.searchsorted(key, want), len(key) - 1)
-        there = key[entry] == want
-        cand, entry = cand[there], entry[there]
-        good = np.bincount(cand, part.peak[entry], len(w))[cand] >= least
-        cand, entry = cand[good], entry[good]
+    at = np.flatnonzero(opened)
+    which, entry = _expand(part.lists[term[at]], part.lists[term[at] + 1])
+    proposed = number[at[which]] * part.blocks + part.key[entry] % part.blocks
+    if len(start) * part.blocks <= 4 * len(proposed) + 1_000_000:
+        sums = np.bincount(proposed, part.peak[entry])
+        proposed = np.flatnonzero(sums)
+        sums = sums[proposed]
+    else:
+        proposed, place = np.unique(proposed, return_inverse=True)
+        sums = np.bincount(place, part.peak[entry])
+    good = sums + rest[proposed // part.blocks] >= least
+    proposed, sums = proposed[good], sums[good]
+
+    def entries(candidates: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which candidate, block of a list) for so many of the first words of each candidate's window."""
+        w, b = candidates // part.blocks, candidates % part.blocks
+        cand, word = _expand(start[w], start[w] + words[w])
+        want = term[word] * part.blocks + b[cand]
+        entry = np.minimum(np.searchsorted(part.key, want), len(part.key) - 1)
+        there = part.key[entry] == want
+        return cand[there], entry[there]
+
+    hits = [(none, none, np.zeros(0))]
+    for i in range(0, len(proposed), 50_000):
+        some = proposed[i : i + 50_000]
+        cand, entry = entries(some, closed)
+        some = some[sums[i : i + 50_000] + np.bincount(cand, part.peak[entry], len(some)) >= least]
+        cand, entry = entries(some, size)
         which, posting = _expand(part.first[entry], part.first[entry + 1])
-        place = cand[which] * BLOCK + part.item[posting] % BLOCK
-        score = np.bincount(place, part.weight[posting], len(w) * BLOCK)
+        score = np.bincount(cand[which] * BLOCK + part.item[posting] % BLOCK, part.weight[posting], len(some) * BLOCK)
         top = np.flatnonzero(score >= threshold)
-        hits.append((window[start[w[top // BLOCK]]], b[top // BLOCK] * BLOCK + top % BLOCK, score[top]))
+        of = some[top // BLOCK]
+        hits.append((window[start[of // part.blocks]], of % part.blocks * BLOCK + top % BLOCK, score[top]))
     window, item, score = (np.concatenate(x) for x in zip(*hits, strict=True))
     r = np.searchsorted(first, window, "right") - 1
     return r, (window - first[r]) * step, item, score
