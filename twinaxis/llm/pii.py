@@ -80,8 +80,10 @@ GENDER = {t.lower(): g for g, names in TITLES.items() for t in names}
 #: A title without gender takes that of a given name that is known.
 KNOWN = {name.lower(): g for (_, g), names in FIRST.items() for name in names}
 
-#: Words after which two capitalised words are a name, and known first names before one.
-CUES = "Contact Attn Dear From Name Regards Sincerely Signed Ansprechpartner Kontakt Contacto".split()
+#: Words after which two capitalised words are a name, those that need a colon, and what no name begins with.
+CUES = "Contact Attn Dear Regards Sincerely Ansprechpartner Kontakt Contacto".split()
+FIELDS = "From To Name Author Signed Nom Nombre".split()
+NO_NAME = "All Customer Dept Information Me Our Sales Sir Support Team The Us Your".split()
 
 _WORD = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _PATTERNS = [
@@ -96,11 +98,11 @@ _PATTERNS = [
     ("ssn", r"(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"),
     ("card", r"(?<!\w)(?P<card>\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"),
     ("name", rf"(?P<title>\b(?:{'|'.join(sorted((t for n in TITLES.values() for t in n), key=len, reverse=True))}))(?P<gap>\.? +)(?P<name>{_WORD}(?: {_WORD})?)"),
-    ("name", rf"\b(?:{'|'.join(CUES)})(?::|,)? +(?P<name2>{_WORD} {_WORD})"),
+    ("name", rf"\b(?:(?:{'|'.join(CUES)})[:,]?|(?:{'|'.join(FIELDS)}):) +(?!(?:{'|'.join(NO_NAME)})\b)(?P<name2>{_WORD} {_WORD})"),
 ]
 _ALL = re.compile("|".join(f"(?P<p{i}>{p})" for i, (_, p) in enumerate(_PATTERNS)))
 _MAYBE = re.compile(r"[\d@]|[A-Fa-f]:[A-Fa-f]")
-_TITLED = [t + s for n in TITLES.values() for t in n for s in (" ", ". ")] + [t + s for t in CUES for s in (" ", ": ", ", ")]
+_TITLED = [t + s for n in TITLES.values() for t in n for s in (" ", ". ")] + [t + s for t in CUES for s in (" ", ": ", ", ")] + [t + ": " for t in FIELDS]
 _KEYWORD = r"(?i:\b(?:token|api[_-]?key|access[_-]?key|secret|password|passwd|pwd))"
 #: A secret whose word, sign and value stand on more than one line.
 _ACROSS = re.compile(_KEYWORD + r"(?P<gap>\s*[=:]\s*)(?=[^\s])")
