@@ -3,12 +3,14 @@
 A segment is a folder named by a random id, written beside the others and
 renamed into place. Superseded datoms are never dropped; compaction merges
 segments of similar size and removes full-row repeats among them, so a datom is
-rewritten once a tier and a large segment is left alone by small ones.
+rewritten once a tier and a large segment is left alone by small ones. Merged
+segments are marked as gone and deleted after a grace, for the sake of readers.
 """
 
 from __future__ import annotations
 
 import math
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -69,7 +71,8 @@ class LeafStore:
         fs, p = hadoop_path(self.spark, self.path)
         if not fs.exists(p):
             return []
-        return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("seg-"))
+        names = {s.getPath().getName(): s.getPath().toString() for s in fs.listStatus(p)}
+        return sorted(path for name, path in names.items() if name.startswith("seg-") and f"gone-{name}" not in names)
 
     def _publish(self, df: DataFrame) -> None:
         fs, folder = hadoop_path(self.spark, self.path)
@@ -105,16 +108,27 @@ class LeafStore:
             out.setdefault(int(math.log(size / self.least_bytes, self.ratio) + 1e-9), []).append(path)
         return out
 
-    def compact(self, least: int = 2) -> bool:
+    def sweep(self, grace_seconds: float = 86_400) -> None:
+        """Deletes the segments that were merged longer ago than the grace."""
+        fs, p = hadoop_path(self.spark, self.path)
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            name = s.getPath().getName()
+            if name.startswith("gone-") and time.time() - s.getModificationTime() / 1000 >= grace_seconds:
+                _, old = hadoop_path(self.spark, f"{self.path}/{name.removeprefix('gone-')}")
+                fs.delete(old, True)
+                fs.delete(s.getPath(), False)
+
+    def compact(self, least: int = 2, grace_seconds: float = 86_400) -> bool:
         """Merges the segments of each tier that holds at least so many, smallest tier first;
         readers see the old segments, the new one, or both, which is the same datoms."""
         merged = False
         while full := [paths for _, paths in sorted(self.tiers().items()) if len(paths) >= least]:
             self._publish(self._spread(deduplicate(self._read(full[0]))))
             for path in full[0]:
-                fs, p = hadoop_path(self.spark, path)
-                fs.delete(p, True)
+                fs, mark = hadoop_path(self.spark, f"{self.path}/gone-{path.rsplit('/', 1)[-1]}")
+                fs.create(mark, True).close()
             merged = True
+        self.sweep(grace_seconds)
         return merged
 
     def _read(self, paths: list[str]) -> DataFrame:
