@@ -208,13 +208,40 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
 
 
+SLICE_BITS = 12
+SLICES = "slice int, buckets binary, n binary"
+
+
+def _slices(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    rows = [(k, own.astype("<u2").tobytes(), n[own].astype("<i8").tobytes()) for k, n in counts.items() if len(own := np.flatnonzero(n))]
+    cols = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "buckets", "n"])
+
+
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each bucket of shingles occurs, one row a slice of the buckets and task."""
     n = np.zeros(1 << ORDER_BITS, np.int64)
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             n += np.bincount(_bucket(_flat(batch.column("set").slice(at, 1024))[0]), minlength=len(n))
-    own = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own])], ["bucket", "n"])
+    yield _slices(dict(enumerate(n.reshape(-1, 1 << SLICE_BITS))))
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of slices, which are few and small however many rows there are."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, buckets, n in zip(*(batch.column(c).to_pylist() for c in ("slice", "buckets", "n")), strict=True):
+            total.setdefault(k, np.zeros(1 << SLICE_BITS, np.int64))[np.frombuffer(buckets, "<u2")] += np.frombuffer(n, "<i8")
+    yield _slices(total)
+
+
+def _often(sets: DataFrame) -> np.ndarray:
+    """The count of each bucket over all sets (set): 2 MB at every size."""
+    out = np.zeros((1 << (ORDER_BITS - SLICE_BITS), 1 << SLICE_BITS), np.int64)
+    for r in sets.mapInArrow(_bucket_counts, SLICES).repartition("slice").mapInArrow(_added, SLICES).collect():
+        out[r["slice"], np.frombuffer(bytes(r["buckets"]), "<u2")] = np.frombuffer(bytes(r["n"]), "<i8")
+    return out.ravel()
 
 
 def _prefixes(often: np.ndarray, percent: int):
@@ -240,10 +267,7 @@ def _prefixes(often: np.ndarray, percent: int):
 
 def crowded_pairs(scratch: Scratch, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of texts (id, class, set) in different classes that can reach the similarity; none that does is left out."""
-    counts = texts.select("set").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    often = np.zeros(1 << ORDER_BITS, np.int64)
-    often[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-    prefixes = texts.mapInArrow(_prefixes(often, percent), "token long, id long, class long, n int, place int, short boolean")
+    prefixes = texts.mapInArrow(_prefixes(_often(texts.select("set")), percent), "token long, id long, class long, n int, place int, short boolean")
     prefixes = scratch.save(prefixes, "prefixes")
     # A shingle with a large class meets only the texts outside this class.
     tokens = prefixes.groupBy("token", "class").agg(F.count("*").alias("m")).groupBy("token")
