@@ -104,7 +104,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
     """Adagrad over single texts, given as bags; vectors and softmax learn together.
 
     Small samples are gone through more often. N-grams of few texts are left out,
-    for they would learn the texts and not the class.
+    for they would learn the texts and not the class; the list of bags is emptied
+    of them in place.
     """
     labels = np.asarray(labels, int)
     if not len(bags):
@@ -122,7 +123,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
         texts_with[ids] += 1
     common = texts_with >= least_texts
     vectors[~common] = 0
-    bags = [(ids[common[ids]], w[common[ids]]) for ids, w in bags]
+    for i, (ids, w) in enumerate(bags):
+        keep = common[ids]
+        bags[i] = ids[keep], w[keep]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(bags)):
@@ -165,7 +168,10 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows += zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "ids", "weights")), strict=True)
     rows.sort(key=lambda r: r[0])
-    model = train([(np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)) for _, _, i, w in rows], np.array([t > 0 for _, t, _, _ in rows], int))
+    labels = np.array([t > 0 for _, t, _, _ in rows], int)
+    bags = [(np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)) for _, _, i, w in rows]
+    rows.clear()
+    model = train(bags, labels)
     yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])], ["weight", "bias"])
 
 
