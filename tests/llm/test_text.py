@@ -582,3 +582,10 @@ def test_backoff_of_long_texts_and_split_blocks(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string, block long").repartition(7)
     a, b = ({r["doc_id"]: (r["n_words"], round(r["log_score"], 6)) for r in lm_score.stupid_backoff(spark, x, passes=p).collect()} for x, p in ((df.orderBy("block"), 1), (df.withColumn("block", F_lit(0).cast("long")), 3)))
     assert a == b and len(a) == 51
+
+
+def test_languages_that_tie_go_by_name(spark):
+    docs = spark.createDataFrame([(1, "aaa bbb", "fr"), (2, "aaa bbb", "de")], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(1, None, "<p>aaa</p>"), (2, None, "<p>bbb</p>")], "page_id long, url string, html string")
+    out = language_id.identify(spark, pages, docs).collect()
+    assert [(r["lang"], r["text_lang"], r["confidence"]) for r in out] == [("de", None, 0.5)] * 2

@@ -18,7 +18,7 @@ declares, the suffix of its address, and its host.
 Defined results: every row gives one row. A null or empty html has no text
 evidence and no declaration; a null or odd url has the empty host and suffix;
 repeated ids give a row each; of languages that are equally likely the first by
-name counts; columns beside page_id, url and html are ignored; without labelled
+name counts, and text_lang is null where the text favours none; columns beside page_id, url and html are ignored; without labelled
 documents lang is null and confidence 0. Of documents that share an id the
 smallest by language and text is learned from.
 """
