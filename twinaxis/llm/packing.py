@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .word_bpe import WordBpe
+from .word_bpe import shared_bpe
 
 #: Characters of text that are encoded together.
 AT_ONCE = 2_000_000
@@ -96,7 +96,7 @@ def deal(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _packer(path: str, capacity: int, piece: int, block: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(path)
+        bpe = shared_bpe(path)
         base = TaskContext.get().partitionId() << 32
         end = np.array([end_id], "<u4").tobytes()
         made = 0

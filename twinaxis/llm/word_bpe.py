@@ -3,14 +3,17 @@
 The library's own encoder takes about 20 microseconds for a word it has not
 seen lately. Texts of Latin letters and ASCII white space, for which
 normalization is plain lower-casing, are therefore cut at white space; each
-distinct piece is encoded once a task by the same merges and kept in a bounded
-table. Every other text, and one that may hold a special token, goes to the
+distinct piece is encoded by the same merges and kept in a bounded table, which
+serves all tasks of a worker. Every other text, and one that may hold a special token, goes to the
 library whole. Both ways give the same ids (tests compare them).
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
+import operator
 import re
 
 import numpy as np
@@ -19,6 +22,7 @@ import numpy as np
 _PLAIN = re.compile("[\\t\\n\\r -~¡-įı-ɏ‐-‧‰-⁞]*")
 _LETTER, _NUMBER = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
 _PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
+#: Entries of the table; a fuller one keeps the first half, in which the common words are.
 _KEPT = 500_000
 _NEVER = 1 << 40
 _TABLE_BITS = 19
@@ -83,12 +87,13 @@ class WordBpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             merges[vocab[a] << 16 | vocab[b]] = rank << 16 | vocab[a + b]
         self._merges = _Merges(merges)
-        self._parts: dict[str, bytes] = {}
+        #: Pieces between white space and the parts of those that are no single word; a part alone is a piece.
         self._pieces: dict[str, bytes] = {}
 
     def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
         """The ids of many words at once: every round merges each word's first pair of the lowest rank."""
-        raw = sorted((p.encode() for p in parts), key=len)
+        parts = sorted(parts, key=len)
+        raw = [p.encode() for p in parts]
         out: dict[str, bytes] = {}
         at = 0
         while at < len(raw):
@@ -97,7 +102,7 @@ class WordBpe:
             to = at
             while to < len(raw) and len(raw[to]) <= width and (to - at) * width < 1 << 20:
                 to += 1
-            part = raw[at:to]
+            part, names = raw[at:to], parts[at:to]
             at = to
             n, size = len(part), np.array([len(r) for r in part])
             wide = int(size.max())
@@ -130,16 +135,14 @@ class WordBpe:
             count = (done >= 0).sum(axis=1)
             cut = [0, *(np.cumsum(count) * 4).tolist()]
             numbers = done[done >= 0].astype("<u4").tobytes()
-            for j, r in enumerate(part):
-                out[r.decode()] = numbers[cut[j] : cut[j + 1]]
+            for name, a, b in zip(names, cut, cut[1:], strict=False):
+                out[name] = numbers[a:b]
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         if len(self._pieces) > _KEPT:
-            self._pieces = {}
-        if len(self._parts) > _KEPT:
-            self._parts = {}
+            self._pieces = dict(itertools.islice(self._pieces.items(), _KEPT // 2))
         found: list[list[bytes | None]] = []
         gaps: list[tuple[list[bytes | None], list[str]]] = []
         for t in texts:
@@ -151,17 +154,24 @@ class WordBpe:
             found.append(ids)
             if None in ids:
                 gaps.append((ids, words))
-        holes = [(ids, [i for i, x in enumerate(ids) if x is None], words) for ids, words in gaps]
-        parts = {w: () for _, at, words in holes for w in map(words.__getitem__, at)}
-        for w in parts:
-            parts[w] = (w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1] in ",." and w[:-1].isalpha() else _PART.findall(w)
-        missing = {x for p in parts.values() for x in p if x not in self._parts}
-        if missing:
-            self._parts.update(self._encode_parts(list(missing)))
-        known, pieces = self._parts, self._pieces
-        for w, xs in parts.items():
-            pieces[w] = b"".join([known[x] for x in xs])
+        none = itertools.repeat(None)
+        holes = [(ids, list(itertools.compress(range(len(ids)), map(operator.is_, ids, none))), words) for ids, words in gaps]
+        pieces = self._pieces
+        missing = {w for _, at, words in holes for w in map(words.__getitem__, at)}
+        single = {w for w in missing if w.isalpha()}
+        split = {w: (w[:-1], w[-1]) if w[-1] in ",." and w[:-1].isalpha() else _PART.findall(w) for w in missing - single}
+        single.update(x for xs in split.values() for x in xs if x not in pieces)
+        if single:
+            pieces.update(self._encode_parts(list(single)))
+        for w, xs in split.items():
+            pieces[w] = b"".join([pieces[x] for x in xs])
         for ids, at, words in holes:
             for i in at:
                 ids[i] = pieces[words[i]]
         return [b"".join(ids) for ids in found]
+
+
+@functools.lru_cache(maxsize=1)
+def shared_bpe(path: str) -> WordBpe:
+    """One encoder for all tasks of a worker; its ids do not depend on what it has seen."""
+    return WordBpe(path)
