@@ -423,7 +423,8 @@ def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return Scratch(spark, name).path
+    """A path that is not there yet, in a folder of the query's own."""
+    return f"{Scratch(spark, name).path}/{name}"
 
 
 _register("compact_invariance", _compacted, _with(_EVENTS, ALL))
