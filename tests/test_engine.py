@@ -293,6 +293,49 @@ def test_index_answers_like_the_texts(spark, tmp_path):
     assert {f.name for f in search.postings(d).schema} >= {"tx_from", "tx_until"} and search.postings(d).where("tx_until is not null").isEmpty()
 
 
+def test_building_an_index_moves_nothing(spark, tmp_path):
+    from twinaxis.sources.postings import SearchIndex
+
+    d = frame(spark, *[fact(f"p{i}", "t", "red red star" + " giant" * (i % 3), wall=i + 1, seq=i + 1, order=i) for i in range(40)]).repartition(5).localCheckpoint()
+    spark.sparkContext.setJobGroup("index", "index")
+    index = SearchIndex.build(spark, d, f"file://{tmp_path}/i")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    # A job without an exchange has one stage.
+    assert [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("index")] == [1]
+    assert index.postings.where("term = 'red'").agg({"n": "sum"}).first()[0] == 80
+
+
+def test_blocks_of_any_size_hold_the_same_index(spark, tmp_path):
+    from twinaxis.sources.postings import SearchIndex
+
+    rng = random.Random(6)
+    texts = ["", "?!", "ÄRGER ärger Σίσυφος 東京 x1", "red " * 40, *[" ".join(rng.choices("red Red dwarf star, giant".split(), k=rng.randrange(12))) for _ in range(50)]]
+    rows = [fact(f"p{i % 40}", "t", x, wall=i + 1, keep=i % 7 > 0, ref=i % 9 == 0, seq=i + 1, order=i) for i, x in enumerate(texts)]
+    d = frame(spark, *rows).repartition(3, "entity")
+    want = sorted((r["subject"], r["term"], r["tx_from"]["wall"], r["count"]) for r in search.postings(d).groupBy("subject", "term", "tx_from").count().collect())
+    for terms, facts in ((1, 100), (1000, 1), (7, 4), (1000, 1000)):
+        index = SearchIndex.build(spark, d, f"file://{tmp_path}/{terms}-{facts}", terms, facts)
+        assert sorted((r["entity"], r["term"], r["tx"]["wall"], r["n"]) for r in index.postings.collect()) == want
+        assert index.facts.count() == len(rows) == index.facts.select("block", "slot").distinct().count()
+        assert index.facts.groupBy("block").count().agg({"count": "max"}).first()[0] <= facts
+        assert search.search(d, "red x1", 50, (), None, None, index).collect() == search.search(d, "red x1", 50).collect()
+    assert SearchIndex.build(spark, d.limit(0), f"file://{tmp_path}/none").postings.isEmpty()
+
+
+def test_a_stored_index_of_another_layout_is_not_used(spark, tmp_path):
+    from twinaxis.scratch import read_text, write_text
+
+    s = Session(spark, f"file://{tmp_path}/s", now=iter(range(1000, 1900)).__next__)
+    s.run("ASSERT a note = 'red star' VALID FROM 100")
+    s.close()
+    s.reindex()
+    at = f"file://{tmp_path}/s/index-1.json"
+    assert s.index() is not None
+    write_text(spark, at, read_text(spark, at).replace('"layout"', '"other"'))
+    assert s.index() is None and s.run("SEARCH 'red' IN note LIMIT 5 AS OF 150").count() == 1
+
+
 def test_facets_of_a_statement_and_shredded_subjects(spark):
     from twinaxis.erase import Keystore
 

@@ -83,21 +83,21 @@ def rank_indexed(index, query: str, limit: int, erased: DataFrame | None = None,
         raise NoQuery("the query has no terms")
     if limit <= 0:
         raise NoLimit("a search needs a positive limit")
-    own = ["entity", "attribute", "tx", "ord"]
-    facts, found = index.facts, index.postings.where(F.col("term").isin(*terms))
-    if attributes:
-        found = found.where(F.col("attribute").isin(*attributes))
+    facts = index.facts
     if (attributes, at) not in index.totals:
         counted = literals(facts if at is None else carried(facts, at), attributes)
         index.totals[attributes, at] = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
+    # One row a fact with a term of the query, by its place in the index: two numbers.
+    place, found = ["block", "slot"], index.places.where(F.col("term").isin(*terms))
+    found = found.groupBy(*place).agg(*[F.sum(F.when(F.col("term") == w, F.col("n")).otherwise(0)).alias(f"n{i}") for i, w in enumerate(terms)])
     if at is not None:
-        near = facts.join(found.select("entity").distinct(), "entity", "left_semi")
-        found = found.join(literals(carried(near, at), attributes).select(*own), own, "left_semi")
+        near = facts.select("entity", *place).join(found.select(*place), place, "left_semi").select("entity").distinct()
+        facts = carried(facts.join(near, "entity", "left_semi"), at)
+    held = literals(facts, attributes).select(F.col("entity").alias("subject"), *place)
+    counts = found.join(held, place).groupBy("subject").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(terms))])
     if erased is not None:
-        found = found.join(erased.select(F.col("subject").alias("entity")), "entity", "left_anti")
-    sums = [F.sum(F.when(F.col("term") == w, F.col("n"))).alias(f"n{i}") for i, w in enumerate(terms)]
-    df = found.agg(*sums).first()
-    counts = found.groupBy(F.col("entity").alias("subject")).agg(*[F.coalesce(c, F.lit(0).cast("long")).alias(f"n{i}") for i, c in enumerate(sums)])
+        counts = counts.join(erased.select("subject"), "subject", "left_anti")
+    df = counts.agg(*[F.sum(f"n{i}") for i in range(len(terms))]).first()
     return _best(counts, index.totals[attributes, at], list(df), limit)
 
 

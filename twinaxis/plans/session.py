@@ -109,7 +109,7 @@ class Session:
         path = f"{self.store.path}/index-{uuid.uuid4().hex}"
         segments = self.store.segments()
         SearchIndex.build(self.spark, deduplicate(self.datoms()), path)
-        write_text(self.spark, f"{self.store.path}/index-{self.tenant}.json", json.dumps({"path": path, "segments": segments}))
+        write_text(self.spark, f"{self.store.path}/index-{self.tenant}.json", json.dumps({"path": path, "segments": segments, "layout": SearchIndex.LAYOUT}))
 
     def index(self) -> SearchIndex | None:
         """The stored index, if it has all records."""
@@ -117,7 +117,8 @@ class Session:
             return None
         text = read_text(self.spark, f"{self.store.path}/index-{self.tenant}.json")
         held = json.loads(text) if text else {"segments": None}
-        return SearchIndex(self.spark, held["path"]) if held["segments"] == self.store.segments() else None
+        fresh = held["segments"] == self.store.segments() and held.get("layout") == SearchIndex.LAYOUT
+        return SearchIndex(self.spark, held["path"]) if fresh else None
 
     def run(self, text: str) -> DataFrame | SearchResult | None:
         """The rows of a query, with the facets of a SEARCH that asks for them, or None after a write or setting."""
