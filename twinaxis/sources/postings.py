@@ -8,7 +8,7 @@ decide what is carried at an instant and sum up to the total. A query's terms
 reach the scan and skip all other pages; no search reads a text again.
 
 A block is made by the task that reads its datoms, in memory of bounded size, so
-building shuffles, sorts and spills nothing and writes about two bytes a posting.
+building shuffles and spills nothing.
 """
 
 from __future__ import annotations
